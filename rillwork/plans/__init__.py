@@ -7,6 +7,7 @@ from importlib import import_module
 #: Query modules, in the order their names are listed.
 MODULES = (
     "hydrograph_queries",
+    "network_queries",
 )
 
 

@@ -93,3 +93,28 @@ PAIRS_SQL = """pairs AS (
          CAST(month(l_shipdate) AS INTEGER) AS month,
          sum(l_extendedprice / 2000.0) AS model, sum(l_quantity) AS obs
   FROM lineitem GROUP BY 1, 2, 3)"""
+
+
+# --- river network: parts form a heap-shaped tree, part h drains to h // 2 ------------
+
+def part_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    h = F.col("p_partkey") + 1
+    code = F.expr("shiftright(p_partkey + 1, cast(length(bin(p_partkey + 1)) div 2 as int))")
+    return table(spark, sf_dir, "part").select(
+        F.col("p_partkey").alias("segment_id"), h.alias("u"), F.floor(h / 2).alias("v"),
+        F.col("p_size").cast("double").alias("length"),
+        F.lpad(code.cast("string"), 4, "0").alias("huc4"))
+
+
+SEGMENTS_SQL = """seg AS (
+  SELECT p_partkey AS segment_id, p_partkey + 1 AS u, (p_partkey + 1) // 2 AS v,
+         CAST(p_size AS DOUBLE) AS length, length(bin(p_partkey + 1)) - 1 AS lvl,
+         lpad(CAST((p_partkey + 1) >> CAST(length(bin(p_partkey + 1)) // 2 AS BIGINT) AS VARCHAR), 4, '0') AS huc4
+  FROM part)"""
+
+
+def part_reaches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    h = F.col("p_partkey") + 1
+    return table(spark, sf_dir, "part").select(
+        h.alias("hydroseq"), F.floor(h / 2).alias("dnhydroseq"),
+        F.col("p_size").cast("double").alias("q_incr"), "p_retailprice", "p_brand")
