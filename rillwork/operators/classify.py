@@ -19,8 +19,9 @@ def lookup(table: dict, key: Column) -> Column:
 
 
 def as_code(c: Column) -> Column:
-    """Integer code from text or number; anything else is null."""
-    return F.try_to_number(F.trim(c.cast("string")), F.lit("9999999999")).cast("int")
+    """Integer code held as text; fractions and other text are null."""
+    text = F.trim(c)
+    return F.when(text.rlike(r"^[+-]?\d+$"), text.try_cast("int"))
 
 
 def first_present(attributes: Column, *names: str) -> Column:
@@ -61,7 +62,7 @@ def _classified(features: DataFrame, classes: dict, labels: dict, policy: str, s
     described = F.format_string("FType %d (%s)", code, label)
     reason = (F.when(code.isNull(), "excluded: source FType missing; cannot classify by type/code")
               .when(F.col("class") == "excluded", F.concat(
-                  F.lit("excluded: "), described, F.lit(f" is not an included {scope} class under policy {policy}")))
+                  F.lit("excluded: "), described, F.lit(f" is not an included {scope} under policy {policy}")))
               .otherwise(F.concat(F.lit("classified as "), F.col("class"), F.lit(": "), described)))
     flags = F.array_compact(F.array(F.when(code.isNull(), F.lit("missing_ftype"))))
     return out.withColumn("inclusion_reason", reason).withColumn("qa_flags", flags)
@@ -72,19 +73,19 @@ def classify_waterbodies(features: DataFrame) -> DataFrame:
     def bay_or_inlet(found: Column) -> Column:
         inlet = F.coalesce(F.lower("name").contains("inlet"), F.lit(False))
         return F.when((found == "bay") & inlet, "inlet").otherwise(found)
-    return _classified(features, X.WATERBODY_CLASS, X.WATERBODY_LABEL, X.WATERBODY_POLICY, "water", bay_or_inlet)
+    return _classified(features, X.WATERBODY_CLASS, X.WATERBODY_LABEL, X.WATERBODY_POLICY, "water class", bay_or_inlet)
 
 
 def classify_areal(features: DataFrame) -> DataFrame:
-    return _classified(features, X.AREAL_CLASS, X.AREAL_LABEL, X.AREAL_POLICY, "areal natural")
+    return _classified(features, X.AREAL_CLASS, X.AREAL_LABEL, X.AREAL_POLICY, "areal natural feature")
 
 
 def classify_points(features: DataFrame) -> DataFrame:
-    return _classified(features, X.POINT_CLASS, X.POINT_LABEL, X.POINT_POLICY, "point")
+    return _classified(features, X.POINT_CLASS, X.POINT_LABEL, X.POINT_POLICY, "natural point feature")
 
 
 def classify_structures(features: DataFrame) -> DataFrame:
-    return _classified(features, X.STRUCTURE_CLASS, X.STRUCTURE_LABEL, X.STRUCTURE_POLICY, "structure")
+    return _classified(features, X.STRUCTURE_CLASS, X.STRUCTURE_LABEL, X.STRUCTURE_POLICY, "hydro structure")
 
 
 def minimum_order(segments: DataFrame, n: int = 1) -> DataFrame:

@@ -8,6 +8,7 @@ from importlib import import_module
 MODULES = (
     "hydrograph_queries",
     "network_queries",
+    "ledger_queries",
 )
 
 
