@@ -9,6 +9,7 @@ MODULES = (
     "hydrograph_queries",
     "network_queries",
     "ledger_queries",
+    "flow_queries",
 )
 
 
