@@ -10,6 +10,7 @@ MODULES = (
     "network_queries",
     "ledger_queries",
     "flow_queries",
+    "raster_queries",
 )
 
 
