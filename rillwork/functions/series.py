@@ -14,6 +14,7 @@ from statistics import NormalDist
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 MAX_YEARS = 2_000
 DAYS_PER_MONTH = 30.4368
@@ -76,7 +77,7 @@ def trend_label(s: Column, n: Column, alpha: float = 0.05) -> Column:
             .otherwise("none"))
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def two_sided_p(z: pd.Series) -> pd.Series:
     """Two-sided normal tail probability; Spark SQL has no erfc."""
     return z.map(lambda x: math.erfc(abs(x) / math.sqrt(2.0)), na_action="ignore")

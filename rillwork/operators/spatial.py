@@ -1,17 +1,588 @@
-"""Spatial joins and selections on grid keys."""
+"""Spatial joins on grid keys: tiles of polygons, overlaps, nearest lines, thinning.
+
+Polygons are cut into grid tiles once. A tile row holds the polygon edges that
+touch the tile and whether the tile's corner lies inside, which is all it takes to
+answer any question inside that tile exactly. Joins are then equi-joins on the tile
+key. The grid origin is shifted by an odd fraction of a tile so that tile borders
+do not run through data coordinates.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from rillwork.operators.network import components
+from rillwork.session import checkpointed
+
+_SHIFT = 0.381966011250105
+
+
+def cell_of(v: Column, cell: float) -> Column:
+    return F.floor(v / cell + _SHIFT)
+
+
+def cell_edge(i: Column, cell: float) -> Column:
+    return (i - _SHIFT) * cell
+
 
 def prefix_match(units: DataFrame, code: str, prefixes: Sequence[str]) -> DataFrame:
-    """Units whose code starts with any of the prefixes (an equi-semi-join per length)."""
+    """Units whose code starts with any of the prefixes."""
     tests = F.lit(False)
-    for length in sorted({len(p) for p in prefixes}):
-        same = [p for p in prefixes if len(p) == length]
-        tests = tests | F.substring(code, 1, length).isin(*same)
+    for size in sorted({len(p) for p in prefixes}):
+        same = [p for p in prefixes if len(p) == size]
+        tests = tests | F.substring(code, 1, size).isin(*same)
     return units.where(tests)
+
+
+SALTS = 32
+
+
+def skew_join(many: DataFrame, other: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
+    """Equi-join where a few keys may hold most rows of ``many``.
+
+    Hot keys (at most 1000 can hold a thousandth each) are salted: their rows spread
+    over SALTS buckets, the matching rows of ``other`` are copied to each bucket.
+    """
+    keys = list(keys)
+    counts = many.groupBy(*keys).agg(F.count("*").alias("_c"))
+    floor = many.agg((F.count("*") / 1000 + 10_000).alias("_t")).scalar()
+    hot = F.broadcast(counts.where(F.col("_c") > floor).select(*keys, F.lit(True).alias("_hot")))
+    spread_by = [c for c, kind in many.dtypes if c not in keys and "map<" not in kind and "variant" not in kind]
+    seed = F.pmod(F.xxhash64(*[F.col(c) for c in spread_by[:4] or keys]), F.lit(SALTS)).cast("int")
+    left = many.join(hot, keys, "left").withColumn("_salt", F.when(F.col("_hot"), seed).otherwise(0)).drop("_hot")
+    spread = F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
+    right = other.join(hot, keys, "left").withColumn("_salt", F.explode(spread)).drop("_hot")
+    return left.join(right, [*keys, "_salt"], how).drop("_salt")
+
+
+# --- tiles --------------------------------------------------------------------------------
+
+def segments_of(features: DataFrame, key: str, geom: str = "parts") -> DataFrame:
+    """One row per straight segment ``(key, part, ring, seg, x0, y0, x1, y1)``."""
+    rings = features.select(key, F.posexplode(geom).alias("part", "_rings")).select(
+        key, "part", F.posexplode("_rings").alias("ring", "_pts"))
+    n = F.greatest(F.size("_pts") - 1, F.lit(0))
+    gaps = F.zip_with(F.slice("_pts", F.lit(1), n), F.slice("_pts", F.lit(2), n), lambda a, b: F.struct(
+        a["x"].alias("x0"), a["y"].alias("y0"), b["x"].alias("x1"), b["y"].alias("y1")))
+    return rings.select(key, "part", "ring", F.posexplode(gaps).alias("seg", "_s")).select(key, "part", "ring", "seg", "_s.*")
+
+
+def cells_along(cell: float) -> Column:
+    """Array of tiles a segment ``x0,y0,x1,y1`` passes through, row by row."""
+    x0, y0, x1, y1 = (F.col(c) for c in ("x0", "y0", "x1", "y1"))
+    pad = 1e-9 * cell
+    lo, hi = F.least(y0, y1), F.greatest(y0, y1)
+    left, right = F.least(x0, x1), F.greatest(x0, x1)
+    def row(j: Column) -> Column:
+        at = lambda y: F.when(y1 == y0, x0).otherwise(x0 + (x1 - x0) * (y - y0) / (y1 - y0))
+        a = at(F.greatest(lo, cell_edge(j, cell)))
+        b = at(F.least(hi, cell_edge(j + 1, cell)))
+        start = F.when(y1 == y0, left).otherwise(F.greatest(left, F.least(a, b)))
+        stop = F.when(y1 == y0, right).otherwise(F.least(right, F.greatest(a, b)))
+        return F.transform(F.sequence(cell_of(start - pad, cell), cell_of(stop + pad, cell)),
+                           lambda i: F.struct(i.alias("ci"), j.alias("cj")))
+    return F.flatten(F.transform(F.sequence(cell_of(lo - pad, cell), cell_of(hi + pad, cell)), row))
+
+
+def tiles(polygons: DataFrame, key: str, cell: float, geom: str = "parts") -> DataFrame:
+    """``(key, ci, cj, corner_inside, edges)`` for every tile a polygon touches or fills.
+
+    Even-odd rule over all rings, so holes and multiparts need no special case.
+    """
+    edges = segments_of(polygons, key, geom).select(key, "x0", "y0", "x1", "y1")
+    x0, y0, x1, y1 = (F.col(c) for c in ("x0", "y0", "x1", "y1"))
+    placed = edges.select("*", F.explode(cells_along(cell)).alias("_c")).select(
+        key, "_c.ci", "_c.cj", F.struct("x0", "y0", "x1", "y1").alias("e"))
+    # where an edge passes a row's lower border, tiles to the right flip
+    first, last = cell_of(F.least(y0, y1), cell) + 1, cell_of(F.greatest(y0, y1), cell)
+    rows = edges.where(last >= first).select("*", F.explode(F.sequence(first, last)).alias("cj"))
+    crossing = rows.select(key, "cj", (x0 + (x1 - x0) * (cell_edge(F.col("cj"), cell) - y0) / (y1 - y0)).alias("_x"))
+    order = Window.partitionBy(key, "cj").orderBy("_x")
+    paired = crossing.withColumn("_k", F.row_number().over(order)).withColumn("_to", F.lead("_x").over(order))
+    runs = paired.where((F.col("_k") % 2 == 1) & F.col("_to").isNotNull())
+    a, b = cell_of(F.col("_x"), cell) + 1, cell_of(F.col("_to"), cell)
+    corners = runs.where(b >= a).select(key, F.explode(F.sequence(a, b)).alias("ci"), "cj")
+    both = placed.unionByName(corners.withColumn("e", F.lit(None).cast("struct<x0:double,y0:double,x1:double,y1:double>")))
+    return both.groupBy(key, "ci", "cj").agg(
+        F.coalesce(F.bool_or(F.col("e").isNull()), F.lit(False)).alias("corner_inside"), F.collect_list("e").alias("edges"))
+
+
+def inside_tile(x: Column, y: Column, ci: Column, cj: Column, corner: Column, edges: Column, cell: float) -> Column:
+    """Even-odd test inside one tile: from the corner up its left border, then right."""
+    left, low = cell_edge(ci, cell), cell_edge(cj, cell)
+    def flips(e: Column) -> Column:
+        x0, y0, x1, y1 = e["x0"], e["y0"], e["x1"], e["y1"]
+        yc = y0 + (y1 - y0) * (left - x0) / (x1 - x0)
+        up = ((x0 >= left) != (x1 >= left)) & (yc >= low) & (yc < y)
+        xc = x0 + (x1 - x0) * (y - y0) / (y1 - y0)
+        across = ((y0 > y) != (y1 > y)) & (xc >= left) & (xc < x)
+        return F.coalesce(up, F.lit(False)).cast("int") + F.coalesce(across, F.lit(False)).cast("int")
+    n = F.aggregate(edges, F.lit(0), lambda a, e: a + flips(e))
+    return corner != (n % 2 == 1)
+
+
+def points_in_polygons(points: DataFrame, polygons: DataFrame, key: str, cell: float) -> DataFrame:
+    """Pairs of a point row and every polygon it lies in. ``points`` carries x and y."""
+    keyed = points.withColumn("ci", cell_of(F.col("x"), cell)).withColumn("cj", cell_of(F.col("y"), cell))
+    met = skew_join(keyed, tiles(polygons, key, cell), ["ci", "cj"])
+    hit = inside_tile(F.col("x"), F.col("y"), F.col("ci"), F.col("cj"), F.col("corner_inside"), F.col("edges"), cell)
+    return met.where(hit).drop("ci", "cj", "corner_inside", "edges")
+
+
+def assign_watersheds(points: DataFrame, polygons: DataFrame, digits: int, cell: float) -> DataFrame:
+    """Code and name of the first polygon (by ``poly_pos``) around each point; none gives zeros."""
+    hits = points_in_polygons(points.select("pos", "x", "y"), polygons, "poly_pos", cell)
+    first = hits.groupBy("pos").agg(F.min("poly_pos").alias("poly_pos"))
+    named = first.join(polygons.select("poly_pos", "code", "name"), "poly_pos").select("pos", "code", "name")
+    return points.join(named, "pos", "left").withColumn("code", F.coalesce("code", F.lit("0" * digits)))
+
+
+# --- clipping ---------------------------------------------------------------------------------
+
+def clip_points(points: DataFrame, boundary: DataFrame, cell: float) -> DataFrame:
+    """Points with ``inside``: whether any boundary part holds them."""
+    hits = points_in_polygons(points.select("pos", "x", "y"), boundary, "poly_pos", cell).select("pos").distinct()
+    return points.join(hits.withColumn("inside", F.lit(True)), "pos", "left").withColumn("inside", F.coalesce("inside", F.lit(False)))
+
+
+_PIECES = "seg_row struct<pos:bigint,part:int,ring:int,seg:int>, t0 double, t1 double"
+
+
+def clip_lines(lines: DataFrame, boundary: DataFrame, cell: float) -> DataFrame:
+    """Lines cut to the union of the boundary parts: ``(pos, outcome, parts, kept_length)``.
+
+    Each segment is tested tile by tile; the kept stretches of a segment are merged
+    across tiles and across adjoining boundary parts before the line is put back
+    together. Outcome is covered (left as it was), partial or dropped.
+    """
+    segs = segments_of(lines, "pos")
+    keyed = segs.select(F.struct("pos", "part", "ring", "seg").alias("seg_row"), "x0", "y0", "x1", "y1",
+                        F.explode(cells_along(cell)).alias("_c")).select("seg_row", "x0", "y0", "x1", "y1", "_c.ci", "_c.cj")
+    met = skew_join(keyed, tiles(boundary, "poly_pos", cell).drop("poly_pos"), ["ci", "cj"])
+
+    def cut(batches):
+        for pdf in batches:
+            out = {"seg_row": [], "t0": [], "t1": []}
+            for r in pdf.itertuples(index=False):
+                for a, b in kept_stretches(r.x0, r.y0, r.x1, r.y1, r.ci, r.cj, r.corner_inside, r.edges, cell):
+                    out["seg_row"].append(r.seg_row)
+                    out["t0"].append(a)
+                    out["t1"].append(b)
+            yield pd.DataFrame(out)
+
+    pieces = met.mapInPandas(cut, _PIECES)
+    merged = pieces.groupBy("seg_row").agg(F.array_sort(F.collect_list(F.struct("t0", "t1"))).alias("_iv"))
+    start = F.array().cast("array<struct<t0:double,t1:double>>")
+    def absorb(acc: Column, iv: Column) -> Column:
+        top = F.element_at(acc, -1)
+        joined = F.struct(top["t0"].alias("t0"), F.greatest(top["t1"], iv["t1"]).alias("t1"))
+        return F.when((F.size(acc) > 0) & (iv["t0"] <= F.try_element_at(acc, F.lit(-1))["t1"] + 1e-9),
+                      F.concat(F.slice(acc, F.lit(1), F.size(acc) - 1), F.array(joined))).otherwise(F.array_append(acc, iv))
+    merged = merged.select("seg_row.*", F.aggregate("_iv", start, absorb).alias("iv"))
+    back = segs.join(merged, ["pos", "part", "ring", "seg"], "left")
+    kept = F.aggregate(F.coalesce("iv", start), F.lit(0.0), lambda a, s: a + s["t1"] - s["t0"])
+    whole = (F.size(F.coalesce("iv", start)) == 1) & (kept >= 1 - 1e-9)
+    size = F.hypot(F.col("x1") - F.col("x0"), F.col("y1") - F.col("y0"))
+    row = F.struct("part", "ring", "seg", "x0", "y0", "x1", "y1", F.coalesce("iv", start).alias("iv"))
+    rolled = back.groupBy("pos").agg(F.bool_and(whole).alias("_all"), F.sum(size * kept).alias("kept_length"),
+                                     F.array_sort(F.collect_list(row)).alias("_segs"))
+    rebuilt = rolled.where("NOT _all AND kept_length > 0").select("pos", F.transform(
+        F.filter(F.flatten(F.transform("_segs", _stretch_paths)), lambda p: F.size(p) > 0), lambda p: F.array(p)).alias("_parts"))
+    out = lines.join(rolled.select("pos", "_all", "kept_length"), "pos", "left").join(rebuilt, "pos", "left")
+    outcome = (F.when(F.coalesce("_all", F.lit(False)), "covered").when(F.coalesce("kept_length", F.lit(0.0)) > 0, "partial").otherwise("dropped"))
+    return out.select(*[c for c in lines.columns if c != "parts"], outcome.alias("outcome"),
+                      F.when(outcome == "covered", F.col("parts")).when(outcome == "partial", join_paths(F.col("_parts"))).alias("parts"),
+                      F.coalesce("kept_length", F.lit(0.0)).alias("kept_length"))
+
+
+def _stretch_paths(s: Column) -> Column:
+    at = lambda t: F.struct((s["x0"] + (s["x1"] - s["x0"]) * t).alias("x"), (s["y0"] + (s["y1"] - s["y0"]) * t).alias("y"))
+    return F.transform(s["iv"], lambda v: F.array(at(v["t0"]), at(v["t1"])))
+
+
+def join_paths(parts: Column) -> Column:
+    """Parts that start where the one before ended become one part."""
+    start = F.array().cast("array<array<array<struct<x:double,y:double>>>>")
+    def absorb(acc: Column, p: Column) -> Column:
+        last = F.try_element_at(acc, F.lit(-1))
+        end = F.element_at(F.element_at(last, 1), -1)
+        here = F.element_at(F.element_at(p, 1), 1)
+        near = (F.abs(end["x"] - here["x"]) < 1e-9) & (F.abs(end["y"] - here["y"]) < 1e-9)
+        longer = F.array(F.concat(F.element_at(last, 1), F.slice(F.element_at(p, 1), F.lit(2), F.size(F.element_at(p, 1)))))
+        return F.when((F.size(acc) > 0) & near, F.concat(F.slice(acc, F.lit(1), F.size(acc) - 1), F.array(longer))).otherwise(
+            F.array_append(acc, p))
+    return F.aggregate(parts, start, absorb)
+
+
+def kept_stretches(x0, y0, x1, y1, ci, cj, corner, edges, cell):
+    """Parameter ranges of a segment that lie in one tile and inside its polygon."""
+    left, low = (ci - _SHIFT) * cell, (cj - _SHIFT) * cell
+    t0, t1 = 0.0, 1.0
+    for a, d, lo in ((x0, x1 - x0, left), (y0, y1 - y0, low)):
+        if d == 0:
+            if not lo <= a < lo + cell:
+                return []
+            continue
+        u, v = sorted(((lo - a) / d, (lo + cell - a) / d))
+        t0, t1 = max(t0, u), min(t1, v)
+    if t1 <= t0:
+        return []
+    e = np.array([(k["x0"], k["y0"], k["x1"], k["y1"]) for k in edges], dtype=float).reshape(-1, 4)
+    ts = [t0, t1]
+    if len(e):
+        dx, dy = x1 - x0, y1 - y0
+        ex, ey = e[:, 2] - e[:, 0], e[:, 3] - e[:, 1]
+        den = dx * ey - dy * ex
+        with np.errstate(divide="ignore", invalid="ignore"):
+            t = ((e[:, 0] - x0) * ey - (e[:, 1] - y0) * ex) / den
+            u = ((e[:, 0] - x0) * dy - (e[:, 1] - y0) * dx) / den
+        ok = (den != 0) & (u >= -1e-12) & (u <= 1 + 1e-12) & (t > t0) & (t < t1)
+        ts += list(t[ok])
+        # a segment running along an edge changes side where that edge begins and ends
+        size = dx * dx + dy * dy
+        if size:
+            along = np.abs(den) == 0
+            for k in e[along]:
+                for px, py in ((k[0], k[1]), (k[2], k[3])):
+                    w = ((px - x0) * dx + (py - y0) * dy) / size
+                    if t0 < w < t1:
+                        ts.append(w)
+    ts = sorted(set(ts))
+    out = []
+    for a, b in zip(ts, ts[1:]):
+        m = (a + b) / 2
+        if _inside(x0 + (x1 - x0) * m, y0 + (y1 - y0) * m, left, low, corner, e):
+            if out and out[-1][1] == a:
+                out[-1] = (out[-1][0], b)
+            else:
+                out.append((a, b))
+    return out
+
+
+def _inside(x, y, left, low, corner, e):
+    if not len(e):
+        return bool(corner)
+    ax, ay, bx, by = e.T
+    with np.errstate(divide="ignore", invalid="ignore"):
+        yc = ay + (by - ay) * (left - ax) / (bx - ax)
+        xc = ax + (bx - ax) * (y - ay) / (by - ay)
+    up = ((ax >= left) != (bx >= left)) & (yc >= low) & (yc < y)
+    across = ((ay > y) != (by > y)) & (xc >= left) & (xc < x)
+    return bool(corner) != bool((up.sum() + across.sum()) % 2)
+
+
+# --- overlap of areas ----------------------------------------------------------------------------
+
+def overlap_area(a: DataFrame, b: DataFrame, a_key: str, b_key: str, cell: float) -> DataFrame:
+    """``(a_key, b_key, shared)``: exact shared area of every overlapping pair of polygons.
+
+    Both sides are tiled, tiles meet on their key, and a tile's share is the sum of
+    trapezoids between the heights where edges begin, end or cross.
+    """
+    ta = tiles(a, a_key, cell).withColumnsRenamed({"corner_inside": "ca", "edges": "ea"})
+    tb = tiles(b, b_key, cell).withColumnsRenamed({"corner_inside": "cb", "edges": "eb"})
+    met = skew_join(ta, tb, ["ci", "cj"])
+    full = met.where((F.size("ea") == 0) & (F.size("eb") == 0)).select(
+        a_key, b_key, F.when(F.col("ca") & F.col("cb"), F.lit(cell * cell)).otherwise(F.lit(0.0)).alias("shared"))
+    part = met.where((F.size("ea") > 0) | (F.size("eb") > 0))
+
+    def share(batches):
+        for pdf in batches:
+            values = [tile_overlap(r.ci, r.cj, r.ca, r.ea, r.cb, r.eb, cell) for r in pdf.itertuples(index=False)]
+            yield pd.DataFrame({a_key: pdf[a_key], b_key: pdf[b_key], "shared": values})
+
+    kinds = {f.name: f.dataType.simpleString() for f in part.schema.fields}
+    rest = part.mapInPandas(share, f"{a_key} {kinds[a_key]}, {b_key} {kinds[b_key]}, shared double")
+    return full.unionByName(rest).groupBy(a_key, b_key).agg(F.sum("shared").alias("shared")).where("shared > 0")
+
+
+def tile_overlap(ci, cj, ca, ea, cb, eb, cell) -> float:
+    """Area of one tile inside both even-odd regions."""
+    left, low = (ci - _SHIFT) * cell, (cj - _SHIFT) * cell
+    right, high = left + cell, low + cell
+    regions = []
+    for corner, edges in ((ca, ea), (cb, eb)):
+        regions.append((corner, np.array([(k["x0"], k["y0"], k["x1"], k["y1"]) for k in edges], dtype=float).reshape(-1, 4)))
+    every = np.vstack([r[1] for r in regions])
+    heights = {low, high}
+    for v in np.concatenate([every[:, 1], every[:, 3]]):
+        if low < v < high:
+            heights.add(float(v))
+    n = len(every)
+    for i in range(n):  # crossings of edges with each other and with the tile's sides
+        x0, y0, x1, y1 = every[i]
+        dx, dy = x1 - x0, y1 - y0
+        for side in (left, right):
+            if dx and min(x0, x1) < side < max(x0, x1):
+                heights.add(y0 + dy * (side - x0) / dx)
+        if i + 1 < n:
+            o = every[i + 1:]
+            ex, ey = o[:, 2] - o[:, 0], o[:, 3] - o[:, 1]
+            den = dx * ey - dy * ex
+            with np.errstate(divide="ignore", invalid="ignore"):
+                t = ((o[:, 0] - x0) * ey - (o[:, 1] - y0) * ex) / den
+                u = ((o[:, 0] - x0) * dy - (o[:, 1] - y0) * dx) / den
+            for w in t[(den != 0) & (t > 0) & (t < 1) & (u > 0) & (u < 1)]:
+                heights.add(y0 + dy * w)
+    levels = sorted(h for h in heights if low <= h <= high)
+    total = 0.0
+    for y0, y1 in zip(levels, levels[1:]):
+        if y1 - y0 <= 0:
+            continue
+        mid = (y0 + y1) / 2
+        spans = [_spans(mid, left, right, low, corner, e) for corner, e in regions]
+        width = 0.0
+        for a0, a1 in spans[0]:
+            for b0, b1 in spans[1]:
+                width += max(0.0, min(a1, b1) - max(a0, b0))
+        total += width * (y1 - y0)  # sides are straight between levels: mid width is the mean width
+    return total
+
+
+def _spans(y, left, right, low, corner, e):
+    """x ranges of a region inside the tile at height y."""
+    xs = []
+    state = bool(corner)
+    if len(e):
+        ax, ay, bx, by = e.T
+        with np.errstate(divide="ignore", invalid="ignore"):
+            yc = ay + (by - ay) * (left - ax) / (bx - ax)
+            xc = ax + (bx - ax) * (y - ay) / (by - ay)
+        state ^= bool((((ax >= left) != (bx >= left)) & (yc >= low) & (yc < y)).sum() % 2)
+        xs = sorted(xc[((ay > y) != (by > y)) & (xc >= left) & (xc < right)])
+    out, at = [], left
+    for x in [*xs, right]:
+        if state and x > at:
+            out.append((at, x))
+        at, state = x, not state
+    return out
+
+
+def overlap_fraction(basins: DataFrame, areas: DataFrame, cell: float, min_fraction: float) -> DataFrame:
+    """Basins whose share inside the areas reaches the minimum, by code.
+
+    ``basins(huc4, parts)`` is de-duplicated on the padded code; parts of the area
+    must not overlap each other.
+    """
+    from rillwork.functions import geometry as G
+    padded = basins.withColumn("huc4", F.lpad("huc4", 4, "0")).groupBy("huc4").agg(F.min_by("parts", "pos").alias("parts"))
+    shared = overlap_area(padded, areas, "huc4", "poly_pos", cell).groupBy("huc4").agg(F.sum("shared").alias("shared"))
+    out = padded.select("huc4", G.area(F.col("parts")).alias("area")).join(shared, "huc4", "left")
+    share = F.coalesce(F.try_divide(F.coalesce("shared", F.lit(0.0)), F.col("area")), F.lit(0.0))
+    return out.select("huc4", share.alias("fraction")).where(F.col("fraction") >= min_fraction).orderBy("huc4")
+
+
+def line_overlap(lines: DataFrame, areas: DataFrame, cell: float) -> DataFrame:
+    """``(pos, poly_pos, shared)``: length of each line inside each single polygon."""
+    segs = segments_of(lines, "pos").select("pos", "x0", "y0", "x1", "y1", F.explode(cells_along(cell)).alias("_c")).select(
+        "pos", "x0", "y0", "x1", "y1", "_c.ci", "_c.cj")
+    met = skew_join(segs, tiles(areas, "poly_pos", cell), ["ci", "cj"])
+
+    def measure(batches):
+        for pdf in batches:
+            got = [sum(b - a for a, b in kept_stretches(r.x0, r.y0, r.x1, r.y1, r.ci, r.cj, r.corner_inside, r.edges, cell))
+                   * float(np.hypot(r.x1 - r.x0, r.y1 - r.y0)) for r in pdf.itertuples(index=False)]
+            yield pd.DataFrame({"pos": pdf["pos"], "poly_pos": pdf["poly_pos"], "shared": got})
+
+    out = met.mapInPandas(measure, "pos bigint, poly_pos bigint, shared double")
+    return out.groupBy("pos", "poly_pos").agg(F.sum("shared").alias("shared")).where("shared > 0")
+
+
+def coincidences(structures: DataFrame, naturals: DataFrame, cell: float, min_overlap: float = 0.5) -> DataFrame:
+    """Structure and natural-water pairs sharing at least the given part of the structure.
+
+    A polygon counts by area, a line by length, a point by lying inside; merely
+    touching an edge shares nothing.
+    """
+    from rillwork.functions import geometry as G
+    kind = F.lower("geom_type")
+    polys = structures.where(kind.contains("polygon"))
+    lines = structures.where(kind.contains("line"))
+    points = structures.where(kind.contains("point"))
+    by_area = overlap_area(polys.select("pos", "parts"), naturals.select("poly_pos", "parts"), "pos", "poly_pos", cell).join(
+        polys.select("pos", G.area(F.col("parts")).alias("own")), "pos")
+    by_length = line_overlap(lines.select("pos", "parts"), naturals.select("poly_pos", "parts"), cell).join(
+        lines.select("pos", G.length(F.col("parts")).alias("own")), "pos")
+    spot = points.select("pos", F.element_at(G.vertices(F.col("parts")), 1).alias("p")).select("pos", "p.x", "p.y")
+    by_point = points_in_polygons(spot, naturals.select("poly_pos", "parts"), "poly_pos", cell).select(
+        "pos", "poly_pos", F.lit(1.0).alias("shared"), F.lit(1.0).alias("own"))
+    every = by_area.select("pos", "poly_pos", "shared", "own").unionByName(
+        by_length.select("pos", "poly_pos", "shared", "own")).unionByName(by_point)
+    return every.select("pos", "poly_pos", F.try_divide("shared", "own").alias("fraction")).where(F.col("fraction") >= min_overlap)
+
+
+def shared_edges(polygons: DataFrame, key: str = "pos") -> DataFrame:
+    """Pairs of polygons whose boundaries share a stretch of positive length.
+
+    Edges on one straight line get the same line key and meet there; on that line
+    each polygon's stretches are swept in order, so only stretches that really
+    overlap are paired.
+    """
+    e = segments_of(polygons, key).where("x0 <> x1 OR y0 <> y1")
+    dx, dy = F.col("x1") - F.col("x0"), F.col("y1") - F.col("y0")
+    size = F.hypot(dx, dy)
+    flip = (dx < 0) | ((dx == 0) & (dy < 0))
+    ux, uy = F.when(flip, -dx).otherwise(dx) / size, F.when(flip, -dy).otherwise(dy) / size
+    offset = F.col("x0") * uy - F.col("y0") * ux
+    along = lambda x, y: F.col(x) * ux + F.col(y) * uy
+    on = e.select(key, F.round(ux, 9).alias("ux"), F.round(uy, 9).alias("uy"), F.round(offset, 6).alias("off"),
+                  F.least(along("x0", "y0"), along("x1", "y1")).alias("s0"), F.greatest(along("x0", "y0"), along("x1", "y1")).alias("s1"))
+    # cut the line at every end point: overlapping stretches then share whole elementary pieces
+    line = ["ux", "uy", "off"]
+    cuts = on.select(*line, F.explode(F.array("s0", "s1")).alias("s")).withColumn("s", F.round("s", 6)).distinct()
+    pieces = cuts.withColumn("to", F.lead("s").over(Window.partitionBy(*line).orderBy("s"))).where("to IS NOT NULL")
+    covered = _covering(on, pieces, line, key)
+    a, b = covered.select(*line, "s", F.col(key).alias("a")), covered.select(*line, "s", F.col(key).alias("b"))
+    return a.join(b, [*line, "s"]).where("a < b").select("a", "b").distinct()
+
+
+def _covering(on: DataFrame, pieces: DataFrame, line: list[str], key: str) -> DataFrame:
+    spans = on.select(*line, key, F.round("s0", 6).alias("s0"), F.round("s1", 6).alias("s1")).where("s1 > s0")
+    met = pieces.join(spans, line).where((F.col("s") >= F.col("s0")) & (F.col("to") <= F.col("s1")))
+    return met.select(*line, "s", key).distinct()
+
+
+# --- nearest line ------------------------------------------------------------------------------------
+
+def nearest_line(points: DataFrame, lines: DataFrame, levels: int = 10, fan: int = 2) -> DataFrame:
+    """``(pos, line_pos, distance)``: the closest line of each point, first on ties.
+
+    Segments hang in a grid pyramid by their midpoints. Going down the levels, each
+    point keeps only the tiles that can still hold its closest segment: a tile's
+    lower bound (distance to the tile less the longest half segment in it) against
+    the best upper bound seen (distance to the farthest corner of a filled tile).
+    Points and segments both shrink to a few candidates per point at every level,
+    however crowded a place is.
+    """
+    segs = segments_of(lines, "line_pos").withColumn("mx", (F.col("x0") + F.col("x1")) / 2).withColumn(
+        "my", (F.col("y0") + F.col("y1")) / 2)
+    segs = checkpointed(segs.withColumn("half", F.hypot(F.col("x1") - F.col("x0"), F.col("y1") - F.col("y0")) / 2).select(
+        "line_pos", "part", "seg", "x0", "y0", "x1", "y1", "mx", "my", "half"))
+    box = segs.agg(F.min("mx"), F.min("my"), F.max("mx"), F.max("my")).first()
+    if box[0] is None:
+        return points.select("pos", F.lit(None).cast("bigint").alias("line_pos"), F.lit(None).cast("double").alias("distance")).limit(0)
+    side = max(box[2] - box[0], box[3] - box[1], 1e-9) * (1 + 1e-9)
+    at = lambda c, o, n: F.least(F.lit(n - 1), F.floor((F.col(c) - o) / (side / n))).cast("bigint")
+    state = points.select("pos", "x", "y", F.lit(0).cast("bigint").alias("ti"), F.lit(0).cast("bigint").alias("tj"))
+    for level in range(1, levels + 1):
+        n = 2 ** (fan * level)
+        step = side / n
+        filled = segs.groupBy(at("mx", box[0], n).alias("ti2"), at("my", box[1], n).alias("tj2")).agg(F.max("half").alias("half"))
+        filled = filled.withColumn("ti", F.floor(F.col("ti2") / 2 ** fan)).withColumn("tj", F.floor(F.col("tj2") / 2 ** fan))
+        if n * n <= 65_536:  # the level cannot have more tiles than that
+            below = state.join(F.broadcast(filled), ["ti", "tj"])
+        else:
+            below = skew_join(state, filled, ["ti", "tj"])
+        left, low = box[0] + F.col("ti2") * step, box[1] + F.col("tj2") * step
+        out_x = F.greatest(left - F.col("x"), F.col("x") - (left + step), F.lit(0.0))
+        out_y = F.greatest(low - F.col("y"), F.col("y") - (low + step), F.lit(0.0))
+        far_x = F.greatest(F.abs(F.col("x") - left), F.abs(F.col("x") - (left + step)))
+        far_y = F.greatest(F.abs(F.col("y") - low), F.abs(F.col("y") - (low + step)))
+        scored = below.select("pos", "x", "y", F.col("ti2").alias("ti"), F.col("tj2").alias("tj"),
+                              (F.hypot(out_x, out_y) - F.col("half")).alias("lo"), F.hypot(far_x, far_y).alias("hi"))
+        best = scored.groupBy("pos").agg(F.min("hi").alias("best"))
+        state = scored.join(best, "pos").where(F.col("lo") <= F.col("best") * (1 + 1e-12)).select("pos", "x", "y", "ti", "tj")
+        state = checkpointed(state)
+        crowded = filled.count()
+        if level >= 2 and crowded * 2 >= segs.count():
+            break
+    n = 2 ** (fan * level)
+    leaf = segs.withColumn("ti", at("mx", box[0], n)).withColumn("tj", at("my", box[1], n))
+    met = skew_join(state, leaf, ["ti", "tj"])
+    dx, dy = F.col("x1") - F.col("x0"), F.col("y1") - F.col("y0")
+    t = F.coalesce(F.try_divide((F.col("x") - F.col("x0")) * dx + (F.col("y") - F.col("y0")) * dy, dx * dx + dy * dy), F.lit(0.0))
+    t = F.least(F.lit(1.0), F.greatest(F.lit(0.0), t))
+    d = F.hypot(F.col("x") - (F.col("x0") + dx * t), F.col("y") - (F.col("y0") + dy * t))
+    measured = met.select("pos", "line_pos", d.alias("distance"))
+    return measured.groupBy("pos").agg(F.min(F.struct("distance", "line_pos")).alias("m")).select(
+        "pos", "m.line_pos", "m.distance")
+
+
+def network_placement(structures: DataFrame, lines: DataFrame, tolerance: float) -> tuple[DataFrame, DataFrame]:
+    """Summary row (count, on network, median and largest distance) and the off-network rows in input order."""
+    from rillwork.operators.scale import exact_percentiles
+    near = checkpointed(nearest_line(structures, lines))
+    mid = exact_percentiles(near, "distance", [0.5]).select(F.coalesce("p0", F.lit(0.0)))
+    summary = near.agg(F.count("*").alias("count"), F.count_if(F.col("distance") <= tolerance).alias("on_network"),
+                       F.coalesce(F.max("distance"), F.lit(0.0)).alias("max_distance")).withColumn("median_distance", mid.scalar())
+    return summary, near.where(F.col("distance") > tolerance).orderBy("pos")
+
+
+# --- thinning and duplicates ------------------------------------------------------------------------------
+
+def thin_points(points: DataFrame) -> DataFrame:
+    """Sequential minimum-spacing rule in parallel rounds: ``points`` plus ``accepted``.
+
+    ``points(pos, family, spacing, x, y)``. A point is refused when an earlier
+    accepted one has its very coordinates, or is of its family and closer than its
+    spacing. Tiles are small enough that two points of a family in one tile always
+    conflict, so only the earliest undecided point of a tile can be next: one
+    candidate per tile and family looks at the 24 tiles around it, and accepted
+    points (one per tile and family at most) strike out theirs. Work per round is
+    linear however crowded a place is.
+    """
+    cell = F.when(F.col("spacing") > 0, F.col("spacing") / 1.5)
+    open_ = points.select("pos", "family", "spacing", "x", "y", F.floor(F.col("x") / cell).alias("ci"), F.floor(F.col("y") / cell).alias("cj"))
+    open_ = checkpointed(open_)
+    taken = None
+    around = F.array(*[F.struct(F.lit(i).alias("di"), F.lit(j).alias("dj")) for i in range(-2, 3) for j in range(-2, 3)])
+    tile = ["family", "spacing", "ci", "cj"]
+    while not open_.isEmpty():
+        first_here = open_.groupBy("x", "y").agg(F.min("pos").alias("pos"))
+        free = open_.where("spacing <= 0").select("pos", "family", "spacing", "x", "y", "ci", "cj")
+        reps = open_.where("spacing > 0").groupBy(*tile).agg(F.min_by(F.struct("pos", "x", "y"), "pos").alias("p")).select(*tile, "p.*")
+        seen = reps.select("pos", "family", "spacing", "ci", "cj", F.explode(around).alias("o")).select(
+            "family", "spacing", (F.col("ci") + F.col("o.di")).alias("ci"), (F.col("cj") + F.col("o.dj")).alias("cj"), F.col("pos").alias("near"))
+        least = seen.groupBy(*tile).agg(F.min("near").alias("near"))
+        lead = reps.join(least, tile).where("near >= pos").select("pos", "family", "spacing", "x", "y", "ci", "cj")
+        won = lead.unionByName(free).join(first_here, ["pos", "x", "y"], "left_semi")
+        won = checkpointed(won.select("pos", "family", "spacing", "x", "y", "ci", "cj"))
+        taken = won.select("pos") if taken is None else taken.unionByName(won.select("pos"))
+        reach = won.where("spacing > 0").select("family", "spacing", F.explode(around).alias("o"), "ci", "cj", F.col("x").alias("ax"), F.col("y").alias("ay")).select(
+            "family", "spacing", (F.col("ci") + F.col("o.di")).alias("ci"), (F.col("cj") + F.col("o.dj")).alias("cj"), "ax", "ay")
+        # at most 25 accepted points reach a tile
+        ring = reach.groupBy(*tile).agg(F.collect_list(F.struct("ax", "ay")).alias("_acc"))
+        struck = open_.join(ring, tile, "left").where(~F.coalesce(F.exists("_acc", lambda a: F.hypot(
+            a["ax"] - F.col("x"), a["ay"] - F.col("y")) < F.col("spacing")), F.lit(False))).drop("_acc")
+        struck = struck.join(won.select("x", "y").distinct(), ["x", "y"], "left_anti")
+        open_ = checkpointed(struck.join(won.select("pos"), "pos", "left_anti").select(*open_.columns))
+    if taken is None:
+        return points.withColumn("accepted", F.lit(False))
+    return points.join(taken.withColumn("accepted", F.lit(True)), "pos", "left").withColumn(
+        "accepted", F.coalesce("accepted", F.lit(False)))
+
+
+def duplicate_groups(structures: DataFrame, tolerance: float) -> DataFrame:
+    """Groups of same-class structures of different layers within the tolerance, linked transitively.
+
+    ``structures(pos, class, layer, x, y)`` to ``(root, pos)`` for groups of two or
+    more; ``root`` is the first member. Copies at one spot fold to one row per
+    layer. Inside a tile no wider than the tolerance, members of two layers are all
+    linked, so a tile holding several layers is one node; distances are computed
+    only between neighbouring tiles' distinct spots.
+    """
+    cell = tolerance / 1.5
+    spots = structures.groupBy("class", "layer", "x", "y").agg(F.min("pos").alias("spot")).withColumn(
+        "ci", F.floor(F.col("x") / cell)).withColumn("cj", F.floor(F.col("y") / cell))
+    tile = ["class", "ci", "cj"]
+    mixed = spots.groupBy(*tile).agg(F.min("spot").alias("hub"), (F.min("layer") != F.max("layer")).alias("multi"))
+    spots = checkpointed(spots.join(mixed, tile))
+    inner = spots.where("multi").select(F.col("spot").alias("a"), F.col("hub").alias("b"))
+    half = F.array(*[F.struct(F.lit(i).alias("di"), F.lit(j).alias("dj")) for i in range(-2, 3) for j in range(-2, 3) if (i, j) > (0, 0)])
+    left = spots.select("class", F.explode(half).alias("o"), "ci", "cj", F.col("spot").alias("a"), F.col("layer").alias("la"),
+                        F.col("x").alias("ax"), F.col("y").alias("ay")).select(
+        "class", (F.col("ci") + F.col("o.di")).alias("ci"), (F.col("cj") + F.col("o.dj")).alias("cj"), "a", "la", "ax", "ay")
+    right = spots.select("class", "ci", "cj", F.col("spot").alias("b"), F.col("layer").alias("lb"), "x", "y")
+    apart = F.hypot(F.col("ax") - F.col("x"), F.col("ay") - F.col("y"))
+    outer = skew_join(left, right, tile).where((F.col("la") != F.col("lb")) & (apart <= tolerance)).select("a", "b")
+    links = inner.unionByName(outer)
+    roots = components(links).withColumnRenamed("node", "spot")
+    same = ["class", "layer", "x", "y"]
+    members = structures.join(spots.select(*same, "spot"), same).join(roots, "spot").select("root", "pos")
+    sizes = members.groupBy("root").agg(F.count("*").alias("_n")).where("_n > 1").select("root")
+    return members.join(sizes, "root")

@@ -11,6 +11,7 @@ MODULES = (
     "ledger_queries",
     "flow_queries",
     "raster_queries",
+    "spatial_queries",
 )
 
 

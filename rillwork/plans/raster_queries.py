@@ -65,9 +65,9 @@ def _samples(spark, sf):
     return A.bilinear(pts, _cells(spark, sf), _grid(spark, sf))
 
 
-@query("bilinear_samples", "RAS-04", sql=f"WITH {_BIL} SELECT point_id, round(value, 6) AS value, covered, nodata FROM samples")
+@query("bilinear_samples", "RAS-04", sql=f"WITH {_BIL} SELECT point_id, round(value, 9) AS value, covered, nodata FROM samples")
 def _(spark, sf):
-    return _samples(spark, sf).withColumn("value", R(F.col("value")))
+    return _samples(spark, sf).withColumn("value", R(F.col("value"), 9))
 
 
 _LINES = """ln AS (SELECT c_custkey AS line_id, (c_custkey * 37 % 600) * 1.0 AS x0, (c_custkey * 91 % 500) * 1.0 AS y0, (c_custkey % 3) * 40.0 AS dx, (c_custkey % 4) * 30.0 AS dy FROM customer),
@@ -89,10 +89,10 @@ def _(spark, sf):
 
 
 @query("sampled_lines", "RAS-05", sql=f"WITH {_LINES}, " + _BIL.replace(_PTS, "pts AS (SELECT line_id * 1000 + pos AS point_id, x, y FROM vx)") +
-       " SELECT point_id // 1000 AS line_id, CAST(point_id % 1000 AS INTEGER) AS pos, round(value, 5) AS z FROM samples")
+       " SELECT point_id // 1000 AS line_id, CAST(point_id % 1000 AS INTEGER) AS pos, round(value, 9) AS z FROM samples")
 def _(spark, sf):
     out = A.sampled_lines(_lines(spark, sf), _cells(spark, sf), _grid(spark, sf), 7.5, "dem-1")
-    return out.select("line_id", "pos", R(F.col("z"), 5).alias("z"))
+    return out.select("line_id", "pos", R(F.col("z"), 9).alias("z"))
 
 
 _NB = [(dr, dc) for dr in (-1, 0, 1) for dc in (-1, 0, 1)]
