@@ -12,6 +12,8 @@ MODULES = (
     "flow_queries",
     "raster_queries",
     "spatial_queries",
+    "facility_queries",
+    "stream_queries",
 )
 
 

@@ -7,6 +7,7 @@ caller already chose are left alone.
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -26,7 +27,6 @@ def build_session(app: str = "rillwork", master: str | None = None, **conf: str)
         "spark.sql.adaptive.skewJoin.enabled": "true",
         "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
         "spark.sql.mapKeyDedupPolicy": "LAST_WIN",
-        "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
         "spark.ui.enabled": "false",
         "spark.ui.showConsoleProgress": "false",
     }
@@ -36,30 +36,40 @@ def build_session(app: str = "rillwork", master: str | None = None, **conf: str)
     return builder.getOrCreate()
 
 
-def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the checkpoint folder the cluster names; invent one only in local mode."""
-    jsc = spark.sparkContext._jsc.sc()
-    if jsc.getCheckpointDir().isDefined():
-        return
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        spark.sparkContext.setCheckpointDir(named)
-        return
-    if not spark.sparkContext.master.startswith("local"):
-        raise RuntimeError(
-            "spark.checkpoint.dir is not set; iterative jobs need a shared folder on a cluster"
-        )
-    spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="rillwork-ckpt-"))
+def work_folder(spark: SparkSession) -> str:
+    """Folder for intermediate tables, below the checkpoint folder the cluster names.
+
+    A local folder is made up only in local mode. The folder goes when the JVM ends.
+    """
+    app = spark.sparkContext.applicationId
+    if app not in _folders:
+        named = spark.sparkContext._jsc.sc().getCheckpointDir()
+        base = spark.conf.get("spark.checkpoint.dir", None) or (named.get() if named.isDefined() else None)
+        if base is None:
+            if not spark.sparkContext.master.startswith("local"):
+                raise RuntimeError("spark.checkpoint.dir is not set; iterative jobs need a shared folder on a cluster")
+            base = tempfile.mkdtemp(prefix="rillwork-")
+        _folders[app] = f"{base.rstrip('/')}/rillwork-{app}-{uuid.uuid4().hex[:8]}"
+        jvm = spark.sparkContext._jvm
+        path = jvm.org.apache.hadoop.fs.Path(_folders[app])
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(path)
+    return _folders[app]
+
+
+_folders: dict[str, str] = {}
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
-    """Materialise ``df`` in the shared checkpoint folder and cut its lineage.
+    """Write ``df`` to a table in the shared folder and go on from that table.
 
-    Reliable checkpoints survive the loss of executors, which the in-memory
-    kind does not.
+    It cuts the lineage like a reliable checkpoint and survives the loss of
+    executors, but computes the rows once, and the plan that follows knows the
+    table's size and columns.
     """
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    spark = df.sparkSession
+    path = f"{work_folder(spark)}/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def broadcast_if_small(df: DataFrame, limit: int = BROADCAST_ROW_LIMIT) -> DataFrame:
