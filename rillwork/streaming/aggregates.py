@@ -6,6 +6,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from rillwork.session import work_folder
 
@@ -37,8 +38,10 @@ def event_rate(events: DataFrame, size: str = "2 days", slide: str = "1 day", de
 def table_stream(spark: SparkSession, folder: str, table: str, files_per_trigger: int = 64) -> DataFrame:
     """A staged table read as a stream of its files."""
     schema = spark.read.parquet(f"{folder}/{table}.parquet").schema
-    return (spark.readStream.schema(schema).option("pathGlobFilter", f"{table}*.parquet")
+    rows = (spark.readStream.schema(schema).option("pathGlobFilter", f"{table}*.parquet")
             .option("maxFilesPerTrigger", files_per_trigger).parquet(folder))
+    # event time needs zoned timestamps
+    return rows.select(*[F.col(c).cast("timestamp").alias(c) if kind == "timestamp_ntz" else F.col(c) for c, kind in rows.dtypes])
 
 
 def drained(stream: DataFrame, mode: str = "append", keys: tuple[str, ...] = ()) -> DataFrame:
@@ -57,7 +60,8 @@ def drained(stream: DataFrame, mode: str = "append", keys: tuple[str, ...] = ())
     query = (stream.writeStream.outputMode(mode).option("checkpointLocation", f"{base}/checkpoint")
              .trigger(availableNow=True).foreachBatch(write).start())
     query.awaitTermination()
-    out = spark.read.schema(schema.add("batch", "bigint") if "batch" not in schema.names else schema).option("basePath", f"{base}/out").parquet(f"{base}/out")
+    full = T.StructType([*schema.fields, T.StructField("batch", T.LongType())])
+    out = spark.read.schema(full).option("basePath", f"{base}/out").parquet(f"{base}/out")
     if mode != "update":
         return out.drop("batch")
     rest = [c for c in out.columns if c not in keys and c != "batch"]
