@@ -456,3 +456,38 @@ def components(edges: DataFrame) -> DataFrame:
         mark = now
     return every.join(links.select(F.col("a").alias("node"), F.col("b").alias("root")), "node", "left").select(
         "node", F.coalesce("root", F.col("node")).alias("root"))
+
+
+# --- profiles along a river ---------------------------------------------------------------
+
+def longitudinal_profile(reaches: DataFrame, path: DataFrame) -> DataFrame:
+    """Flow along ``path(step, hydroseq)`` ordered downstream, from ``reaches(hydroseq, dnhydroseq, flow)``.
+
+    ``problem`` names a step whose reach is unknown or does not drain to the next one;
+    steps meet their successor by an equi-join, so a long river is not one window.
+    """
+    known = path.join(reaches.select("hydroseq", "dnhydroseq", "flow", F.lit(True).alias("_known")), "hydroseq", "left")
+    after = path.select((F.col("step") - 1).alias("step"), F.col("hydroseq").alias("_next"))
+    joined = known.join(after, "step", "left")
+    problem = F.when(F.col("_known").isNull(), "unknown reach").when(
+        F.col("_next").isNotNull() & (F.col("_next") != F.col("dnhydroseq")), "broken link")
+    return joined.select("step", "hydroseq", "flow", problem.alias("problem"))
+
+
+def checked_profile(reaches: DataFrame, path: DataFrame) -> DataFrame:
+    out = checkpointed(longitudinal_profile(reaches, path))
+    bad = out.where("problem IS NOT NULL").limit(3).collect()
+    if bad:
+        raise ValueError(f"path is not a downstream chain: {[(r.hydroseq, r.problem) for r in bad]}")
+    return out.drop("problem")
+
+
+def longitudinal_frames(reaches: DataFrame, path: DataFrame) -> DataFrame:
+    """Per step the flow and its share of the mouth's (0 when the mouth carries none).
+
+    What a frame reveals is every row up to its step, so the prefixes are not stored.
+    """
+    profile = checked_profile(reaches, path)
+    mouth = profile.agg(F.max_by("flow", "step")).scalar()
+    share = F.when(F.col("_m") > 0, F.col("flow") / F.col("_m")).otherwise(F.lit(0.0))
+    return profile.withColumn("_m", mouth).select("step", "hydroseq", "flow", share.alias("fraction"))

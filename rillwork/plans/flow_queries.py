@@ -19,7 +19,6 @@ from rillwork.plans.standins import HYDRO_SQL, INDEX_SQL, R
 from rillwork.sources import layers as Ly
 from rillwork.sources import tables as Tb
 
-Q = F.col("q")
 
 # supplier-year climate: quantity as precipitation, discount as temperature
 _CLIM = """clim AS (SELECT l_suppkey AS site, CAST(year(l_shipdate) AS INTEGER) AS year, CAST(month(l_shipdate) AS INTEGER) AS m,

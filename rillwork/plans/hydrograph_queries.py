@@ -11,7 +11,7 @@ from rillwork.plans import standins as T
 from rillwork.plans.registry import query
 from rillwork.plans.standins import ANNUAL_SQL, HYDRO_SQL, INDEX_SQL, MONTHLY_SQL, PAIRS_SQL, R
 
-Q = F.col("q")
+Q = "q"
 
 
 @query("peak_flow", "AGG-03", sql=f"WITH {HYDRO_SQL} SELECT site, year, max(v) AS peak FROM hyd GROUP BY 1, 2")

@@ -14,7 +14,8 @@ from rillwork.plans.ledger_roles import NOW, ctes, pick, role
 from rillwork.plans.registry import query
 from rillwork.plans.standins import R
 
-_NOW = F.lit("1998-06-15 00:00:00").cast("timestamp")
+def _now():
+    return F.lit("1998-06-15 00:00:00").cast("timestamp")
 
 
 @query("active_work", "JN-11", sql=ctes("places", "requests", "orders_t") + f"""
@@ -23,7 +24,7 @@ SELECT r.request_id, r.product, r.status, o.order_id, o.style, p.region, p.count
 FROM requests r LEFT JOIN orders_t o ON o.request_id = r.request_id
 LEFT JOIN places p ON p.place_id = coalesce(o.place_id, r.place_id) WHERE r.status NOT IN ('fulfilled', 'paid')""")
 def _(spark, sf):
-    out = L.active_work(role(spark, sf, "requests"), role(spark, sf, "orders_t"), role(spark, sf, "places"), _NOW)
+    out = L.active_work(role(spark, sf, "requests"), role(spark, sf, "orders_t"), role(spark, sf, "places"), _now())
     return out.withColumn("age_days", F.extract(F.lit("DAY"), "age").cast("int")).drop("age")
 
 
@@ -43,7 +44,7 @@ SELECT delivery_id, order_id, delivered_at, access_expires_at, access_revoked_at
  date_diff('day', {NOW}, access_expires_at) AS days_remaining
 FROM deliveries WHERE access_expires_at <= {NOW} + INTERVAL 30 DAY OR access_revoked_at IS NOT NULL""")
 def _(spark, sf):
-    out = L.delivery_expiry(role(spark, sf, "deliveries"), _NOW)
+    out = L.delivery_expiry(role(spark, sf, "deliveries"), _now())
     return out.withColumn("days_remaining", F.extract(F.lit("DAY"), "time_remaining").cast("int")).drop("time_remaining")
 
 
@@ -51,7 +52,7 @@ def _(spark, sf):
 SELECT delivery_id, CASE WHEN access_revoked_at IS NOT NULL THEN 'revoked' WHEN {NOW} >= access_expires_at THEN 'expired'
  ELSE 'active' END AS access FROM deliveries""")
 def _(spark, sf):
-    return L.delivery_access(role(spark, sf, "deliveries"), _NOW).select("delivery_id", "access")
+    return L.delivery_access(role(spark, sf, "deliveries"), _now()).select("delivery_id", "access")
 
 
 @query("rights_gaps", "PRJ-18", sql=ctes("assets") + """

@@ -195,3 +195,27 @@ def _(spark, sf):
     outlet = yearly.join(sup, "reach").groupBy("basin").agg(
         F.max_by("reach", F.struct("t", -F.col("reach"))).alias("reach"))
     return flow.join(outlet, "reach", "left_semi").groupBy("year", "month").agg(F.sum("q").alias("q"))
+
+
+def _main_stem(spark, sf):
+    reaches = T.part_reaches(spark, sf)
+    flow = N.accumulate_downstream(reaches.select("hydroseq", "dnhydroseq", F.col("q_incr").alias("flow")), ["flow"])
+    deepest = reaches.agg(F.max("hydroseq").alias("h"))
+    steps = F.expr("transform(sequence(0, cast(length(bin(h)) - 1 as int)), i -> shiftright(h, i))")
+    path = deepest.select(F.posexplode(steps).alias("step", "hydroseq"))
+    return reaches.select("hydroseq", "dnhydroseq").join(flow, "hydroseq"), path
+
+
+_STEM_SQL = _ANC_SQL + """, flow AS (SELECT a.a AS hydroseq, sum(s.length) AS flow FROM anc a JOIN seg s ON s.u = a.h GROUP BY 1),
+ top AS (SELECT max(u) AS h FROM seg), path AS (SELECT CAST(i AS INTEGER) AS step, h >> CAST(i AS BIGINT) AS hydroseq FROM top, LATERAL (SELECT unnest(range(0, length(bin(h)))) AS i) t)"""
+
+
+@query("longitudinal_profile", "WIN-10", sql=_STEM_SQL + " SELECT step, p.hydroseq, flow FROM path p JOIN flow f ON f.hydroseq = p.hydroseq")
+def _(spark, sf):
+    return N.checked_profile(*_main_stem(spark, sf))
+
+
+@query("longitudinal_frames", "WIN-11", sql=_STEM_SQL + """ SELECT step, p.hydroseq, flow, round(flow / (SELECT flow FROM flow WHERE hydroseq = 1), 6) AS fraction
+FROM path p JOIN flow f ON f.hydroseq = p.hydroseq""")
+def _(spark, sf):
+    return N.longitudinal_frames(*_main_stem(spark, sf)).withColumn("fraction", R(F.col("fraction")))
