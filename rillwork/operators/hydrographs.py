@@ -80,6 +80,11 @@ def finite(c: Column) -> Column:
     return c.isNotNull() & ~F.isnan(c) & (F.abs(c) != float("inf"))
 
 
+def pearson(a: Column, b: Column) -> Column:
+    """Correlation aggregate over complete pairs; null, not an error, for a constant side."""
+    return F.try_divide(F.covar_pop(a, b), F.stddev_pop(a) * F.stddev_pop(b))
+
+
 def validation(pairs: DataFrame, keys: Sequence[str], model: str = "model",
                obs: str = "obs") -> DataFrame:
     """Bias, RMSE, Pearson r, Nash-Sutcliffe and verdict over pairs finite on both sides."""
@@ -89,7 +94,7 @@ def validation(pairs: DataFrame, keys: Sequence[str], model: str = "model",
         F.count("*").alias("n"),
         F.avg(m - o).alias("bias"),
         F.sqrt(F.avg(F.pow(m - o, 2))).alias("rmse"),
-        F.corr(m, o).alias("_r"),
+        pearson(m, o).alias("_r"),
         F.stddev_pop(m).alias("_sm"), F.stddev_pop(o).alias("_so"),
         F.sum(F.pow(o - m, 2)).alias("_sse"), F.var_pop(o).alias("_vo"))
     r = F.when((F.col("n") >= 2) & (F.col("_sm") != 0) & (F.col("_so") != 0), F.col("_r"))
@@ -108,7 +113,7 @@ def align_index(metric: DataFrame, index: DataFrame, lag: int = 0) -> DataFrame:
 def correlate(metric: DataFrame, index: DataFrame, keys: Sequence[str], lag: int = 0) -> DataFrame:
     pairs = align_index(metric, index, lag)
     out = pairs.groupBy(*keys).agg(
-        F.count("*").alias("n"), F.corr("value", "index_value").alias("_r"),
+        F.count("*").alias("n"), pearson(F.col("value"), F.col("index_value")).alias("_r"),
         F.stddev_pop("value").alias("_a"), F.stddev_pop("index_value").alias("_b"))
     r = F.when((F.col("n") >= 2) & (F.col("_a") != 0) & (F.col("_b") != 0), F.col("_r"))
     return out.select(*keys, "n", r.alias("r"))
@@ -278,7 +283,7 @@ def gauge_correlation(metric: DataFrame, gauges: int) -> DataFrame:
     left = kept.select("year", F.col("site").alias("a"), F.col("value").alias("va"))
     right = kept.select("year", F.col("site").alias("b"), F.col("value").alias("vb"))
     out = left.join(right, "year").groupBy("a", "b").agg(
-        F.corr("va", "vb").alias("_r"), F.stddev_pop("va").alias("_sa"),
+        pearson(F.col("va"), F.col("vb")).alias("_r"), F.stddev_pop("va").alias("_sa"),
         F.stddev_pop("vb").alias("_sb"), F.count("*").alias("_n"))
     defined = (F.col("_n") >= 2) & (F.col("_sa") != 0) & (F.col("_sb") != 0)
     return out.select("a", "b", F.when(defined, F.col("_r")).alias("r"))

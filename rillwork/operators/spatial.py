@@ -117,9 +117,9 @@ def inside_tile(x: Column, y: Column, ci: Column, cj: Column, corner: Column, ed
     left, low = cell_edge(ci, cell), cell_edge(cj, cell)
     def flips(e: Column) -> Column:
         x0, y0, x1, y1 = e["x0"], e["y0"], e["x1"], e["y1"]
-        yc = y0 + (y1 - y0) * (left - x0) / (x1 - x0)
+        yc = y0 + F.try_divide((y1 - y0) * (left - x0), x1 - x0)
         up = ((x0 >= left) != (x1 >= left)) & (yc >= low) & (yc < y)
-        xc = x0 + (x1 - x0) * (y - y0) / (y1 - y0)
+        xc = x0 + F.try_divide((x1 - x0) * (y - y0), y1 - y0)
         across = ((y0 > y) != (y1 > y)) & (xc >= left) & (xc < x)
         return F.coalesce(up, F.lit(False)).cast("int") + F.coalesce(across, F.lit(False)).cast("int")
     n = F.aggregate(edges, F.lit(0), lambda a, e: a + flips(e))
