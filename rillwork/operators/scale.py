@@ -147,10 +147,11 @@ def fold_states(events: DataFrame, key: str, order: Sequence[str], target: str,
     replay = lists.join(entry, (lists[key] == entry["_key"]) & (lists["_chunk"] == entry["_i"]))
     path = F.aggregate("_ev", F.array(F.col("_entry")), lambda acc, e: F.concat(
         acc, F.array(step(F.element_at(acc, -1), e["_want"]))))
-    steps = replay.select(F.col("_key"), F.posexplode("_ev").alias("_p", "_e"), path.alias("_path"))
-    steps = steps.select("_key", F.col("_e._rn").alias("_r"),
-                         F.element_at("_path", F.col("_p") + 1).alias("_from"),
-                         F.element_at("_path", F.col("_p") + 2).alias("_to"))
+    # the walk is computed per chunk, before its events are unfolded into rows
+    walked = replay.select("_key", "_ev", path.alias("_path"))
+    unfolded = F.transform("_ev", lambda e, i: F.struct(
+        e["_rn"].alias("_r"), F.get("_path", i).alias("_from"), F.get("_path", i + 1).alias("_to")))
+    steps = walked.select("_key", F.explode(unfolded).alias("_s")).select("_key", "_s.*")
     joined = numbered.join(steps, (numbered[key] == steps["_key"]) & (numbered["_rn"] == steps["_r"]))
     accepted = F.col("_want").isNotNull() & F.element_at(
         lawful, F.col("_from") * k + F.coalesce(F.col("_want"), F.lit(0)) + 1)
@@ -179,6 +180,6 @@ def _entry_states(maps: DataFrame, key: str, start: int, k: int, chunk: int) ->
         blocks = blocks.select("_key", "_b", F.col("_entry").alias("_entry0"))
     path = F.aggregate("_b", F.array(F.col("_entry0")), lambda acc, m: F.concat(
         acc, F.array(F.element_at(m["_map"], F.element_at(acc, -1) + 1))))
-    rows = blocks.select("_key", F.posexplode("_b").alias("_p", "_m"), path.alias("_path"))
-    return rows.select("_key", F.col("_m._i").alias("_i"),
-                       F.element_at("_path", F.col("_p") + 1).alias("_entry"))
+    walked = blocks.select("_key", "_b", path.alias("_path"))
+    unfolded = F.transform("_b", lambda m, i: F.struct(m["_i"].alias("_i"), F.get("_path", i).alias("_entry")))
+    return walked.select("_key", F.explode(unfolded).alias("_s")).select("_key", "_s.*")
