@@ -18,10 +18,6 @@ from pyspark.sql import functions as F
 from rillwork.session import checkpointed
 
 
-def _tasks(df: DataFrame) -> int:
-    return max(2, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-
-
 def running_sum(df: DataFrame, group: Sequence[str], order: Sequence[Column | str],
                 weight: Column, name: str) -> DataFrame:
     """Inclusive prefix sum of ``weight`` per group along ``order``.
@@ -34,7 +30,8 @@ def running_sum(df: DataFrame, group: Sequence[str], order: Sequence[Column | st
     """
     order_cols = [F.col(c) if isinstance(c, str) else c for c in order]
     keys = [F.col(g) for g in group]
-    laid = df.withColumn("_w", weight).repartitionByRange(_tasks(df), *keys, *order_cols)
+    # no fixed number of tasks: adaptive execution merges neighbouring small ranges
+    laid = df.withColumn("_w", weight).repartitionByRange(*keys, *order_cols)
     laid = checkpointed(laid.withColumn("_task", F.spark_partition_id()))
     run = Window.partitionBy("_task", *group).orderBy(*order_cols).rowsBetween(
         Window.unboundedPreceding, 0)

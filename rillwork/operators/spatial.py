@@ -416,35 +416,31 @@ def coincidences(structures: DataFrame, naturals: DataFrame, cell: float, min_ov
     return every.select("pos", "poly_pos", F.try_divide("shared", "own").alias("fraction")).where(F.col("fraction") >= min_overlap)
 
 
-def shared_edges(polygons: DataFrame, key: str = "pos") -> DataFrame:
+def shared_edges(polygons: DataFrame, key: str = "pos", reach: float = 100.0, tolerance: float = 5e-5) -> DataFrame:
     """Pairs of polygons whose boundaries share a stretch of positive length.
 
-    Edges on one straight line get the same line key and meet there; on that line
-    each polygon's stretches are swept in order, so only stretches that really
-    overlap are paired.
+    Edges are keyed by the line they lie on (direction and offset, each in two
+    staggered roundings so that nearly equal lines always share a key) and by the
+    stretches of ``reach`` along it, so only edges that lie together are compared.
     """
     e = segments_of(polygons, key).where("x0 <> x1 OR y0 <> y1")
-    dx, dy = F.col("x1") - F.col("x0"), F.col("y1") - F.col("y0")
-    size = F.hypot(dx, dy)
-    flip = (dx < 0) | ((dx == 0) & (dy < 0))
-    ux, uy = F.when(flip, -dx).otherwise(dx) / size, F.when(flip, -dy).otherwise(dy) / size
-    offset = F.col("x0") * uy - F.col("y0") * ux
-    along = lambda x, y: F.col(x) * ux + F.col(y) * uy
-    on = e.select(key, F.round(ux, 9).alias("ux"), F.round(uy, 9).alias("uy"), F.round(offset, 6).alias("off"),
-                  F.least(along("x0", "y0"), along("x1", "y1")).alias("s0"), F.greatest(along("x0", "y0"), along("x1", "y1")).alias("s1"))
-    # cut the line at every end point: overlapping stretches then share whole elementary pieces
-    line = ["ux", "uy", "off"]
-    cuts = on.select(*line, F.explode(F.array("s0", "s1")).alias("s")).withColumn("s", F.round("s", 6)).distinct()
-    pieces = cuts.withColumn("to", F.lead("s").over(Window.partitionBy(*line).orderBy("s"))).where("to IS NOT NULL")
-    covered = _covering(on, pieces, line, key)
-    a, b = covered.select(*line, "s", F.col(key).alias("a")), covered.select(*line, "s", F.col(key).alias("b"))
-    return a.join(b, [*line, "s"]).where("a < b").select("a", "b").distinct()
-
-
-def _covering(on: DataFrame, pieces: DataFrame, line: list[str], key: str) -> DataFrame:
-    spans = on.select(*line, key, F.round("s0", 6).alias("s0"), F.round("s1", 6).alias("s1")).where("s1 > s0")
-    met = pieces.join(spans, line).where((F.col("s") >= F.col("s0")) & (F.col("to") <= F.col("s1")))
-    return met.select(*line, "s", key).distinct()
+    flip = (F.col("x1") < F.col("x0")) | ((F.col("x1") == F.col("x0")) & (F.col("y1") < F.col("y0")))
+    end = lambda a, b: F.when(flip, F.col(b)).otherwise(F.col(a))
+    e = e.select(key, end("x0", "x1").alias("ax"), end("y0", "y1").alias("ay"), end("x1", "x0").alias("bx"), end("y1", "y0").alias("by"))
+    size = F.hypot(F.col("bx") - F.col("ax"), F.col("by") - F.col("ay"))
+    e = e.withColumns({"ux": (F.col("bx") - F.col("ax")) / size, "uy": (F.col("by") - F.col("ay")) / size})
+    e = e.withColumns({"theta": F.atan2("uy", "ux"), "off": F.col("ax") * F.col("uy") - F.col("ay") * F.col("ux"),
+                       "s0": F.col("ax") * F.col("ux") + F.col("ay") * F.col("uy"), "s1": F.col("bx") * F.col("ux") + F.col("by") * F.col("uy")})
+    keys = F.array(*[F.struct(F.lit(2 * i + j).alias("tag"), F.floor(F.col("theta") * 1e6 + i / 2).alias("kt"),
+                              F.floor(F.col("off") * 5e3 + j / 2).alias("ko")) for i in (0, 1) for j in (0, 1)])
+    on = e.select(key, "theta", "off", "s0", "s1", F.explode(keys).alias("k"))
+    on = on.withColumn("ks", F.explode(F.sequence(F.floor(F.col("s0") / reach), F.floor(F.col("s1") / reach))))
+    side = lambda n: on.select("k.*", "ks", *[F.col(c).alias(f"{c}_{n}") for c in (key, "theta", "off", "s0", "s1")])
+    met = skew_join(side("a"), side("b"), ["tag", "kt", "ko", "ks"])
+    common = F.least("s1_a", "s1_b") - F.greatest("s0_a", "s0_b")
+    same = (F.abs(F.col("theta_a") - F.col("theta_b")) <= 5e-7) & (F.abs(F.col("off_a") - F.col("off_b")) <= tolerance)
+    return met.where((F.col(f"{key}_a") < F.col(f"{key}_b")) & same & (common > 1e-9)).select(
+        F.col(f"{key}_a").alias("a"), F.col(f"{key}_b").alias("b")).distinct()
 
 
 # --- nearest line ------------------------------------------------------------------------------------

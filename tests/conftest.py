@@ -10,7 +10,7 @@ from rillwork.session import build_session
 
 @pytest.fixture(scope="session")
 def spark():
-    session = build_session("tests", "local[4]", **{"spark.sql.shuffle.partitions": "4", "spark.driver.memory": "6g"})
+    session = build_session("tests", "local[4]", **{"spark.sql.shuffle.partitions": "4", "spark.sql.adaptive.coalescePartitions.enabled": "false", "spark.driver.memory": "6g"})
     session.sparkContext.setLogLevel("ERROR")
     yield session
     session.stop()
