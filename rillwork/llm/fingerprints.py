@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from rillwork.llm.common import id_or_last
 
 #: Cuts after a blank line, after a line, after a clause.
-SECTION, PARAGRAPH, CLAUSE = r"(?<=\n\n)", r"(?<=\n)", r"(?<=[.!?,;:|][ \n])"
+SECTION, PARAGRAPH, CLAUSE = r"(?<=\n\n)", r"(?<=\n)", r"(?<=\p{Punct}[ \n])"
 
 #: Rows that one window sorts, and how many such blocks there are at most.
 BLOCK, MOST_BLOCKS = 3000, 1 << 16

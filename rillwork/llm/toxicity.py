@@ -24,11 +24,11 @@ TRAIN_ROWS = 16_000
 class Ftrl:
     """Per-coordinate rates ``alpha / (beta + sqrt(n))``; ``l1`` sets rare weights to zero."""
 
-    alpha: float = 0.15
+    alpha: float = 1.0
     beta: float = 1.0
-    l1: float = 1.5
-    l2: float = 0.5
-    epochs: int = 3
+    l1: float = 5.0
+    l2: float = 0.0
+    epochs: int = 4
 
 
 class Hasher:
