@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -78,6 +79,12 @@ class CachedTokenizer:
         return out
 
 
+@lru_cache(maxsize=1)
+def coder_of(path: str) -> CachedTokenizer:
+    """One tokenizer for all tasks that a Python worker runs, so its words stay known."""
+    return CachedTokenizer(path)
+
+
 def token_pieces(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text",
                  limit: int = LIMIT, end_id: int = END_ID, with_ids: bool = False) -> DataFrame:
     """Cut every document's ids, followed by ``end_id``, into pieces of at most ``limit``.
@@ -89,7 +96,7 @@ def token_pieces(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_c
     schema = "doc_id long, piece int, start long, length long, ids_crc32 long" + ", ids binary" * with_ids
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder, end = CachedTokenizer(tokenizer), np.uint32(end_id).astype("<u4").tobytes()
+        coder, end = coder_of(tokenizer), np.uint32(end_id).astype("<u4").tobytes()
         for batch in batches:
             rows: list[tuple] = []
             for doc, ids in zip(batch.column(0).to_pylist(), coder.encode(batch.column(1).to_pylist())):
