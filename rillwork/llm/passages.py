@@ -98,7 +98,8 @@ def _locate(window: int, phrase: int, served: int):
             mixed, selected = _windows(words, window, phrase)
             first, count = _runs(selected)
             at = selected[first]
-            known = np.isin(mixed[at], confirmed)
+            own = mixed[at]
+            known = confirmed[np.minimum(np.searchsorted(confirmed, own), len(confirmed) - 1)] == own
             if known.any():
                 phrases.update(tuple(words[i:i + phrase]) for i in at[known].tolist())
                 made.append((doc, tid, words, mixed, first, count, at))
@@ -138,7 +139,7 @@ def _locate(window: int, phrase: int, served: int):
                     heard.append(batch.column(2)[k].as_py())
                     continue
                 if heard:
-                    confirmed, heard = np.array(heard, dtype=np.int64), []
+                    confirmed, heard = np.sort(np.array(heard, dtype=np.int64)), []
                 if len(confirmed):
                     text = batch.column(4)[k].as_py()
                     words = text.encode("utf-8", "surrogatepass").split()
