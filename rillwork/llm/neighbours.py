@@ -20,7 +20,7 @@ from rillwork.llm.common import drop_stored, stored
 
 #: Trees; share of all leaves that a query opens; vectors the trees are fitted on (at most);
 #: vectors a leaf aims at; levels at most; rows of a block of candidates or queries.
-TREES, SHARE, SAMPLE, LEAF, DEPTH, BLOCK = 4, 0.3, 65_536, 1024, 12, 8192
+TREES, SHARE, SAMPLE, LEAF, DEPTH, BLOCK = 4, 0.3, 16_384, 1024, 10, 8192
 
 
 def usable(vector: Column) -> Column:
