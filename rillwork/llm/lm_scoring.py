@@ -29,12 +29,12 @@ class Models:
 
     words: np.ndarray
     pairs: np.ndarray
+    totals: np.ndarray
     mix: float = 0.5
 
     def losses(self, one: np.ndarray, two: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Nats of each word under both models, pairs interpolated with words."""
-        scale = self.words.sum(axis=0)
-        alone = (self.words[one] + 0.5) / (scale + 0.5 * len(self.words))
+        alone = (self.words[one] + 0.5) / (self.totals + 0.5 * len(self.words))
         out = alone.copy()
         if len(one) > 1:
             before = self.words[one[:-1]]
@@ -96,7 +96,7 @@ def fit(docs: DataFrame, target: DataFrame, id_col: str = "doc_id", text_col: st
     both[table["slot"].to_numpy()] = np.stack([table["target"].to_numpy(), table["background"].to_numpy()], axis=1)
     totals = both[:1 << WORDS].sum(axis=0, dtype=np.float64)
     matched = (np.where(totals > 0, totals.max(initial=1.0) / np.maximum(totals, 1), 1.0)).astype(np.float32)
-    return Models(both[:1 << WORDS] * matched, both[1 << WORDS:] * matched)
+    return Models(both[:1 << WORDS] * matched, both[1 << WORDS:] * matched, totals * matched)
 
 
 def score_documents(docs: DataFrame, target: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
