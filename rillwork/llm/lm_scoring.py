@@ -47,7 +47,7 @@ class Models:
 class Numbering:
     """Word and word-pair numbers of a text."""
 
-    def __init__(self, room: int = 500_000):
+    def __init__(self, room: int = 200_000):
         import xxhash
 
         self.digest, self.room = xxhash.xxh3_64_intdigest, room

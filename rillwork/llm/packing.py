@@ -28,7 +28,7 @@ class CachedTokenizer:
     generations, so memory is bounded however many distinct words a task meets.
     """
 
-    def __init__(self, path: str, room: int = 400_000):
+    def __init__(self, path: str, room: int = 300_000):
         import os
 
         import regex

@@ -34,7 +34,7 @@ class Ftrl:
 class Hasher:
     """Feature numbers of a text: words, stems, neighbouring and skipping pairs of words."""
 
-    def __init__(self, bits: int = BUCKETS, room: int = 500_000):
+    def __init__(self, bits: int = BUCKETS, room: int = 200_000):
         import re
 
         import xxhash
@@ -75,7 +75,7 @@ def ftrl_weights(examples: list[tuple[np.ndarray, int]], bits: int, params: Ftrl
 
     for _ in range(params.epochs):
         for features, label in examples:
-            at = np.append(features, size)
+            at = np.append(features.astype(np.int64), size)
             w = current(at)
             g = 1 / (1 + np.exp(-np.clip(w.sum(), -35, 35))) - label
             rise = (np.sqrt(n[at] + g * g) - np.sqrt(n[at])) / params.alpha
@@ -111,7 +111,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     def train(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         examples = []
         for b in batches:
-            examples += [(np.frombuffer(f.as_py(), dtype="<u4").astype(np.int64), y) for y, f in zip(b.column(1).to_pylist(), b.column(2))]
+            examples += [(np.frombuffer(f.as_py(), dtype="<u4"), y) for y, f in zip(b.column(1).to_pylist(), b.column(2))]
         w = ftrl_weights(examples, bits, params) if examples else np.zeros((1 << bits) + 1)
         at = np.flatnonzero(w)
         yield pa.RecordBatch.from_arrays([pa.array([at.astype("<u4").tobytes()]), pa.array([w[at].tobytes()])], ["at", "w"])
