@@ -72,7 +72,8 @@ def fit(docs: DataFrame, target: DataFrame, id_col: str = "doc_id", text_col: st
     tasks, and what reaches the driver is bounded by the two table sizes.
     """
     chosen = target.select(F.col(id_col).alias("_id")).where("_id is not null").distinct().withColumn("_t", F.lit(1))
-    met = docs.select(F.col(id_col).alias("_id"), F.coalesce(text_col, F.lit("")).alias("text")).join(chosen, "_id", "left").select(
+    # one join strategy at every size: target ids are as many as documents
+    met = docs.select(F.col(id_col).alias("_id"), F.coalesce(text_col, F.lit("")).alias("text")).join(chosen.hint("merge"), "_id", "left").select(
         F.coalesce("_t", F.lit(0)).alias("t"), "text")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
