@@ -36,10 +36,16 @@ def event_rate(events: DataFrame, size: str = "2 days", slide: str = "1 day", de
 
 
 def table_stream(spark: SparkSession, folder: str, table: str, files_per_trigger: int = 64) -> DataFrame:
-    """A staged table read as a stream of its files."""
-    schema = spark.read.parquet(f"{folder}/{table}.parquet").schema
-    rows = (spark.readStream.schema(schema).option("pathGlobFilter", f"{table}*.parquet")
-            .option("maxFilesPerTrigger", files_per_trigger).parquet(folder))
+    """A staged table, one file or a folder of part files, read as a stream of its files."""
+    name = f"{table}.parquet"
+    schema = spark.read.parquet(f"{folder}/{name}").schema
+    reader = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger)
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{folder}/{name}")
+    files = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if files.getFileStatus(path).isDirectory():
+        rows = reader.parquet(f"{folder}/{name}")
+    else:
+        rows = reader.option("pathGlobFilter", name).parquet(folder)
     # event time needs zoned timestamps
     return rows.select(*[F.col(c).cast("timestamp").alias(c) if kind == "timestamp_ntz" else F.col(c) for c, kind in rows.dtypes])
 
@@ -60,6 +66,9 @@ def drained(stream: DataFrame, mode: str = "append", keys: tuple[str, ...] = ())
     query = (stream.writeStream.outputMode(mode).option("checkpointLocation", f"{base}/checkpoint")
              .trigger(availableNow=True).foreachBatch(write).start())
     query.awaitTermination()
+    put_out = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{base}/out")
+    if not put_out.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(put_out):
+        return spark.createDataFrame([], schema)
     full = T.StructType([*schema.fields, T.StructField("batch", T.LongType())])
     out = spark.read.schema(full).option("basePath", f"{base}/out").parquet(f"{base}/out")
     if mode != "update":
