@@ -113,9 +113,11 @@ def lookup_join(rows: DataFrame, table: DataFrame, key: str, how: str = "left")
 
 def fold_states(events: DataFrame, key: str, order: Sequence[str], target: str,
                 states: Sequence[str], allowed: dict[str, frozenset[str]], start: str,
-                chunk: int = 256) -> DataFrame:
+                chunk: int = 256, entries: DataFrame | None = None) -> DataFrame:
     """State before and after each event of a key, and whether the move was allowed.
 
+    Keys begin in ``start``, or in the ``state`` that ``entries(key, state)`` names for them.
+
     A refused move leaves the state as it was, so the state is a fold over the
     events, not a lag. An event is a map from state to state and maps compose, so
     events are cut into chunks of bounded size, each chunk is reduced to its map
@@ -140,7 +142,8 @@ def fold_states(events: DataFrame, key: str, order: Sequence[str], target: str,
     all_states = F.array(*[F.lit(i) for i in range(k)])
     maps = lists.select(key, F.col("_chunk").alias("_i"), F.transform(
         all_states, lambda s0: F.aggregate("_ev", s0, lambda s, e: step(s, e["_want"]))).alias("_map"))
-    entry = _entry_states(checkpointed(maps), key, code[start], k, chunk)
+    begin = entries.select(key, to_code[F.col("state")].alias("_begin")) if entries is not None else None
+    entry = _entry_states(checkpointed(maps), key, code[start], k, chunk, begin)
     replay = lists.join(entry, (lists[key] == entry["_key"]) & (lists["_chunk"] == entry["_i"]))
     path = F.aggregate("_ev", F.array(F.col("_entry")), lambda acc, e: F.concat(
         acc, F.array(step(F.element_at(acc, -1), e["_want"]))))
@@ -158,12 +161,15 @@ def fold_states(events: DataFrame, key: str, order: Sequence[str], target: str,
                          accepted.alias("accepted"))
 
 
-def _entry_states(maps: DataFrame, key: str, start: int, k: int, chunk: int) -> DataFrame:
+def _entry_states(maps: DataFrame, key: str, start: int, k: int, chunk: int, begin: DataFrame | None = None) -> DataFrame:
     """``(_key, _i, _entry)``: the state in force when chunk ``_i`` of a key begins."""
     longest = maps.agg(F.max("_i")).first()[0] or 0
     if longest < chunk:
         blocks = maps.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("_i", "_map"))).alias("_b"))
-        blocks = blocks.select(F.col(key).alias("_key"), "_b", F.lit(start).alias("_entry0"))
+        own = F.lit(start)
+        if begin is not None:
+            blocks, own = blocks.join(begin, key, "left"), F.coalesce("_begin", own)
+        blocks = blocks.select(F.col(key).alias("_key"), "_b", own.alias("_entry0"))
     else:
         blocked = maps.withColumn("_blk", F.floor(F.col("_i") / chunk))
         lists = blocked.groupBy(key, "_blk").agg(
@@ -172,7 +178,7 @@ def _entry_states(maps: DataFrame, key: str, start: int, k: int, chunk: int) ->
         outer = lists.select(key, F.col("_blk").alias("_i"), F.transform(
             all_states, lambda s0: F.aggregate("_b", s0, lambda s, m: F.element_at(m["_map"], s + 1))
         ).alias("_map"))
-        upper = _entry_states(checkpointed(outer), key, start, k, chunk)
+        upper = _entry_states(checkpointed(outer), key, start, k, chunk, begin)
         blocks = lists.join(upper, (lists[key] == upper["_key"]) & (lists["_blk"] == upper["_i"]))
         blocks = blocks.select("_key", "_b", F.col("_entry").alias("_entry0"))
     path = F.aggregate("_b", F.array(F.col("_entry0")), lambda acc, m: F.concat(

@@ -43,7 +43,7 @@ _COLS = ("key", "event_id", "state_before", "state_after", "accepted")
 @query("order_lifecycle_stream", "STR-01", sql=_machine_sql(_ORDER_STEP, X.ORDER_TRANSITIONS, "submitted"))
 def _(spark, sf):
     stream = _steps(A.table_stream(spark, sf, "events"), _ORDER_STEP)
-    return A.drained(L.state_machine(stream, X.ORDER_TRANSITIONS, "submitted")).select(*_COLS)
+    return L.run_machine(stream, X.ORDER_STATUSES, X.ORDER_TRANSITIONS, "submitted", "1 day").select(*_COLS)
 
 
 @query("order_lifecycle_batch", "STR-01", sql=_machine_sql(_ORDER_STEP, X.ORDER_TRANSITIONS, "submitted"))
@@ -61,7 +61,7 @@ def _(spark, sf):
 @query("catalog_lifecycle_stream", "STR-02", sql=_machine_sql(_CATALOG_STEP, X.CATALOG_TRANSITIONS, "draft"))
 def _(spark, sf):
     stream = _steps(A.table_stream(spark, sf, "events"), _CATALOG_STEP)
-    return A.drained(L.state_machine(stream, X.CATALOG_TRANSITIONS, "draft")).select(*_COLS)
+    return L.run_machine(stream, X.CATALOG_STATUSES, X.CATALOG_TRANSITIONS, "draft", "1 day").select(*_COLS)
 
 
 @query("payment_events", "STR-03", sql="SELECT CAST(user_id AS VARCHAR) AS key, arg_min(event_id, (ts, event_id)) AS event_id FROM events WHERE event_type = 'purchase' GROUP BY 1")
@@ -69,7 +69,7 @@ def _(spark, sf):
     # every notice is delivered twice
     stream = A.table_stream(spark, sf, "events").where("event_type = 'purchase'").withColumn("copy", F.explode(F.array(F.lit(1), F.lit(2))))
     notices = stream.select(F.col("user_id").cast("string").alias("key"), "event_id", "ts", F.lit("paid").alias("target"))
-    return A.drained(L.payments(notices, X.ORDER_TRANSITIONS, delay="40 days")).where("accepted").select("key", "event_id")
+    return L.run_payments(notices, X.ORDER_STATUSES, X.ORDER_TRANSITIONS, "40 days").where("accepted").select("key", "event_id")
 
 
 @query("audit_log", "STR-04", sql="SELECT 'request' AS entity_type, event_type AS event_name, count(*) AS n FROM events GROUP BY 2")
@@ -88,13 +88,36 @@ def _(spark, sf):
     return A.drained(A.gauge_monthly(readings), "update", ("site", "month")).withColumn("mean", R(F.col("mean")))
 
 
-@query("delivery_expiry_stream", "STR-06")
+# a revocation before, at or after the end of the grant
+_REVOKED_AFTER = "CASE WHEN o_orderkey % 11 = 0 THEN 2 WHEN o_orderkey % 7 = 0 THEN 45 WHEN o_orderkey % 13 = 0 THEN 60 END"
+
+
+@query("delivery_expiry_stream", "STR-06", sql=f"""WITH o AS (SELECT CAST(o_orderkey AS VARCHAR) AS key, o_orderdate AS ts, {_REVOKED_AFTER} AS d FROM orders),
+ n AS (SELECT max(greatest(ts, ts + coalesce(d, 0) * INTERVAL 1 DAY)) AS newest FROM o)
+SELECT key, CAST(ts + d * INTERVAL 1 DAY AS TIMESTAMP) AS at, 'revoked' AS access FROM o WHERE d IS NOT NULL
+UNION ALL SELECT key, CAST(ts + INTERVAL 45 DAY AS TIMESTAMP), 'expired' FROM o, n WHERE coalesce(d, 60) > 45 AND ts + INTERVAL 45 DAY <= newest""")
+def _(spark, sf):
+    day = F.expr(_REVOKED_AFTER)
+    change = lambda ts, kind: F.struct(ts.alias("ts"), F.lit(kind).alias("kind"))
+    when = F.col("o_orderdate")
+    changes = F.array_compact(F.array(change(when, "granted"), F.when(day.isNotNull(), change(when + F.make_dt_interval(day), "revoked"))))
+    stream = A.table_stream(spark, sf, "orders").select(F.col("o_orderkey").cast("string").alias("key"), F.explode(changes).alias("c"),
+                                                        (when + F.expr("INTERVAL 45 DAYS")).alias("expires_at"))
+    return L.run_expiry(stream.select("key", "c.ts", "c.kind", "expires_at"), "3000 days").select("key", "at", "access")
+
+
+@query("gauge_days", "STR-05", sql="""WITH d AS (SELECT user_id % 10 AS site, date_trunc('day', ts)::TIMESTAMP AS day, sum(value) AS total, count(*) AS n FROM events GROUP BY 1, 2)
+SELECT site, day, round(total, 4) AS total, n FROM d WHERE day + INTERVAL 1 DAY <= (SELECT max(ts) - INTERVAL 2 DAY FROM events)""")
+def _(spark, sf):
+    readings = A.table_stream(spark, sf, "events").select((F.col("user_id") % 10).alias("site"), "ts", "value")
+    return A.drained(A.gauge_daily(readings, "2 days")).withColumn("total", R(F.col("total"), 4))
+
+
+@query("event_rate", "STR-07", sql="""WITH w AS (SELECT date_trunc('day', ts)::TIMESTAMP - back * INTERVAL 1 DAY AS start, event_type AS event, count(*) AS n FROM events, (SELECT unnest([0, 1]) AS back) GROUP BY 1, 2)
+SELECT start, event, n FROM w WHERE start + INTERVAL 2 DAY <= (SELECT max(ts) - INTERVAL 1 DAY FROM events)""")
 def _(spark, sf):
-    orders = A.table_stream(spark, sf, "orders").where("o_orderkey % 4 = 0")
-    granted = orders.select(F.col("o_orderkey").cast("string").alias("key"), F.col("o_orderdate").alias("ts"), F.lit("granted").alias("kind"), (F.col("o_orderdate") + F.expr("INTERVAL 45 DAYS")).alias("expires_at"))
-    revoked = orders.where("o_orderkey % 11 = 0").select(F.col("o_orderkey").cast("string").alias("key"), (F.col("o_orderdate") + F.expr("INTERVAL 2 DAYS")).alias("ts"),
-                                                          F.lit("revoked").alias("kind"), (F.col("o_orderdate") + F.expr("INTERVAL 45 DAYS")).alias("expires_at"))
-    return A.drained(L.delivery_expiry(granted.unionByName(revoked)))
+    events = A.table_stream(spark, sf, "events").select("ts", F.col("event_type").alias("event"))
+    return A.drained(A.event_rate(events))
 
 
 @query("live_counters", "STR-07", sql="SELECT concat('P', user_id % 4) AS product, event_type AS event, count(*) AS n, round(sum(value), 4) AS duration_s FROM events GROUP BY 1, 2")

@@ -11,7 +11,6 @@ from rillwork.operators import flow as W
 from rillwork.plans import load_registry
 from rillwork.sources import files, layers, tables
 from rillwork.streaming import lifecycle as L
-from rillwork.streaming.aggregates import drained
 
 
 def test_every_inventory_row_has_a_query():
@@ -58,10 +57,10 @@ def test_flow_sink_and_column_choice(spark, tmp_path):
         W.value_column(["a"], "Temp")
 
 
-def test_expiry_timer_fires_and_revocation_wins(spark, tmp_path):
+def test_grants_end_and_revocation_wins(spark, tmp_path):
     src = tmp_path / "in"
     spark.sql("""SELECT * FROM VALUES ('a', timestamp'2024-01-01', 'granted', timestamp'2024-01-05'), ('b', timestamp'2024-01-01', 'granted', timestamp'2024-03-01'),
       ('c', timestamp'2024-01-01', 'granted', timestamp'2024-01-05'), ('c', timestamp'2024-01-02', 'revoked', timestamp'2024-01-05'),
       ('z', timestamp'2024-02-01', 'granted', timestamp'2024-12-01') AS t(key, ts, kind, expires_at)""").write.parquet(str(src))
     stream = spark.readStream.schema(spark.read.parquet(str(src)).schema).parquet(str(src))
-    assert {(r.key, r.access) for r in drained(L.delivery_expiry(stream)).collect()} == {("a", "expired"), ("c", "revoked")}
+    assert {(r.key, r.access) for r in L.run_expiry(stream, "0 days").collect()} == {("a", "expired"), ("c", "revoked")}

@@ -1,5 +1,10 @@
 import os
+from functools import partial
 
+import pytest
+
+from rillwork.plans import load_registry
+from rillwork.streaming import aggregates, lifecycle
 from rillwork.streaming.aggregates import drained, table_stream
 
 FOLDER = "/root/testdata/sf0.001"
@@ -18,3 +23,60 @@ def test_tables_as_file_and_as_folder(spark, tmp_path):
 def test_a_stream_that_puts_out_nothing(spark, tmp_path):
     spark.read.parquet(f"{FOLDER}/events.parquet").limit(0).write.parquet(f"{tmp_path}/events.parquet")
     assert drained(table_stream(spark, str(tmp_path), "events")).count() == 0
+
+
+STREAMS = ("order_lifecycle_stream", "catalog_lifecycle_stream", "payment_events", "audit_log", "gauge_stream",
+           "delivery_expiry_stream", "live_counters")
+
+
+@pytest.fixture(scope="module")
+def scattered(spark, tmp_path_factory):
+    """The tables as folders of three files each, the latest events first."""
+    folder = tmp_path_factory.mktemp("scattered")
+    for table, time in (("events", "ts"), ("orders", "o_orderdate")):
+        rows = spark.read.parquet(f"{FOLDER}/{table}.parquet")
+        rows.repartitionByRange(3, time).write.parquet(f"{folder}/{table}.parquet")
+        for i, file in enumerate(sorted(f for f in os.listdir(f"{folder}/{table}.parquet") if f.startswith("part-"))):
+            os.utime(f"{folder}/{table}.parquet/{file}", (1_700_000_000 - 1000 * i,) * 2)
+    return str(folder)
+
+
+@pytest.mark.parametrize("name", STREAMS)
+def test_streams_in_files_newest_first_give_the_batch_answer(spark, scattered, monkeypatch, name):
+    query = load_registry()[name].run
+    want = sorted(map(str, query(spark, FOLDER).collect()))
+    one_file = aggregates.table_stream
+    monkeypatch.setattr(aggregates, "table_stream", lambda s, folder, table: one_file(s, folder, table, 1))
+    monkeypatch.setattr(lifecycle, "drained_in_order", partial(_patient, lifecycle.drained_in_order))
+    assert sorted(map(str, query(spark, scattered).collect())) == want
+
+
+def _patient(drain, stream, step, delay):
+    return drain(stream, step, "5000 days")
+
+
+def test_late_and_invalid_rows_keep_an_outcome(spark, tmp_path):
+    moves, states = {"a": frozenset("b"), "b": frozenset("c")}, ("a", "b", "c")
+    run = lifecycle.OrderedRun(spark, str(tmp_path), lifecycle.machine_step(states, moves, "a"), "1 day", gather=2)
+    batches = ["('k', 1, timestamp'2024-01-10', 'b'), ('m', 2, timestamp'2024-01-02', 'b')", "('k', 3, timestamp'2024-01-01', 'b'), ('k', 4, timestamp'2024-01-12', 'c')",
+               "('m', 5, timestamp'2024-01-20', 'c'), (NULL, 6, timestamp'2024-01-20', 'c'), ('k', 7, CAST(NULL AS timestamp), 'c')", "('m', 5, timestamp'2024-01-20', 'c')"]
+    for i, rows in enumerate(batches):
+        run(spark.sql(f"SELECT * FROM VALUES {rows} AS t(key, event_id, ts, target)"), i)
+    # a batch that is replayed replaces its own rows
+    run(spark.sql(f"SELECT * FROM VALUES {batches[-1]} AS t(key, event_id, ts, target)"), len(batches) - 1)
+    run.close()
+    got = sorted((r.event_id, r.outcome, r.state_after) for r in run.output().collect())
+    assert got == [(1, "applied", "b"), (2, "applied", "b"), (3, "late", None), (4, "applied", "c"), (5, "applied", "c"), (6, "invalid", None), (7, "invalid", None)]
+
+
+def test_expiry_across_batches(spark, tmp_path):
+    run = lifecycle.OrderedRun(spark, str(tmp_path), lifecycle.expiry_step, "0 days", gather=2)
+    day = "timestamp'2024-01-{:02d}'".format
+    batches = [[("a", 1, "granted", 5), ("b", 1, "granted", 5), ("c", 1, "granted", 4)], [("b", 5, "revoked", 5), ("a", 3, "granted", 9)],
+               [("d", 8, "granted", 30)], [("e", 10, "granted", 12), ("f", 2, "granted", 3)]]
+    for i, rows in enumerate(batches):
+        values = ", ".join(f"('{k}', {day(t)}, '{kind}', {day(e)})" for k, t, kind, e in rows)
+        run(spark.sql(f"SELECT * FROM VALUES {values} AS t(key, ts, kind, expires_at)"), i)
+    run.close()
+    got = sorted((r.key, r.access or "", r.at.day if r.at else 0, r.outcome) for r in run.output().collect())
+    assert got == [("a", "expired", 9, "applied"), ("b", "revoked", 5, "applied"), ("c", "expired", 4, "applied"), ("f", "", 0, "late")]
