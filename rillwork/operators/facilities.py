@@ -96,9 +96,9 @@ def match_by_likeness(candidates: DataFrame, known: DataFrame) -> DataFrame:
     score = NAME_WEIGHT * jaccard(F.col("c_name"), F.col("k_name")) + ADDRESS_WEIGHT * jaccard(F.col("c_address"), F.col("k_address")) + DISTANCE_WEIGHT * near
     scored = met.withColumn("distance_m", gap).where(F.col("distance_m") <= SITE_RADIUS_M).select(
         "candidate_id", "facility_id", F.round(score, 6).alias("score"), "distance_m")
-    top = scored.groupBy("candidate_id").agg(F.max(F.struct("score", (-F.col("facility_id")).alias("f"))).alias("t"))
-    ties = scored.join(top, "candidate_id").groupBy("candidate_id").agg(
-        F.first("t.score").alias("score"), (-F.first("t.f")).alias("facility_id"), F.count_if(F.col("score") == F.col("t.score")).alias("equals"))
+    top = scored.groupBy("candidate_id").agg(F.max("score").alias("best"))
+    ties = scored.join(top, "candidate_id").where(F.col("score") == F.col("best")).groupBy("candidate_id").agg(
+        F.first("best").alias("score"), F.min("facility_id").alias("facility_id"), F.count("*").alias("equals"))
     out = candidates.select("candidate_id").join(ties, "candidate_id", "left")
     decision = (F.when((F.col("score") >= HIGH_CONFIDENCE) & (F.col("equals") == 1), "linked")
                 .when(F.col("score") >= REVIEW_CONFIDENCE, "review").otherwise("distinct"))

@@ -8,8 +8,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rillwork.functions import vectors as V
-from rillwork.operators.network import accumulate_downstream, check_topology
+from rillwork.operators.network import accumulate_downstream, refuse_bad_topology
 from rillwork.operators.scale import exact_percentiles
+from rillwork.session import checkpointed
 
 # degrees Celsius: all snow at or below, all rain at or above; melt starts / is complete
 ALL_SNOW, ALL_RAIN, MELT_START, MELT_FULL = -1.0, 3.0, 0.0, 6.0
@@ -85,19 +86,33 @@ def monthly_flow(reaches: DataFrame, climate: DataFrame, years: list[int] | None
 
     All years run in one job: the year is only one more key of the values, the
     river pointers are shared. ``climate(hydroseq, year, precip_mm, temp_c)`` must
-    cover every reach in every year asked for.
+    cover every reach once in every year asked for (by default: every year it holds);
+    a gap, a repeated id or a pointer that does not run downstream raises.
     """
+    pointers = reaches.select("hydroseq", "dnhydroseq")
+    refuse_bad_topology(pointers)
     chosen = climate.where(F.col("year").isin(*years)) if years else climate
     shaped = water_shape(chosen).select("hydroseq", "year", F.col("shape").alias("_shape"))
     incr = F.greatest(F.col("q_incr"), F.lit(0.0))
     names = [f"m{m}" for m in V.MONTHS]
-    local = reaches.join(shaped, "hydroseq").select(
-        "hydroseq", "dnhydroseq", "year",
-        *[(F.element_at("_shape", m) * incr).alias(f"m{m}") for m in V.MONTHS])
-    total = accumulate_downstream(local, names, ["year"])
+    local = checkpointed(reaches.join(shaped, "hydroseq").select(
+        "hydroseq", "year", *[(F.element_at("_shape", m) * incr).alias(f"m{m}") for m in V.MONTHS]))
+    _refuse_gaps(reaches, local, len(set(years)) if years else None)
+    total = accumulate_downstream(local, names, ["year"], pointers)
     return total.select("hydroseq", "year", F.array(*names).alias("q"))
 
 
+def _refuse_gaps(reaches: DataFrame, local: DataFrame, years: int | None) -> None:
+    if years is None:
+        years = local.select("year").distinct().count()
+    held = local.groupBy("hydroseq").agg(F.count("*").alias("_n"), F.count_distinct("year").alias("_y"))
+    bad = reaches.select("hydroseq").join(held, "hydroseq", "left").where(
+        (F.coalesce("_y", F.lit(0)) != years) | (F.col("_n") != F.col("_y"))).limit(3).collect()
+    if bad:
+        raise ValueError(f"climate must hold each reach once in {years} years: " + ", ".join(
+            f"{r['hydroseq']} has {r['_n'] or 0} rows in {r['_y'] or 0} years" for r in bad))
+
+
 def uncovered(reaches: DataFrame, climate: DataFrame) -> DataFrame:
     """Reach-years the climate misses; a run on them would be an error."""
     years = climate.select("year").distinct()
@@ -106,10 +121,6 @@ def uncovered(reaches: DataFrame, climate: DataFrame) -> DataFrame:
     return want.join(climate.select("hydroseq", "year"), ["hydroseq", "year"], "left_anti")
 
 
-def topology_problems(reaches: DataFrame) -> DataFrame:
-    return check_topology(reaches)
-
-
 def mass_balance(flow: DataFrame, qama: DataFrame, floor: float = 1.0) -> DataFrame:
     """Median, P10 and P90 of mean monthly flow over mean annual flow, reaches above ``floor``."""
     ratio = flow.join(qama.where(F.col("qama") > floor), "hydroseq").select(

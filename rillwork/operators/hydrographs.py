@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from rillwork.functions import series as S
 from rillwork.functions import vectors as V
+from rillwork.session import broadcast_if_small
 
 
 def complete_years(hydro: DataFrame, q: str = "q") -> DataFrame:
@@ -55,7 +56,7 @@ def composite_hydrographs(hydro: DataFrame, index: DataFrame, warm_min: float =
         raise ValueError("cool_max must be below warm_min")
     v = F.col("value")
     phase = F.when(v >= warm_min, "warm").when(v <= cool_max, "cool").otherwise("neutral")
-    joined = hydro.join(index, "year")
+    joined = hydro.join(broadcast_if_small(index), "year")
     tagged = joined.select("site", "year", "q", phase.alias("phase"))
     cells = [F.avg(F.element_at("q", m)).alias(f"_m{m}") for m in V.MONTHS]
     wide = tagged.groupBy("site", "phase").agg(
@@ -107,7 +108,7 @@ def align_index(metric: DataFrame, index: DataFrame, lag: int = 0) -> DataFrame:
     """metric[y] next to index[y - lag] over the common years."""
     shifted = index.select((F.col("year") + lag).alias("year"), F.col("value").alias("index_value"),
                            *[c for c in index.columns if c not in ("year", "value")])
-    return metric.join(shifted, "year")
+    return metric.join(broadcast_if_small(shifted), "year")
 
 
 def correlate(metric: DataFrame, index: DataFrame, keys: Sequence[str], lag: int = 0) -> DataFrame:
@@ -193,8 +194,8 @@ def autocorrelation(metric: DataFrame, lags: int = 15, keys: Sequence[str] = ("s
     """Lagged autocorrelation 0..lags and the 95 % band, from each site's yearly array."""
     base = S.yearly_series(metric, keys, "year", "value", "_v")
     v, n = F.col("_v"), F.size("_v")
-    centred = F.transform(v, lambda x: x - F.aggregate(v, F.lit(0.0), lambda a, b: a + b) / n)
-    base = base.withColumn("_c", centred).withColumn("_n", n)
+    base = base.withColumn("_m", F.aggregate(v, F.lit(0.0), lambda a, b: a + b) / n).withColumn("_n", n)
+    base = base.withColumn("_c", F.transform(v, lambda x: x - F.col("_m")))
     c = F.col("_c")
     power = F.aggregate(c, F.lit(0.0), lambda a, x: a + x * x) / F.col("_n")
     rows = base.withColumn("_p", power).withColumn(

@@ -273,7 +273,7 @@ def strahler_order(segments: DataFrame) -> DataFrame:
         left = checkpointed(left.join(heads, "u", "left_anti"))
     if done is None:
         return segments.withColumn("stream_order", F.lit(None).cast("int"))
-    # an edge dropped to open a cycle starts where its siblings start: order of its node
+    # an edge dropped to open a cycle takes part in no order and counts as first
     result = segments.join(done, "segment_id", "left")
     return result.select(*[segments[c] for c in segments.columns],
                          F.coalesce("stream_order", F.lit(1)).alias("stream_order"))
@@ -331,24 +331,35 @@ def check_topology(reaches: DataFrame) -> DataFrame:
     return repeated.unionByName(uphill)
 
 
-def accumulate_downstream(reaches: DataFrame, values: list[str],
-                          keys: list[str] | None = None) -> DataFrame:
+def refuse_bad_topology(reaches: DataFrame) -> None:
+    """Raise with examples if ids repeat or a pointer does not run downstream."""
+    bad = check_topology(reaches).limit(3).collect()
+    if bad:
+        raise ValueError("bad topology: " + ", ".join(f"{r['hydroseq']} ({r['problem']})" for r in bad))
+
+
+def accumulate_downstream(reaches: DataFrame, values: list[str], keys: list[str] | None = None,
+                          pointers: DataFrame | None = None) -> DataFrame:
     """Own value plus everything upstream, for each of ``values``.
 
     ``reaches(keys.., hydroseq, dnhydroseq, values..)``; a downstream id that is 0
     or absent ends the river. Pointer doubling: each round adds the sums that are
     2^k steps upstream and doubles the pointers, so rounds are log2 of the depth.
     ``keys`` (for example the year) only separate independent value sets; the
-    pointers are shared by all of them.
+    pointers are shared by all of them and may be given once as
+    ``pointers(hydroseq, dnhydroseq)``. Pointers must run to smaller ids, so that they end.
     """
     keys = keys or []
-    ids = reaches.select("hydroseq").distinct()
-    links = reaches.where("dnhydroseq <> 0").select("hydroseq", "dnhydroseq").distinct()
-    links = links.join(ids.withColumnRenamed("hydroseq", "dnhydroseq"), "dnhydroseq", "left_semi")
+    own = reaches if pointers is None else pointers
+    if pointers is None:
+        refuse_bad_topology(own.select("hydroseq", "dnhydroseq").distinct())
+    links = own.where("dnhydroseq <> 0").select("hydroseq", "dnhydroseq").distinct()
+    links = links.join(own.select(F.col("hydroseq").alias("dnhydroseq")).distinct(), "dnhydroseq", "left_semi")
     links = checkpointed(links.select("hydroseq", F.col("dnhydroseq").alias("ptr")))
     state = checkpointed(reaches.select(*keys, "hydroseq", *values))
     while not links.isEmpty():
-        sent = lookup_join(state, links, "hydroseq", "inner").groupBy(
+        # ids are unique but for the keys, so no row of this join is hot; sums combine before they move
+        sent = state.join(links, "hydroseq").groupBy(
             *keys, F.col("ptr").alias("hydroseq")).agg(
             *[F.sum(c).alias(f"_add_{c}") for c in values])
         state = checkpointed(state.join(sent, [*keys, "hydroseq"], "left").select(

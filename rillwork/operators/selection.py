@@ -202,7 +202,9 @@ def select_waterbodies(features: DataFrame, boundary: DataFrame | None = None, c
                        pond_max: float = 0.0, min_inland: float = 0.0, min_coastal: float = 0.0,
                        coastal_mode: str = "conservative", transforms=None) -> DataFrame:
     rows = _prepared(features, boundary, cell, transforms=transforms)
-    rows = rows.withColumn("class", F.when((F.col("class") == "lake") & (F.col("area_m2") < pond_max), "pond").otherwise(F.col("class")))
+    # only what lies inside is measured, so only that can turn out to be a pond
+    small = F.col("inside") & F.col("dropped").isNull() & (F.col("area_m2") < pond_max)
+    rows = rows.withColumn("class", F.when((F.col("class") == "lake") & small, "pond").otherwise(F.col("class")))
     coastal = F.col("class").isin(*X.COASTAL_CLASSES)
     limit = F.when(coastal, F.lit(float(min_coastal))).otherwise(F.lit(float(min_inland)))
     fragment = coastal & F.col("clipped") if coastal_mode == "conservative" else F.lit(False)

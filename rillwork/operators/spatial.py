@@ -53,7 +53,7 @@ def skew_join(many: DataFrame, other: DataFrame, keys: Sequence[str], how: str =
     floor = many.agg((F.count("*") / 1000 + 10_000).alias("_t")).scalar()
     hot = F.broadcast(counts.where(F.col("_c") > floor).select(*keys, F.lit(True).alias("_hot")))
     spread_by = [c for c, kind in many.dtypes if c not in keys and "map<" not in kind and "variant" not in kind]
-    seed = F.pmod(F.xxhash64(*[F.col(c) for c in spread_by[:4] or keys]), F.lit(SALTS)).cast("int")
+    seed = F.pmod(F.xxhash64(*[F.col(c) for c in spread_by or keys]), F.lit(SALTS)).cast("int")
     left = many.join(hot, keys, "left").withColumn("_salt", F.when(F.col("_hot"), seed).otherwise(0)).drop("_hot")
     spread = F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
     right = other.join(hot, keys, "left").withColumn("_salt", F.explode(spread)).drop("_hot")

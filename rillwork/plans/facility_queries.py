@@ -79,11 +79,11 @@ def _(spark, sf):
     return B.registry_partition(reg).groupBy("jurisdiction", "standing").agg(F.count("*").alias("n"))
 
 
-@query("evidence_ranking", "FAC-07", sql="""WITH e AS (SELECT l_suppkey AS f, CASE l_linenumber WHEN 1 THEN 5 WHEN 2 THEN 4 WHEN 3 THEN 3 WHEN 4 THEN 2 WHEN 5 THEN 1 END AS rank, l_orderkey AS ev FROM lineitem WHERE l_orderkey % 40 = 0)
+@query("evidence_ranking", "FAC-07", sql="""WITH e AS (SELECT l_suppkey AS f, CASE least(l_linenumber, l_suppkey % 8) WHEN 1 THEN 5 WHEN 2 THEN 4 WHEN 3 THEN 3 WHEN 4 THEN 2 WHEN 5 THEN 1 END AS rank, l_orderkey AS ev FROM lineitem)
 SELECT s_suppkey AS facility_id, min(rank) AS rank, CASE WHEN min(rank) IS NULL THEN 'candidate' ELSE 'water_relevant' END AS standing FROM supplier LEFT JOIN e ON e.f = s_suppkey GROUP BY 1""")
 def _(spark, sf):
-    kind = F.expr("CASE l_linenumber WHEN 1 THEN 'operator_disclosure' WHEN 2 THEN 'capacity_agreement' WHEN 3 THEN 'other_permit' WHEN 4 THEN 'withdrawal_permit' WHEN 5 THEN 'metered_volume' ELSE 'naics' END")
-    ev = T.table(spark, sf, "lineitem").where("l_orderkey % 40 = 0").select(F.col("l_suppkey").alias("facility_id"), kind.alias("kind"), F.col("l_orderkey").alias("evidence_id"))
+    kind = F.expr("CASE least(l_linenumber, l_suppkey % 8) WHEN 1 THEN 'operator_disclosure' WHEN 2 THEN 'capacity_agreement' WHEN 3 THEN 'other_permit' WHEN 4 THEN 'withdrawal_permit' WHEN 5 THEN 'metered_volume' ELSE 'naics' END")
+    ev = T.table(spark, sf, "lineitem").select(F.col("l_suppkey").alias("facility_id"), kind.alias("kind"), F.col("l_orderkey").alias("evidence_id"))
     return B.best_evidence(T.table(spark, sf, "supplier").select(F.col("s_suppkey").alias("facility_id")), ev).select("facility_id", "rank", "standing")
 
 

@@ -13,10 +13,12 @@ from rillwork.operators import classify as K
 from rillwork.operators import flow as W
 from rillwork.operators import hydrographs as H
 from rillwork.operators import ledger as L
+from rillwork.operators.scale import row_numbers
 from rillwork.plans import standins as T
 from rillwork.plans.registry import query
 from rillwork.plans.standins import HYDRO_SQL, INDEX_SQL, R
 from rillwork.sources import layers as Ly
+from rillwork.session import checkpointed
 from rillwork.sources import tables as Tb
 
 
@@ -68,30 +70,37 @@ def _(spark, sf):
     return out.select("site", "year", R(F.col("fr")).alias("snow_fraction"), W.regime(F.col("fr")).alias("regime"), R(center).alias("melt_center"))
 
 
-# the part tree as a river; each reach takes the climate of the supplier its id maps to
+# the part tree as a river; reaches take the climate of the suppliers in turn
 def _reach_climate(spark, sf):
-    reaches = T.part_reaches(spark, sf).withColumn("site", F.col("hydroseq") % 50).select("hydroseq", "site")
-    climate = _climate(spark, sf).where("year BETWEEN 1996 AND 1998")
-    return reaches.join(climate, "site").drop("site")
-
-
-_FLOW = _SNOW + """, sh AS (SELECT site, year, month, CASE WHEN avg(rain + melt) OVER w > 0 THEN (rain + melt) / avg(rain + melt) OVER w ELSE 1 END AS shape
-  FROM rm WHERE year BETWEEN 1996 AND 1998 WINDOW w AS (PARTITION BY site, year)),
+    """Suppliers whose record is whole in every year that any supplier has whole."""
+    climate = checkpointed(_climate(spark, sf))
+    years = climate.select("year").distinct()
+    whole = climate.groupBy("site").agg(F.count("*").alias("n")).where(F.col("n") == years.agg(F.count("*")).scalar())
+    turns = checkpointed(row_numbers(whole.select("site"), [], ["site"], "turn"))
+    reaches = T.part_reaches(spark, sf).select("hydroseq").withColumn("turn", F.pmod("hydroseq", turns.agg(F.count("*")).scalar()) + 1)
+    return reaches.join(turns, "turn").join(climate, "site").drop("site", "turn")
+
+
+_TURNS = """ys AS (SELECT DISTINCT year FROM full_clim),
+ turns AS (SELECT site, row_number() OVER (ORDER BY site) AS turn FROM (SELECT site FROM full_clim GROUP BY 1 HAVING count(DISTINCT year) = (SELECT count(*) FROM ys))),
+ src AS (SELECT p_partkey + 1 AS h, t.site FROM part JOIN turns t ON t.turn = (p_partkey + 1) % (SELECT count(*) FROM turns) + 1)"""
+_FLOW = _SNOW + f""", {_TURNS}, sh AS (SELECT site, year, month, CASE WHEN avg(rain + melt) OVER w > 0 THEN (rain + melt) / avg(rain + melt) OVER w ELSE 1 END AS shape
+  FROM rm WINDOW w AS (PARTITION BY site, year)),
  anc AS (SELECT p_partkey + 1 AS h, p_partkey + 1 AS a FROM part UNION ALL SELECT h, a // 2 FROM anc WHERE a // 2 > 0),
- loc AS (SELECT p.p_partkey + 1 AS h, s.year, s.month, s.shape * p.p_size AS v FROM part p JOIN sh s ON s.site = (p.p_partkey + 1) % 50),
+ loc AS (SELECT src.h, s.year, s.month, s.shape * p.p_size AS v FROM src JOIN part p ON p.p_partkey + 1 = src.h JOIN sh s ON s.site = src.site),
  flow AS (SELECT a.a AS hydroseq, l.year, l.month, sum(l.v) AS v FROM loc l JOIN anc a ON a.h = l.h GROUP BY 1, 2, 3)"""
 
 
 @query("yearly_flow", "FN-03", "FN-04", "UDF-03", sql=f"WITH RECURSIVE {_FLOW} SELECT hydroseq, year, month, round(v, 4) AS v FROM flow")
 def _(spark, sf):
     reaches = T.part_reaches(spark, sf).select("hydroseq", "dnhydroseq", "q_incr")
-    out = W.flow_from_source(reaches, lambda years: _reach_climate(spark, sf), [1996, 1997, 1998])
+    climate = _reach_climate(spark, sf)
+    years = [r["year"] for r in climate.select("year").distinct().collect()]  # calendar years
+    out = W.flow_from_source(reaches, lambda _: climate, years)
     return V.month_rows(out, ["hydroseq", "year"]).withColumn("v", R(F.col("v"), 4))
 
 
-@query("climate_gaps", "FN-04", sql=f"""WITH {_CLIM}, k AS (SELECT DISTINCT site, year FROM full_clim WHERE year BETWEEN 1996 AND 1998),
- ys AS (SELECT DISTINCT year FROM k), w AS (SELECT p_partkey + 1 AS hydroseq, year FROM part, ys)
-SELECT hydroseq, w.year FROM w LEFT JOIN k ON k.site = w.hydroseq % 50 AND k.year = w.year AND NOT (w.hydroseq % 10 = 3 AND w.year = 1997) WHERE k.site IS NULL""")
+@query("climate_gaps", "FN-04", sql=f"""WITH {_CLIM}, {_TURNS} SELECT p_partkey + 1 AS hydroseq, year FROM part, ys WHERE (p_partkey + 1) % 10 = 3 AND year = 1997""")
 def _(spark, sf):
     held = _reach_climate(spark, sf).where("NOT (hydroseq % 10 = 3 AND year = 1997)")
     return W.uncovered(T.part_reaches(spark, sf).select("hydroseq"), held)
@@ -138,9 +147,9 @@ def _(spark, sf):
 @query("gridded_climate", "SRC-13", sql="""WITH c AS (SELECT l_suppkey % 8 AS r, l_partkey % 8 AS c, year(l_shipdate) AS year, month(l_shipdate) AS month, max(l_quantity) AS v, max(l_tax) AS t FROM lineitem GROUP BY ALL),
  g AS (SELECT r, c, year FROM c GROUP BY ALL), mm AS (SELECT g.*, unnest(range(1, 13)) AS month FROM g)
 SELECT p_partkey + 1 AS hydroseq, CAST(mm.year AS INTEGER) AS year, CAST(mm.month AS INTEGER) AS month, CASE WHEN c.v IS NULL OR c.v = 50 THEN 0 ELSE c.v END AS precip, coalesce(c.t, 10) AS temp
-FROM part JOIN mm ON mm.r = p_partkey % 8 AND mm.c = p_size % 8 LEFT JOIN c ON c.r = mm.r AND c.c = mm.c AND c.year = mm.year AND c.month = mm.month WHERE mm.year = 1997""")
+FROM part JOIN mm ON mm.r = p_partkey % 8 AND mm.c = p_size % 8 LEFT JOIN c ON c.r = mm.r AND c.c = mm.c AND c.year = mm.year AND c.month = mm.month""")
 def _(spark, sf):
-    li = T.table(spark, sf, "lineitem").where(F.year("l_shipdate") == 1997)
+    li = T.table(spark, sf, "lineitem")
     base = li.select((F.col("l_suppkey") % 8).alias("row"), (F.col("l_partkey") % 8).alias("col"), F.year("l_shipdate").alias("year"),
                      F.month("l_shipdate").alias("month"), F.array(
                          F.struct(F.lit("precip").alias("var"), F.col("l_quantity").alias("value")),
@@ -476,9 +485,9 @@ def _(spark, sf):
     return Ly.union_basins([a, b], "id")
 
 
-@query("all_basins", "SET-07", sql="SELECT p_brand, min(p_partkey) AS pos FROM (SELECT p_brand, p_partkey FROM part WHERE p_size < 40) GROUP BY 1")
+@query("all_basins", "SET-07", sql="SELECT p_brand, min(p_partkey) AS pos FROM part GROUP BY 1")
 def _(spark, sf):
-    return T.table(spark, sf, "part").where("p_size < 40").groupBy("p_brand").agg(F.min("p_partkey").alias("pos"))
+    return T.table(spark, sf, "part").groupBy("p_brand").agg(F.min("p_partkey").alias("pos"))
 
 
 @query("huc_prefix_match", "JN-21", sql="SELECT c_custkey FROM customer WHERE starts_with(lpad(CAST(c_custkey AS VARCHAR), 6, '0'), '0007') OR starts_with(lpad(CAST(c_custkey AS VARCHAR), 6, '0'), '00012')")

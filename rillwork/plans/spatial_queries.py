@@ -143,7 +143,7 @@ def _(spark, sf):
 
 _WB = f"""{_BOXES}, w AS (SELECT b.*, CASE b.p_size % 7 WHEN 0 THEN 'excluded' WHEN 1 THEN 'lake' WHEN 2 THEN 'reservoir' WHEN 3 THEN 'bay' WHEN 4 THEN 'coastal' WHEN 5 THEN 'lake' ELSE 'inlet' END AS cls FROM bx b),
  g AS (SELECT *, greatest(0, least(x1, 800) - greatest(x0, 200)) * greatest(0, least(y1, 800) - greatest(y0, 200)) AS shared, (x1 - x0) * (y1 - y0) AS own FROM w),
- h AS (SELECT *, shared < own AND shared > 0 AS clipped, CASE WHEN cls = 'lake' AND shared < 300 THEN 'pond' ELSE cls END AS class, cls IN ('bay', 'inlet', 'coastal') AS coast FROM g),
+ h AS (SELECT *, shared < own AND shared > 0 AS clipped, CASE WHEN cls = 'lake' AND shared > 0 AND shared < 300 THEN 'pond' ELSE cls END AS class, cls IN ('bay', 'inlet', 'coastal') AS coast FROM g),
  i AS (SELECT *, cls <> 'excluded' AND shared > 0 AND NOT (coast AND clipped) AND shared >= CASE WHEN coast THEN 200 ELSE 120 END AS ok FROM h),
  j AS (SELECT *, row_number() OVER (PARTITION BY ok, x0, y0, x1, y1 ORDER BY pos) AS k FROM i)"""
 
@@ -168,10 +168,7 @@ def _(spark, sf):
     r = F.col("reason")
     why = (F.when(r.contains("by code"), "by code").when(r.contains("outside"), "outside").when(r.contains("fragment"), "fragment")
            .when(r.startswith("excluded: area"), "area").when(r.contains("duplicate"), "duplicate").otherwise("kept"))
-    # an area outside the region is not measured, so its lake/pond split is by its own size
-    out = _selected(spark, sf)
-    cls = F.when((F.col("class") == "lake") & r.contains("outside"), "pond").otherwise(F.col("class"))
-    return out.select("pos", cls.alias("class"), "bucket", why.alias("why"))
+    return _selected(spark, sf).select("pos", "class", "bucket", why.alias("why"))
 
 
 @query("selection_counts", "AGG-36", sql=f"""WITH {_WB}, s AS (SELECT class, ok AND k = 1 AS sel FROM j) SELECT 'candidates' AS item, count(*) AS n FROM s UNION ALL SELECT CASE WHEN sel THEN 'selected' ELSE 'excluded' END, count(*) FROM s GROUP BY sel

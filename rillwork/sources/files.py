@@ -4,13 +4,12 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from urllib.parse import quote
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Files up to this size are read whole by the binary source; larger ones in chunks.
-WHOLE_LIMIT = 256 * 1024 * 1024
 _CHUNK = 8 * 1024 * 1024
 
 
@@ -24,26 +23,30 @@ def listing(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame:
 
 
 def hashed_files(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame:
-    """Listing plus SHA-256. Small files are hashed by Spark; large ones are streamed
-    in chunks through the file system mount by one task each."""
-    files = (spark.read.format("binaryFile").option("recursiveFileLookup", True)
-             .option("pathGlobFilter", pattern).load(path))
-    root = path.rstrip("/").split("://")[-1] + "/"
-    rel = F.element_at(F.split("path", root, 2), -1).alias("relative_path")
-    small = files.where(F.col("length") <= WHOLE_LIMIT).select(
-        "path", rel, F.col("length").alias("size"), F.sha2("content", 256).alias("checksum"))
-    large = files.where(F.col("length") > WHOLE_LIMIT).select("path", rel, F.col("length").alias("size"))
-    return small.unionByName(large.repartition("path").mapInPandas(
-        _hash_paths, "path string, relative_path string, size bigint, checksum string"))
+    """Listing plus SHA-256, each file streamed in chunks through the file system of its path."""
+    files = listing(spark, path, pattern)
+    return files.repartition("path").mapInPandas(
+        _hash_paths, "path string, relative_path string, size bigint, checksum string")
+
+
+def _uri(path: str) -> str:
+    """Path as its file system's own scheme: ``file:/x`` is ``file:///x``, ``s3a`` is ``s3``."""
+    scheme, sep, rest = path.partition(":")
+    if sep and not rest.startswith("//"):
+        rest = "//" + rest
+    return f"{'s3' if scheme in ('s3a', 's3n') else scheme}{sep}{quote(rest, safe='/:@')}"
 
 
 def _hash_paths(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    from pyarrow import fs
+
     for batch in batches:
         sums = []
         for path in batch["path"]:
+            system, name = fs.FileSystem.from_uri(_uri(path))
             digest = hashlib.sha256()
-            with open(path.removeprefix("file:"), "rb") as fh:
-                while chunk := fh.read(_CHUNK):
+            with system.open_input_stream(name) as stream:
+                while chunk := stream.read(_CHUNK):
                     digest.update(chunk)
             sums.append(digest.hexdigest())
         yield batch.assign(checksum=sums)

@@ -28,12 +28,11 @@ def test_staged_layers(spark, tmp_path):
     assert layers.scan(spark, str(tmp_path / "none"), "nhd", "1708", "point") is None
 
 
-def test_files_are_hashed(spark, tmp_path, monkeypatch):
-    for name, text in (("a.bin", b"one"), ("b.bin", b"twenty")):
+def test_files_are_hashed(spark, tmp_path):
+    for name, text in (("a.bin", b"one"), ("b b%.bin", b"twenty" * 3_000_000)):
         (tmp_path / name).write_bytes(text)
-    monkeypatch.setattr(files, "WHOLE_LIMIT", 4)
     got = {r.relative_path: (r.size, r.checksum) for r in files.hashed_files(spark, str(tmp_path)).collect()}
-    assert got == {n: (len(t), hashlib.sha256(t).hexdigest()) for n, t in (("a.bin", b"one"), ("b.bin", b"twenty"))}
+    assert got == {n: (len(t), hashlib.sha256(t).hexdigest()) for n, t in (("a.bin", b"one"), ("b b%.bin", b"twenty" * 3_000_000))}
 
 
 def test_requests_and_catalog(spark, tmp_path):
