@@ -8,13 +8,11 @@ such an array stays small however many rows the site had.
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from statistics import NormalDist
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType
 
 MAX_YEARS = 2_000
 DAYS_PER_MONTH = 30.4368
@@ -22,10 +20,15 @@ DAYS_PER_MONTH = 30.4368
 
 def yearly_series(df: DataFrame, keys: Sequence[str], year: str, value: str,
                   name: str = "series") -> DataFrame:
-    """``(keys, series)``: values ordered by year. Needs one row per key and year."""
+    """``(keys, series)``: values ordered by year. Needs one row per key and year.
+
+    A key with more than ``MAX_YEARS`` rows is an error, since it cannot be a yearly series.
+    """
     gathered = df.where(F.col(value).isNotNull()).groupBy(*keys).agg(
         F.array_sort(F.collect_list(F.struct(F.col(year).alias("y"), F.col(value).alias("v")))
                      ).alias("_s"))
+    too_long = F.raise_error(F.concat(F.lit("more than one value a year: "), F.size("_s"), F.lit(" rows of one key")))
+    gathered = gathered.withColumn("_s", F.when(F.size("_s") > MAX_YEARS, too_long).otherwise(F.col("_s")))
     return gathered.select(
         *keys,
         F.transform("_s", lambda s: s["v"]).alias(name),
@@ -77,10 +80,27 @@ def trend_label(s: Column, n: Column, alpha: float = 0.05) -> Column:
             .otherwise("none"))
 
 
-@F.pandas_udf(DoubleType())
-def two_sided_p(z: pd.Series) -> pd.Series:
-    """Two-sided normal tail probability; Spark SQL has no erfc."""
-    return z.map(lambda x: math.erfc(abs(x) / math.sqrt(2.0)), na_action="ignore")
+def bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with ``value`` computed once, however often ``use`` names it."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def two_sided_p(z: Column) -> Column:
+    """Two-sided normal tail probability erfc(|z| / sqrt 2).
+
+    Below 3 the power series of erf, beyond it the continued fraction of erfc; both are
+    carried far enough for double precision.
+    """
+    def tail(x: Column) -> Column:
+        square, series, fraction = x * x, F.lit(1.0), x
+        for k in range(70, 0, -1):
+            series = 1 + series * square * (2 / (2 * k + 1))
+        for k in range(40, 0, -1):
+            fraction = x + (k / 2) / fraction
+        decay = F.exp(-square) / math.sqrt(math.pi)
+        return F.when(x < 3, 1 - 2 * decay * x * series).otherwise(decay / fraction)
+
+    return bound(F.abs(z) / math.sqrt(2.0), tail)
 
 
 def with_trend(df: DataFrame, series: str = "series", alpha: float = 0.05,

@@ -120,6 +120,16 @@ def correlate(metric: DataFrame, index: DataFrame, keys: Sequence[str], lag: int
     return out.select(*keys, "n", r.alias("r"))
 
 
+def select_members(rows: DataFrame, members: DataFrame, id_col: str = "site") -> DataFrame:
+    """The rows of the named members; a null id or one without rows is an error, with examples."""
+    wanted = members.select(id_col).distinct()
+    known = rows.select(F.col(id_col).alias("_known")).distinct()
+    unknown = wanted.join(known, F.col(id_col) == F.col("_known"), "left_anti").limit(5).collect()
+    if unknown:
+        raise ValueError(f"ids outside the series: {[r[0] for r in unknown]}")
+    return rows.join(wanted, id_col, "left_semi")
+
+
 # --- ranks and records over a site's years ------------------------------------
 
 def rank_years(metric: DataFrame, keys: Sequence[str] = ("site",), ascending: bool = True,
@@ -194,8 +204,8 @@ def autocorrelation(metric: DataFrame, lags: int = 15, keys: Sequence[str] = ("s
     """Lagged autocorrelation 0..lags and the 95 % band, from each site's yearly array."""
     base = S.yearly_series(metric, keys, "year", "value", "_v")
     v, n = F.col("_v"), F.size("_v")
-    base = base.withColumn("_m", F.aggregate(v, F.lit(0.0), lambda a, b: a + b) / n).withColumn("_n", n)
-    base = base.withColumn("_c", F.transform(v, lambda x: x - F.col("_m")))
+    mean = F.aggregate(v, F.lit(0.0), lambda a, b: a + b) / n
+    base = base.withColumn("_n", n).withColumn("_c", S.bound(mean, lambda m: F.transform(v, lambda x: x - m)))
     c = F.col("_c")
     power = F.aggregate(c, F.lit(0.0), lambda a, x: a + x * x) / F.col("_n")
     rows = base.withColumn("_p", power).withColumn(
@@ -235,9 +245,10 @@ def analog_years(hydro: DataFrame, target: DataFrame, n: int | None = None) -> D
 
 def vector_correlation(a: Column, b: Column) -> Column:
     """Pearson r of two equally long arrays; null when either is constant."""
-    ma, mb = V.mean(a), V.mean(b)
-    dev_a = F.transform(a, lambda x: x - ma)
-    dev_b = F.transform(b, lambda x: x - mb)
+    def deviations(v: Column) -> Column:
+        return S.bound(V.mean(v), lambda m: F.transform(v, lambda x: x - m))
+
+    dev_a, dev_b = deviations(a), deviations(b)
     cov = V.total(F.zip_with(dev_a, dev_b, lambda x, y: x * y))
     pa = V.total(F.transform(dev_a, lambda x: x * x))
     pb = V.total(F.transform(dev_b, lambda x: x * x))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -104,6 +104,26 @@ def fingerprint(rows: DataFrame, keys: list[str]) -> DataFrame:
         F.sum(F.xxhash64(*data).cast("decimal(38,0)")).cast("string").alias("fingerprint"))
 
 
+def record_golden(runs: DataFrame, folder: str) -> DataFrame:
+    """Write the fingerprint of every dataset to ``folder`` and return the stored table.
+
+    ``runs`` is ``dataset, fingerprint``, a row for each run. Datasets with fewer than two
+    runs, or whose runs differ, are an error with examples, and nothing is written. A
+    folder that exists already is an error as well.
+    """
+    per = runs.groupBy("dataset").agg(F.count("*").alias("runs"), F.count_distinct("fingerprint").alias("versions"),
+                                      F.min("fingerprint").alias("fingerprint"))
+    unstable = per.where("runs < 2 OR versions <> 1").limit(5).collect()
+    if unstable:
+        raise ValueError(f"datasets without two equal runs: {[r['dataset'] for r in unstable]}")
+    per.select("dataset", "fingerprint").write.parquet(folder)
+    return read_golden(runs.sparkSession, folder)
+
+
+def read_golden(spark: SparkSession, folder: str) -> DataFrame:
+    return spark.read.parquet(folder).select("dataset", "fingerprint")
+
+
 def golden_check(runs: DataFrame, golden: DataFrame) -> DataFrame:
     """stable: at least two runs agree; verdict also compares the recorded golden, if any."""
     per = runs.groupBy("dataset").agg(F.count("*").alias("runs"),

@@ -8,6 +8,7 @@ from rillwork.functions import vectors as V
 from rillwork.operators import facilities as B
 from rillwork.operators import network as N
 from rillwork.plans import standins as T
+from rillwork.plans.hydrograph_queries import _TREND_SQL, TAIL_SQL
 from rillwork.plans.registry import query
 from rillwork.plans.report import watershed_report
 from rillwork.plans.standins import ANNUAL_SQL, HYDRO_SQL, INDEX_SQL, R
@@ -112,7 +113,29 @@ def _(spark, sf):
     return out.select("requests", *[R(F.col(c)).alias(c) for c in ("revisions_per_request", "failure_rate")], *[R(F.col(c), 5).alias(c) for c in ("median_hours", "p90_hours")])
 
 
-@query("watershed_report", "AGG-44")
+def _trend_sql(name, values):
+    return f"{name} AS (WITH vals AS ({values}){_TREND_SQL.format(src='vals')} SELECT * FROM verdict)"
+
+
+_R_SQL = "CASE WHEN count(*) >= 2 AND stddev_pop(a.value) <> 0 AND stddev_pop(i.value) <> 0 THEN round(corr(a.value, i.value), 4) END"
+
+
+@query("watershed_report", "AGG-44", sql=f"""WITH {ANNUAL_SQL}, {INDEX_SQL},
+{_trend_sql('tm', 'SELECT * FROM annual')},
+{_trend_sql('tl', 'SELECT site, year, min(v) AS value FROM hyd WHERE month IN (6, 7, 8) GROUP BY 1, 2')},
+{_trend_sql('tc', 'SELECT site, year, sum(month * v) / sum(v) AS value FROM hyd GROUP BY 1, 2')},
+g AS (SELECT l_suppkey AS site, year(l_shipdate) AS year, month(l_shipdate) AS month, sum(l_extendedprice / 2000) AS obs FROM lineitem GROUP BY 1, 2, 3),
+pairs AS (SELECT h.site, h.v AS model, g.obs FROM hyd h JOIN g ON g.site = h.site AND g.year = h.year AND g.month = h.month),
+sk AS (SELECT site, avg(model - obs) AS bias, sqrt(avg((model - obs) ** 2)) AS rmse, corr(model, obs) AS r,
+  1 - sum((obs - model) ** 2) / (var_pop(obs) * count(*)) AS nse FROM pairs GROUP BY 1),
+r0 AS (SELECT a.site, {_R_SQL} AS r FROM annual a JOIN idx i ON i.index = 'oni' AND a.year = i.year GROUP BY 1),
+r1 AS (SELECT a.site, {_R_SQL} AS r FROM annual a JOIN idx i ON i.index = 'oni' AND a.year = i.year + 1 GROUP BY 1)
+SELECT tm.site, tm.n, tm.s, round(tm.tau, 4) AS tau, round(tm.slope, 4) AS slope, tm.trend, tl.trend AS low_trend, round(tl.slope, 4) AS low_slope,
+  tc.trend AS ct_trend, round(tc.slope * 10 * 30.4368, 4) AS ct_days_per_decade, round(sk.r, 4) AS pearson_r, round(sk.nse, 4) AS nse,
+  round(sk.bias, 4) AS bias, round(sk.rmse, 4) AS rmse, CASE WHEN sk.nse >= 0.75 AND sk.r >= 0.9 THEN 'good' WHEN sk.nse >= 0.5 AND sk.r >= 0.7 THEN 'moderate' ELSE 'weak' END AS verdict,
+  r0.r AS index_r, r1.r AS index_r_lag1, round({TAIL_SQL.replace('z', 'tm.z')}, 4) AS p
+FROM tm LEFT JOIN tl ON tl.site = tm.site LEFT JOIN tc ON tc.site = tm.site LEFT JOIN sk ON sk.site = tm.site
+LEFT JOIN r0 ON r0.site = tm.site LEFT JOIN r1 ON r1.site = tm.site""")
 def _(spark, sf):
     hydro = T.complete_hydrograph(spark, sf)
     li = T.table(spark, sf, "lineitem").select(F.col("l_suppkey").alias("site"), F.year("l_shipdate").alias("year"), F.month("l_shipdate").alias("month"), (F.col("l_extendedprice") / 2000).alias("v"))
@@ -120,4 +143,4 @@ def _(spark, sf):
     oni = T.climate_index(spark, sf).where("index = 'oni'").select("year", "value")
     out = watershed_report(hydro, gauge, oni)
     figures = [c for c, t in out.dtypes if t == "double"]
-    return out.select(*[R(F.col(c)).alias(c) if c in figures else c for c in out.columns])
+    return out.select(*[R(F.col(c), 4).alias(c) if c in figures else c for c in out.columns])

@@ -88,7 +88,12 @@ def _(spark, sf):
     return S.with_trend(_annual_series(spark, sf)).select("site", "n", "s", R(F.col("tau")).alias("tau"), "trend")
 
 
-@query("mann_kendall_p", "AGG-10", "UDF-05")
+#: Two-sided normal tail of ``z`` by the gamma series of erf.
+TAIL_SQL = """CASE WHEN z = 0 THEN 1 ELSE 1 - list_sum([exp((2 * i + 1) * ln(abs(z) / sqrt(2)) - z * z / 2 - lgamma(i + 1.5)) FOR i IN range(200)]) END"""
+
+
+@query("mann_kendall_p", "AGG-10", "UDF-05", sql=f"""WITH {ANNUAL_SQL}{_TREND_SQL.format(src='annual')}
+SELECT site, n, s, round({TAIL_SQL}, 6) AS p FROM verdict""")
 def _(spark, sf):
     out = S.with_trend(_annual_series(spark, sf))
     z = S.kendall_z(F.col("s"), F.col("n"))
@@ -269,9 +274,10 @@ def _(spark, sf):
 @query("membership_subset", "SET-05", sql=f"""WITH {HYDRO_SQL}
 SELECT site, year, sum(v) AS flow FROM hyd WHERE site IN (SELECT s_suppkey FROM supplier WHERE s_nationkey < 10) GROUP BY 1, 2""")
 def _(spark, sf):
+    hydro = T.complete_hydrograph(spark, sf)
     keep = T.table(spark, sf, "supplier").where("s_nationkey < 10").select(F.col("s_suppkey").alias("site"))
-    return T.complete_hydrograph(spark, sf).join(keep, "site", "left_semi").select(
-        "site", "year", V.total(Q).alias("flow"))
+    keep = keep.join(hydro, "site", "left_semi")
+    return H.select_members(hydro, keep).select("site", "year", V.total(Q).alias("flow"))
 
 
 _PROFILE_SQL = f"""WITH {HYDRO_SQL}, y AS (

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from rillwork import fixed_values as X
@@ -13,6 +15,8 @@ from rillwork.plans import standins as T
 from rillwork.plans.ledger_roles import NOW, ctes, pick, role
 from rillwork.plans.registry import query
 from rillwork.plans.standins import R
+from rillwork.session import work_folder
+
 
 def _now():
     return F.lit("1998-06-15 00:00:00").cast("timestamp")
@@ -353,6 +357,24 @@ def _(spark, sf):
     return M.golden_check(first.unionByName(again), first)
 
 
+@query("golden_change", "AGG-42", sql="""WITH e AS (SELECT min(l_orderkey) AS lo, max(l_orderkey) AS hi FROM lineitem),
+s AS (SELECT l_suppkey AS dataset, bool_or(l_orderkey = lo) AS torn, bool_or(l_orderkey = hi) AS moved FROM lineitem, e GROUP BY 1)
+SELECT dataset, 2 AS runs, CASE WHEN torn THEN 2 ELSE 1 END AS versions, CASE WHEN torn THEN 'unstable' WHEN moved THEN 'changed' ELSE 'match' END AS verdict FROM s""")
+def _(spark, sf):
+    li = T.table(spark, sf, "lineitem").withColumnRenamed("l_suppkey", "dataset")
+    once = M.fingerprint(li, ["dataset"])
+    golden = M.record_golden(once.unionByName(M.fingerprint(li.repartition(13, "l_partkey"), ["dataset"])),
+                             f"{work_folder(spark)}/golden-{uuid.uuid4().hex}")
+    low, high = li.agg(F.min("l_orderkey"), F.max("l_orderkey")).first()
+
+    def raised(rows, key):
+        return rows.withColumn("l_quantity", F.col("l_quantity") + (F.col("l_orderkey") == key).cast("int"))
+
+    later = raised(li, high)
+    runs = [M.fingerprint(rows, ["dataset"]) for rows in (later, raised(later, low))]
+    return M.golden_check(runs[0].unionByName(runs[1]), golden)
+
+
 # --- orders ------------------------------------------------------------------------------
 
 _PAY = f"""SELECT CASE WHEN o_orderkey % 9 = 0 THEN ' ' ELSE concat('ORD-', o_orderkey) END AS order_id,

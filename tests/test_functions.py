@@ -82,3 +82,27 @@ def test_profiles(spark):
     row = one(spark, [10.0, None, 12.0, 9.0, 9.5], A.profile_qa(F.col("q"), 0.6), A.monotonic_surface(F.col("q"), 0.6), A.monotonic_surface(F.col("q"), 0.0, False))
     assert (row[0].inversions, row[0].nodata, row[0].max_rise) == (1, 1, 2.0)
     assert row[1] == [10.0, None, 10.0, 9.0, 9.5] and row[2] == [10.0, None, 12.0, 9.0, 9.5]
+
+
+def test_two_sided_p(spark):
+    import math
+
+    zs = [i / 8 for i in range(-80, 81)] + [4.2426, 4.2427, 20.0, 37.0, None]
+    rows = spark.createDataFrame([(z,) for z in zs], "z double").select("z", S.two_sided_p(F.col("z")).alias("p")).collect()
+    for r in rows:
+        want = None if r.z is None else math.erfc(abs(r.z) / math.sqrt(2))
+        assert r.p is None if want is None else abs(r.p - want) <= 1e-10 * want + 1e-300
+
+
+def test_series_of_more_than_a_value_a_year(spark):
+    df = spark.range(S.MAX_YEARS + 1).selectExpr("1 AS site", "id AS year", "1.0D AS value")
+    with pytest.raises(Exception, match="more than one value a year"):
+        S.yearly_series(df, ["site"], "year", "value").collect()
+
+
+def test_members_outside_the_series(spark):
+    rows = spark.createDataFrame([(1, 5.0), (1, 6.0), (2, 7.0)], "site int, q double")
+    assert H.select_members(rows, spark.createDataFrame([(1,), (1,)], "site int")).count() == 2
+    for bad in (9, None):
+        with pytest.raises(ValueError, match="outside the series"):
+            H.select_members(rows, spark.createDataFrame([(1,), (bad,)], "site int"))

@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from rillwork.operators import flow as W
+from rillwork.operators import manifests
 from rillwork.plans import load_registry
 from rillwork.sources import files, layers, tables
 from rillwork.streaming import lifecycle as L
@@ -63,3 +64,15 @@ def test_grants_end_and_revocation_wins(spark, tmp_path):
       ('z', timestamp'2024-02-01', 'granted', timestamp'2024-12-01') AS t(key, ts, kind, expires_at)""").write.parquet(str(src))
     stream = spark.readStream.schema(spark.read.parquet(str(src)).schema).parquet(str(src))
     assert {(r.key, r.access) for r in L.run_expiry(stream, "0 days").collect()} == {("a", "expired"), ("c", "revoked")}
+
+
+def test_goldens_are_stored_and_unstable_runs_refused(spark, tmp_path):
+    runs = spark.createDataFrame([("a", "1"), ("a", "1"), ("b", "2"), ("b", "2")], "dataset string, fingerprint string")
+    manifests.record_golden(runs, f"{tmp_path}/golden")
+    later = spark.createDataFrame([("a", "1"), ("a", "1"), ("b", "3"), ("b", "3"), ("c", "4"), ("c", "4"), ("d", "5")],
+                                  "dataset string, fingerprint string")
+    out = {r.dataset: r.verdict for r in manifests.golden_check(later, manifests.read_golden(spark, f"{tmp_path}/golden")).collect()}
+    assert out == {"a": "match", "b": "changed", "c": "no golden", "d": "unstable"}
+    with pytest.raises(ValueError, match="without two equal runs"):
+        manifests.record_golden(later, f"{tmp_path}/other")
+    assert not (tmp_path / "other").exists()
