@@ -1,9 +1,14 @@
 """Cross-entropy difference of two matched n-gram models.
 
-Target and background model share one vocabulary, the hashed words of the corpus, one
-order and one smoothing, and their counts are scaled to the same number of words. A
-document's score is the mean over its words of the target loss minus the background loss:
-the lower, the more it reads like the target.
+Target and background model share one vocabulary, the words of the corpus, one order and
+one smoothing, and their counts are scaled to the same number of words. A document's score
+is the mean over its words of the target loss minus the background loss: the lower, the
+more it reads like the target.
+
+Words and pairs are told apart by full 64-bit hashes, and no table of theirs is held whole.
+Documents lie in blocks of bounded size. A block sends its counts to shares of the hash
+space, whose number grows with the corpus; a share adds up and sends the totals back to the
+blocks that have the word or pair. A count that only one block has is known there already.
 """
 
 from __future__ import annotations
@@ -12,16 +17,20 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from rillwork.llm.common import stored
+from rillwork.llm.common import partitions_for, stored
 
-#: Sizes of the shared vocabulary and of the table of word pairs, as powers of two.
+#: Powers of two to which ``Numbering()(text)`` folds hashes, for models of fixed size; scoring folds nothing.
 WORDS, PAIRS = 19, 21
 
+#: Bytes of text in a block, a longer document having one of its own, and bytes of text for each share of the hash space.
+BLOCK, SHARE = 16 << 20, 8 << 20
+
 
 @dataclass(frozen=True)
 class Models:
@@ -31,10 +40,12 @@ class Models:
     pairs: np.ndarray
     totals: np.ndarray
     mix: float = 0.5
+    vocabulary: int | None = None  # as many as ``words`` if not given
 
     def losses(self, one: np.ndarray, two: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Nats of each word under both models, pairs interpolated with words."""
-        alone = (self.words[one] + 0.5) / (self.totals + 0.5 * len(self.words))
+        size = len(self.words) if self.vocabulary is None else self.vocabulary
+        alone = (self.words[one] + 0.5) / (self.totals + 0.5 * size)
         out = alone.copy()
         if len(one) > 1:
             before = self.words[one[:-1]]
@@ -45,7 +56,7 @@ class Models:
 
 
 class Numbering:
-    """Word and word-pair numbers of a text."""
+    """Hashes of the words and word pairs of a text."""
 
     def __init__(self, room: int = 200_000):
         import xxhash
@@ -53,7 +64,7 @@ class Numbering:
         self.digest, self.room = xxhash.xxh3_64_intdigest, room
         self.known: dict[bytes, int] = {}
 
-    def __call__(self, text: str) -> tuple[np.ndarray, np.ndarray]:
+    def hashes(self, text: str) -> tuple[np.ndarray, np.ndarray]:
         words = text.lower().encode("utf-8", "surrogatepass").split()
         if len(self.known) > self.room:
             self.known.clear()
@@ -62,65 +73,174 @@ class Numbering:
         full = np.fromiter(map(self.known.__getitem__, words), dtype=np.uint64, count=len(words))
         with np.errstate(over="ignore"):
             two = (full[:-1] * np.uint64(0x9E3779B97F4A7C15) + full[1:]) * np.uint64(0xD6E8FEB86659FD93)
+        return full, two
+
+    def __call__(self, text: str) -> tuple[np.ndarray, np.ndarray]:
+        full, two = self.hashes(text)
         return (full >> np.uint64(64 - WORDS)).astype(np.int64), (two >> np.uint64(64 - PAIRS)).astype(np.int64)
 
 
-def fit(docs: DataFrame, target: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Models:
-    """Count words and pairs of all documents; ``target`` has the ids of the target ones.
+@dataclass
+class Block:
+    """Hashes of a block's words and pairs in order, their (target, background) counts, and each text as places in them."""
 
-    All others are the background. Each task adds up its own documents, Spark adds up the
-    tasks, and what reaches the driver is bounded by the two table sizes.
-    """
-    chosen = target.select(F.col(id_col).alias("_id")).where("_id is not null").distinct().withColumn("_t", F.lit(1))
+    keys: list[np.ndarray]
+    counts: list[np.ndarray]
+    texts: list[tuple[np.ndarray, np.ndarray]]
+
+    @classmethod
+    def of(cls, number: Numbering, texts: list[str], chosen: list[int]) -> Block:
+        found = [number.hashes(t) for t in texts]
+        keys, counts, places = [], [], []
+        for kind in (0, 1):
+            lengths = [len(f[kind]) for f in found]
+            own, at = np.unique(np.concatenate([f[kind] for f in found]), return_inverse=True)
+            side = np.repeat(np.array(chosen, dtype=bool), lengths)
+            keys.append(own)
+            counts.append(np.stack([np.bincount(at[side], minlength=len(own)), np.bincount(at[~side], minlength=len(own))], axis=1))
+            places.append(np.split(at, np.cumsum(lengths)[:-1]))
+        return cls(keys, counts, list(zip(*places)))
+
+
+def _in_blocks(docs: DataFrame, target: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """``id, text, t, block, size``: rows of ``docs``, whether they are target, and their block."""
+    chosen = target.select(F.col(id_col).alias("id")).where("id is not null").distinct().withColumn("_t", F.lit(1))
     # one join strategy at every size: target ids are as many as documents
-    met = docs.select(F.col(id_col).alias("_id"), F.coalesce(text_col, F.lit("")).alias("text")).join(chosen.hint("merge"), "_id", "left").select(
-        F.coalesce("_t", F.lit(0)).alias("t"), "text")
+    met = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text")).join(
+        chosen.hint("merge"), "id", "left").select("id", "text", F.coalesce("_t", F.lit(0)).alias("t"), F.octet_length("text").cast("long").alias("size"))
+
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block, held = TaskContext.get().partitionId() << 32, 0
+        for b in batches:
+            blocks = []
+            for size in b.column(3).to_pylist():
+                if held and held + size > BLOCK:
+                    block, held = block + 1, 0
+                held += size
+                blocks.append(block)
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(blocks, pa.int64())], [*b.schema.names, "block"])
+
+    return stored(met.mapInArrow(place, T.StructType([*met.schema.fields, T.StructField("block", T.LongType())])))
+
+
+_SENT = "kind int, share long, block long, keys binary, target binary, background binary"
+
+
+def _packed(numbers: np.ndarray) -> bytes:
+    """All lowest bytes, then all second ones and so on: small numbers leave runs of zeros, which shuffles and files compress."""
+    return np.ascontiguousarray(numbers.astype("<u8")).view(np.uint8).reshape(-1, 8).T.tobytes()
+
+
+def _unpacked(data: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(8, -1).T).view("<u8").ravel()
+
+
+def _sent(kind: int, share: int, block: int, keys: np.ndarray, counts: np.ndarray) -> tuple:
+    """Keys in order, as steps from one to the next, and their counts."""
+    return kind, share, block, _packed(np.diff(keys, prepend=np.uint64(0))), *(_packed(counts[:, k]) for k in (0, 1))
+
+
+def _keys(data: bytes) -> np.ndarray:
+    return np.cumsum(_unpacked(data), dtype=np.uint64)
+
+
+def _rows(rows: list[tuple], names: list[str]) -> pa.Table:
+    kinds = [pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary()]
+    return pa.Table.from_arrays([pa.array([r[i] for r in rows], kind) for i, kind in enumerate(kinds)], names)
+
+
+_NAMES = ["kind", "share", "block", "keys", "target", "background"]
+
+
+def _counted(placed: DataFrame, shares: int) -> DataFrame:
+    """Counts of each block's words (kind 0) and pairs (kind 1), a row for each share of the hash space."""
+    edges = np.array([-(-(k << 64) // shares) for k in range(1, shares)], dtype=np.uint64)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number = Numbering()
-        size = (1 << WORDS) + (1 << PAIRS)
-        sums = np.zeros((2, size), dtype=np.int64)
+
+        def finish(block: int, texts: list[str], chosen: list[int]) -> Iterator[pa.RecordBatch]:
+            own = Block.of(number, texts, chosen)
+            for kind in (0, 1):
+                cuts = [0, *np.searchsorted(own.keys[kind], edges).tolist(), len(own.keys[kind])]
+                rows = [_sent(kind, k, block, own.keys[kind][a:z], own.counts[kind][a:z]) for k, (a, z) in enumerate(zip(cuts, cuts[1:])) if a < z]
+                yield from _rows(rows, _NAMES).to_batches(max_chunksize=1000)
+
+        last, texts, chosen = None, [], []
         for b in batches:
-            for t, text in zip(b.column(0).to_pylist(), b.column(1)):
-                one, two = number(text.as_py())
-                np.add.at(sums[t], one, 1)
-                np.add.at(sums[t], two + (1 << WORDS), 1)
-        at = np.flatnonzero(sums.any(axis=0))
-        for i in range(0, len(at), 100_000):
-            part = at[i:i + 100_000]
-            yield pa.RecordBatch.from_arrays([pa.array(part), pa.array(sums[1][part]), pa.array(sums[0][part])], ["slot", "target", "background"])
-
-    counted = met.mapInArrow(count, "slot long, target long, background long").groupBy("slot").agg(
-        F.sum("target").alias("target"), F.sum("background").alias("background"))
-    table = stored(counted.select(F.col("slot").cast("int"), F.col("target").cast("float"), F.col("background").cast("float"))).toArrow()
-    both = np.zeros(((1 << WORDS) + (1 << PAIRS), 2), dtype=np.float32)
-    both[table["slot"].to_numpy()] = np.stack([table["target"].to_numpy(), table["background"].to_numpy()], axis=1)
-    totals = both[:1 << WORDS].sum(axis=0, dtype=np.float64)
-    matched = (np.where(totals > 0, totals.max(initial=1.0) / np.maximum(totals, 1), 1.0)).astype(np.float32)
-    return Models(both[:1 << WORDS] * matched, both[1 << WORDS:] * matched, totals * matched)
+            for text, t, block in zip(b.column(0), b.column(1).to_pylist(), b.column(2).to_pylist()):
+                if block != last and texts:
+                    yield from finish(last, texts, chosen)
+                    texts, chosen = [], []
+                last = block
+                texts.append(text.as_py())
+                chosen.append(t)
+        if texts:
+            yield from finish(last, texts, chosen)
+
+    return placed.select("text", "t", "block").mapInArrow(count, _SENT)
+
+
+def _totals(counted: DataFrame) -> DataFrame:
+    """For each block the totals of those keys that other blocks have too.
+
+    A row of block -1 tells how many keys a share has and their sums. A key has at most
+    one row a block and task, so common words make no large group.
+    """
+    def add(group: pa.Table) -> pa.Table:
+        kind, share = group["kind"][0].as_py(), group["share"][0].as_py()
+        parts = [_keys(x) for x in group["keys"].to_pylist()]
+        keys, at = np.unique(np.concatenate(parts), return_inverse=True)
+        sums = np.zeros((len(keys), 2), dtype=np.int64)
+        for k, side in enumerate(("target", "background")):
+            np.add.at(sums[:, k], at, np.concatenate([_unpacked(x).astype(np.int64) for x in group[side].to_pylist()]))
+        blocks = group["block"].to_numpy()
+        first, last = np.full(len(keys), np.iinfo(np.int64).max), np.full(len(keys), -1)
+        places = np.split(at, np.cumsum([len(p) for p in parts])[:-1])
+        for block, own in zip(blocks, places):
+            first[own], last[own] = np.minimum(first[own], block), np.maximum(last[own], block)
+        shared = first < last
+        rows = [_sent(kind, share, -1, np.array([len(keys)], "<u8"), sums.sum(axis=0, keepdims=True))]
+        for block, own in zip(blocks.tolist(), places):
+            own = own[shared[own]]
+            if len(own):
+                rows.append(_sent(kind, share, block, keys[own], sums[own]))
+        return _rows(rows, _NAMES)
+
+    return stored(counted.groupBy("kind", "share").applyInArrow(add, _SENT))
 
 
 def score_documents(docs: DataFrame, target: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id, n_words, target_loss, background_loss, score`` of every row.
 
-    Losses are means in nats a word; texts without words (null, empty, blank) have 0 words
-    and score 0. Ids may repeat; a null id is background. Empty tables give no rows.
+    ``target`` has the ids of the target documents; all others are the background. Losses
+    are means in nats a word; texts without words (null, empty, blank) have 0 words and
+    score 0. Ids may repeat; a null id is background. Empty tables give no rows.
     """
-    held = docs.sparkSession.sparkContext.broadcast(fit(docs, target, id_col, text_col))
-
-    @F.pandas_udf("n_words long, target_loss double, background_loss double")
-    def judge(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        number, models = Numbering(), held.value
-        for part in texts:
-            rows = []
-            for text in part:
-                one, two = number(text or "")
-                if not len(one):
-                    rows.append((0, 0.0, 0.0))
-                    continue
-                a, b = models.losses(one, two)
-                rows.append((len(one), float(a.mean()), float(b.mean())))
-            yield pd.DataFrame(rows, columns=["n_words", "target_loss", "background_loss"])
-
-    return docs.select(F.col(id_col).alias("doc_id"), judge(F.col(text_col).cast("string")).alias("j")).select(
-        "doc_id", "j.*", (F.col("j.target_loss") - F.col("j.background_loss")).alias("score"))
+    placed = _in_blocks(docs, target, id_col, text_col)
+    size = placed.agg(F.sum("size")).first()[0] or 0
+    totals = _totals(_counted(placed, partitions_for(size, SHARE)))
+    vocabulary, sums = 0, np.zeros(2)
+    for row in totals.where("block = -1 and kind = 0").select("keys", "target", "background").toLocalIterator():
+        vocabulary += int(_keys(row["keys"])[0])
+        sums += [int(_unpacked(row[side])[0]) for side in ("target", "background")]
+    matched = np.where(sums > 0, sums.max(initial=1.0) / np.maximum(sums, 1), 1.0)
+
+    def judge(own: pa.Table, sent: pa.Table) -> pa.Table:
+        block = Block.of(Numbering(), own["text"].to_pylist(), own["t"].to_pylist())
+        for kind, *row in zip(*(sent[c].to_pylist() for c in ("kind", "keys", "target", "background"))):
+            at = np.searchsorted(block.keys[kind], _keys(row[0]))
+            block.counts[kind][at] = np.stack([_unpacked(x).astype(np.int64) for x in row[1:]], axis=1)
+        models = Models(block.counts[0] * matched, block.counts[1] * matched, sums * matched, vocabulary=vocabulary)
+        rows = []
+        for one, two in block.texts:
+            a, b = models.losses(one, two) if len(one) else (np.zeros(1), np.zeros(1))
+            rows.append((len(one), float(a.mean()), float(b.mean())))
+        lengths, a, b = zip(*rows)
+        return pa.Table.from_arrays([own["id"], pa.array(lengths, pa.int64()), pa.array(a), pa.array(b)], ["doc_id", "n_words", "target_loss", "background_loss"])
+
+    kind = placed.schema["id"].dataType
+    schema = T.StructType([T.StructField("doc_id", kind), T.StructField("n_words", T.LongType()),
+                           T.StructField("target_loss", T.DoubleType()), T.StructField("background_loss", T.DoubleType())])
+    scored = placed.select("id", "text", "t", "block").groupBy("block").cogroup(totals.where("block >= 0").groupBy("block")).applyInArrow(judge, schema)
+    return scored.withColumn("score", F.col("target_loss") - F.col("background_loss"))

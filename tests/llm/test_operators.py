@@ -183,6 +183,42 @@ def test_losses_against_plain_counting():
     assert a[0] == pytest.approx(-np.log(alone)) and a[2] == pytest.approx(-np.log(0.5 * 2 / 3 + 0.5 * alone)) and len(b) == 4
 
 
+def test_losses_over_more_words_than_any_fixed_table(spark, monkeypatch):
+    from collections import Counter
+
+    monkeypatch.setattr(lm_scoring, "BLOCK", 20_000)
+    monkeypatch.setattr(lm_scoring, "SHARE", 500_000)
+    monkeypatch.setattr(lm_scoring, "WORDS", 4)
+    monkeypatch.setattr(lm_scoring, "PAIRS", 5)
+    rng = random.Random(8)
+    rows = [(i, words(rng, rng.randint(0, 60)) + " The same the same") for i in range(300)] + [(7, "the other"), (None, "the"), (300, None)]
+    chosen = set(range(0, 300, 3))
+    split = [(i, (t or "").lower().split()) for i, t in rows]
+    ones, twos, sums = [Counter(), Counter()], [Counter(), Counter()], [0, 0]
+    for i, w in split:
+        side = 0 if i in chosen else 1
+        ones[side].update(w)
+        twos[side].update(zip(w, w[1:]))
+        sums[side] += len(w)
+    size, most, want = len({*ones[0], *ones[1]}), max(sums), []
+    for i, w in split:
+        loss = []
+        for one, two, n in zip(ones, twos, sums):
+            by = most / n
+            own = []
+            for k, x in enumerate(w):
+                p = (one[x] * by + 0.5) / (most + 0.5 * size)
+                if k and one[w[k - 1]]:
+                    p = 0.5 * two[w[k - 1], x] / one[w[k - 1]] + 0.5 * p
+                own.append(-np.log(p))
+            loss.append(round(float(np.mean(own)), 6) if w else 0.0)
+        want.append((-1 if i is None else i, len(w), *loss))
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    target = spark.createDataFrame([(i,) for i in chosen], "doc_id long")
+    got = [(-1 if r[0] is None else r[0], r[1], round(r[2], 6), round(r[3], 6)) for r in lm_scoring.score_documents(df, target).collect()]
+    assert np.allclose(sorted(got), sorted(want), atol=2e-6)
+
+
 def test_toxicity_on_held_out_rows(spark):
     rng = random.Random(6)
     rows, labels = [], []
