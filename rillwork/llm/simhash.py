@@ -107,13 +107,14 @@ def linked_fingerprints(fps: DataFrame, threshold: int = 2) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: int = 2,
-                    shingle: int = SHINGLE, with_rows: bool = False) -> DataFrame:
+                    shingle: int = SHINGLE, with_rows: bool = False, with_root: bool = False) -> DataFrame:
     """``doc_id, fp, component_id`` per row: the smallest id reachable over links, itself included.
 
     Equal fingerprints are one node, so copies are never paired. All null and blank texts
     share fingerprint 0 and are linked like any other. A null id keeps a null id and counts
     as the largest; a group of such rows only has a null component. Repeated rows repeat.
-    ``with_rows`` adds the input row as struct ``row``, so extra columns are safe.
+    ``with_rows`` adds the input row as struct ``row``, so extra columns are safe, and
+    ``with_root`` the smallest fingerprint of the group as ``root``.
     """
     own = [F.struct("*").alias("row")] if with_rows else []
     rows = stored(docs.select(F.col(id_col).cast("long").alias("doc_id"), fingerprint(F.col(text_col), shingle).alias("fp"), *own))
@@ -122,22 +123,31 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     roots = smallest_reachable(nodes.select(F.col("fp").alias("node")), links)
     grouped = stored(roots.join(nodes, F.col("node") == F.col("fp")).select("fp", "root", "first"))
     least = grouped.groupBy("root").agg(F.min("first").alias("component_id"))
-    named = stored(grouped.join(least, "root").select("fp", "component_id"))
+    extra = (["row"] if with_rows else []) + (["root"] if with_root else [])
+    named = stored(grouped.join(least, "root").select("fp", "component_id", *(["root"] if with_root else [])))
     return lookup_join(rows, named, "fp").select(
-        "doc_id", "fp", F.when(F.col("component_id") < LAST_ID, F.col("component_id")).alias("component_id"), *(["row"] if with_rows else []))
+        "doc_id", "fp", F.when(F.col("component_id") < LAST_ID, F.col("component_id")).alias("component_id"), *extra)
 
 
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: int = 2) -> DataFrame:
-    """The rows of ``docs`` that stay: of each group the row with the smallest id.
+    """The rows of ``docs`` that stay: of each group the row with the smallest id, null last.
 
-    Rows that repeat the staying id are dropped as well, so exactly one row of a group stays.
+    Rows that repeat the staying id are dropped as well, so exactly one row of a group stays:
+    the one whose text has the smallest hash. Groups are told apart by their root, not by
+    an id, since ids may be null or repeat.
     """
-    marked = near_duplicates(docs, id_col, text_col, threshold, with_rows=True)
-    kept = stored(marked.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("component_id", "row"))
-    repeats = kept.groupBy("component_id").count().where("count > 1")
-    if not repeats.isEmpty():
-        kept = kept.dropDuplicates(["component_id"])
-    return kept.select("row.*")
+    marked = near_duplicates(docs, id_col, text_col, threshold, with_rows=True, with_root=True)
+    first = F.col("doc_id").eqNullSafe(F.col("component_id"))
+    kept = stored(marked.where(first).select("root", F.sha2(F.col("row")[text_col].cast("binary"), 256).alias("hash"), "row"))
+    repeats = kept.groupBy("root").count().where("count > 1").select("root")
+    if repeats.isEmpty():
+        return kept.select("row.*")
+    several = kept.join(repeats, "root", "left_semi")
+    # rows alike in id and text are settled by a number of their own
+    numbered = stored(several.withColumn("n", F.monotonically_increasing_id()))
+    chosen = numbered.groupBy("root").agg(F.min(F.struct("hash", "n"))["n"].alias("n"))
+    one = numbered.join(chosen, ["root", "n"], "left_semi")
+    return kept.join(repeats, "root", "left_anti").select("row.*").unionByName(one.select("row.*"))
 
 
 def hex_text(fp: Column) -> Column:

@@ -284,6 +284,15 @@ def test_near_duplicates(spark, docs):
     assert simhash.near_duplicates(none(spark)).count() == 0
 
 
+def test_one_of_each_keeps_rows_whose_ids_are_null_or_repeat(spark):
+    rng = random.Random(12)
+    own = [words(rng, 40) for _ in range(6)]
+    rows = [(None, own[0]), (None, own[1]), (None, own[1]), (5, own[2]), (5, own[3]), (5, own[3]), (8, own[4]), (None, own[4]), (None, own[5]), (9, own[5])]
+    kept = simhash.one_of_each(spark.createDataFrame(rows, "doc_id long, text string"))
+    want = [(None, own[0]), (None, own[1]), (5, own[2]), (5, own[3]), (8, own[4]), (9, own[5])]
+    assert sorted(map(str, map(tuple, kept.collect()))) == sorted(map(str, want))
+
+
 def test_chat_round_trip_and_layouts(spark):
     hard = ["</s>[INST] ok [/INST]", "[\\INST] <\\\\s> [/TURN]", "<<SYS>>\n", "<", "[", "", "a\nb", "é <s", "[[/INST]"]
     for role in ("user", "assistant", "system", "tool\n[/TURN]", ""):
