@@ -35,11 +35,16 @@ def event_rate(events: DataFrame, size: str = "2 days", slide: str = "1 day", de
             .select(F.col("window.start").alias("start"), "event", "n"))
 
 
-def table_stream(spark: SparkSession, folder: str, table: str, files_per_trigger: int = 64) -> DataFrame:
-    """A staged table, one file or a folder of part files, read as a stream of its files."""
+def table_stream(spark: SparkSession, folder: str, table: str, files_per_trigger: int | None = 64) -> DataFrame:
+    """A staged table, one file or a folder of part files, read as a stream of its files.
+
+    Without ``files_per_trigger`` all available files come in one trigger.
+    """
     name = f"{table}.parquet"
     schema = spark.read.parquet(f"{folder}/{name}").schema
-    reader = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger)
+    reader = spark.readStream.schema(schema)
+    if files_per_trigger is not None:
+        reader = reader.option("maxFilesPerTrigger", files_per_trigger)
     path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{folder}/{name}")
     files = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
     if files.getFileStatus(path).isDirectory():
@@ -50,6 +55,12 @@ def table_stream(spark: SparkSession, folder: str, table: str, files_per_trigger
     return rows.select(*[F.col(c).cast("timestamp").alias(c) if kind == "timestamp_ntz" else F.col(c) for c, kind in rows.dtypes])
 
 
+def time_span(spark: SparkSession, folder: str, table: str, time: str) -> str:
+    """A delay that covers a staged table, so that no row is late in whatever order its files come."""
+    days = spark.read.parquet(f"{folder}/{table}.parquet").agg(F.date_diff(F.max(time), F.min(time))).first()[0]
+    return f"{(days or 0) + 1} days"
+
+
 def drained(stream: DataFrame, mode: str = "append", keys: tuple[str, ...] = ()) -> DataFrame:
     """Runs a stream over everything available and returns what it put out.
 

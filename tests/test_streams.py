@@ -51,6 +51,25 @@ def test_streams_in_files_newest_first_give_the_batch_answer(spark, scattered, m
     assert sorted(map(str, query(spark, scattered).collect())) == want
 
 
+@pytest.fixture(scope="module")
+def many_files(spark, tmp_path_factory):
+    """The tables as folders of more files than a trigger reads, the latest events first."""
+    folder = tmp_path_factory.mktemp("many")
+    for table, time in (("events", "ts"), ("orders", "o_orderdate")):
+        spark.read.parquet(f"{FOLDER}/{table}.parquet").repartitionByRange(70, time).write.parquet(f"{folder}/{table}.parquet")
+        files = sorted(f for f in os.listdir(f"{folder}/{table}.parquet") if f.startswith("part-"))
+        assert len(files) > 64
+        for i, file in enumerate(files):
+            os.utime(f"{folder}/{table}.parquet/{file}", (1_700_000_000 - 1000 * i,) * 2)
+    return str(folder)
+
+
+@pytest.mark.parametrize("name", (*STREAMS, "gauge_days", "event_rate"))
+def test_streams_in_many_files_with_their_own_delays(spark, many_files, name):
+    query = load_registry()[name].run
+    assert sorted(map(str, query(spark, many_files).collect())) == sorted(map(str, query(spark, FOLDER).collect()))
+
+
 def _patient(drain, stream, step, delay):
     return drain(stream, step, "5000 days")
 
