@@ -15,6 +15,7 @@ from pyspark.sql import types as T
 
 from rillwork import fixed_values as X
 from rillwork.functions import geometry as G
+from rillwork.operators import overlay as O
 from rillwork.operators import spatial as S
 from rillwork.operators.classify import lookup
 from rillwork.session import checkpointed
@@ -24,85 +25,76 @@ INTERNAL_CRS = "EPSG:5070"
 
 # --- repair ---------------------------------------------------------------------------
 
-CHECK = T.StructType([T.StructField("crosses", T.BooleanType()), T.StructField("area", T.DoubleType())])
-PATH = T.ArrayType(T.StructType([T.StructField("x", T.DoubleType()), T.StructField("y", T.DoubleType())]))
+POINT = T.StructType([T.StructField("x", T.DoubleType()), T.StructField("y", T.DoubleType())])
+CHECK = T.StructType([T.StructField("invalid", T.BooleanType()), T.StructField("parts", T.ArrayType(T.ArrayType(T.ArrayType(POINT))))])
 
 
-def _edges(parts) -> np.ndarray:
-    rows = [(a["x"], a["y"], b["x"], b["y"]) for part in parts for ring in part for a, b in zip(ring[:-1], ring[1:])]
-    return np.array(rows, dtype=float).reshape(-1, 4)
+def meets_itself(parts) -> bool:
+    """Whether outlines cross, run along each other, or a ring touches itself.
 
-
-def crossing_heights(e: np.ndarray) -> list[float]:
-    """Heights at which edges of one geometry properly cross each other.
-
-    Edges are sorted by their left end, so an edge is compared only with those that
-    begin before it stops.
+    Edges are sorted by their left end, so an edge is compared only with those that begin
+    before it stops. Rings may touch other rings in points.
     """
-    if len(e) == 0:
-        return []
+    rings = [ring for part in parts for ring in part]
+    if any(len({(p["x"], p["y"]) for p in ring[1:]}) < len(ring) - 1 for ring in rings):
+        return True
+    e = np.array([(a["x"], a["y"], b["x"], b["y"]) for ring in rings for a, b in zip(ring[:-1], ring[1:])], dtype=float).reshape(-1, 4)
+    ring = np.repeat(np.arange(len(rings)), [max(len(r) - 1, 0) for r in rings])
     lo, hi = np.minimum(e[:, 0], e[:, 2]), np.maximum(e[:, 0], e[:, 2])
     order = np.argsort(lo, kind="stable")
-    e, lo, hi = e[order], lo[order], hi[order]
+    e, ring, lo, hi = e[order], ring[order], lo[order], hi[order]
     stops = np.searchsorted(lo, hi, side="right")
-    out = []
+    near = 1e-12
     for i in range(len(e)):
-        o = e[i + 1:stops[i]]
-        if not len(o):
-            continue
+        o, same = e[i + 1:stops[i]], ring[i + 1:stops[i]] == ring[i]
         x0, y0, x1, y1 = e[i]
         dx, dy = x1 - x0, y1 - y0
-        ex, ey = o[:, 2] - o[:, 0], o[:, 3] - o[:, 1]
+        ex, ey, wx, wy = o[:, 2] - o[:, 0], o[:, 3] - o[:, 1], o[:, 0] - x0, o[:, 1] - y0
         den = dx * ey - dy * ex
         with np.errstate(divide="ignore", invalid="ignore"):
-            t = ((o[:, 0] - x0) * ey - (o[:, 1] - y0) * ex) / den
-            u = ((o[:, 0] - x0) * dy - (o[:, 1] - y0) * dx) / den
-        hit = (den != 0) & (t > 1e-12) & (t < 1 - 1e-12) & (u > 1e-12) & (u < 1 - 1e-12)
-        out += [y0 + dy * w for w in t[hit]]
-    return out
-
-
-def even_odd_area(e: np.ndarray) -> float:
-    """Area of the even-odd interior, right for self-crossing outlines too."""
-    levels = sorted({*e[:, 1].tolist(), *e[:, 3].tolist(), *crossing_heights(e)})
-    total = 0.0
-    for y0, y1 in zip(levels, levels[1:]):
-        y = (y0 + y1) / 2
-        ax, ay, bx, by = e.T
-        cut = (ay > y) != (by > y)
-        xs = np.sort(ax[cut] + (bx[cut] - ax[cut]) * (y - ay[cut]) / (by[cut] - ay[cut]))
-        total += float((xs[1::2] - xs[::2]).sum()) * (y1 - y0)
-    return total
+            t, u = (wx * ey - wy * ex) / den, (wx * dy - wy * dx) / den
+        t_in, u_in = (t > near) & (t < 1 - near), (u > near) & (u < 1 - near)
+        t_on, u_on = (t >= -near) & (t <= 1 + near), (u >= -near) & (u <= 1 + near)
+        size = dx * dx + dy * dy
+        if ((den != 0) & ((t_in & u_in) | (same & (t_in & u_on | u_in & t_on)))).any():
+            return True
+        line = (den == 0) & (np.abs(dx * wy - dy * wx) <= near * size) if size else np.zeros(len(o), dtype=bool)
+        if line.any():
+            p, q = (wx * dx + wy * dy)[line], ((wx + ex) * dx + (wy + ey) * dy)[line]
+            if (np.minimum(np.maximum(p, q), size) - np.maximum(np.minimum(p, q), 0) > near * size).any():
+                return True
+    return False
 
 
 @F.pandas_udf(CHECK)
 def outline_check(parts: pd.Series) -> pd.DataFrame:
     rows = []
     for geom in parts:
-        e = _edges(geom) if geom is not None else np.empty((0, 4))
-        crosses = bool(crossing_heights(e))
-        rows.append((crosses, even_odd_area(e) if crosses else None))
-    return pd.DataFrame(rows, columns=["crosses", "area"])
+        invalid = geom is not None and meets_itself(geom)
+        rows.append((invalid, O.as_rows(O.valid_parts(geom)) if invalid else None))
+    return pd.DataFrame(rows, columns=["invalid", "parts"])
 
 
 def repaired(features: DataFrame) -> DataFrame:
     """Adds repair flags and ``area_m2``/``length_m``; ``dropped`` is empty or collapsed.
 
-    Repeated vertices go, singleton multiparts are unwrapped, outlines that cross
-    themselves are flagged and measured by the even-odd rule.
+    Repeated vertices go; outlines that meet themselves become valid parts of the same
+    even-odd ground (a figure of eight becomes two parts); singleton multiparts are unwrapped.
     """
     kind = F.lower("geom_type")
     before = F.size(G.vertices(F.col("parts")))
     out = features.withColumn("_parts", G.without_repeats(F.col("parts"))).withColumn("_before", before)
     out = out.withColumn("duplicates_removed", F.col("_before") - F.size(G.vertices(F.col("_parts"))))
+    polygon = kind.contains("polygon")
+    out = out.withColumn("_check", F.when(polygon, outline_check(F.col("_parts"))))
+    out = out.withColumn("invalid_fixed", F.coalesce(F.col("_check.invalid"), F.lit(False)))
+    out = out.withColumn("_parts", F.when(F.col("invalid_fixed"), F.col("_check.parts")).otherwise(F.col("_parts")))
     single = kind.startswith("multi") & (F.size("_parts") == 1)
     out = out.withColumn("multipart_normalized", F.coalesce(single, F.lit(False)))
-    out = out.withColumn("geom_type", F.when(single, F.regexp_replace("geom_type", "(?i)^multi", "")).otherwise(F.col("geom_type")))
+    out = out.withColumn("geom_type", F.when(single, F.regexp_replace("geom_type", "(?i)^multi", "")).when(
+        F.col("invalid_fixed") & (F.size("_parts") > 1), "MultiPolygon").otherwise(F.col("geom_type")))
     polygon = F.lower("geom_type").contains("polygon")
-    out = out.withColumn("_check", F.when(polygon, outline_check(F.col("_parts"))))
-    crosses = F.coalesce(F.col("_check.crosses"), F.lit(False))
-    out = out.withColumn("invalid_fixed", crosses)
-    out = out.withColumn("area_m2", F.when(polygon, F.when(crosses, F.col("_check.area")).otherwise(G.area(F.col("_parts")))))
+    out = out.withColumn("area_m2", F.when(polygon, G.area(F.col("_parts"))))
     out = out.withColumn("length_m", F.when(F.lower("geom_type").contains("line"), G.length(F.col("_parts"))))
     empty = F.col("parts").isNull() | (F.col("_before") <= 0)
     flat = (polygon & (F.col("area_m2") == 0)) | (F.col("length_m") == 0)
@@ -124,41 +116,42 @@ def repair_stats(fixed: DataFrame) -> DataFrame:
 # --- place in the region -----------------------------------------------------------------
 
 def region_boundary(areas: DataFrame) -> DataFrame | None:
-    """Boundary parts as they are: inside any part is inside the region. None when there are none."""
+    """Boundary parts; what several of them hold counts once wherever they are used. None when there are none."""
     return None if areas.isEmpty() else areas
 
 
 def county_boundary(counties: DataFrame, state_fp: str, name: str) -> DataFrame:
-    return counties.where((F.col("statefp") == state_fp) & (F.lower("name") == name.strip().lower()))
+    """The parts of one county, by state code and name in any case; refuses a county that is not there."""
+    found = counties.where((F.col("statefp") == state_fp) & (F.lower(F.trim("name")) == name.strip().lower()))
+    if found.isEmpty():
+        raise ValueError(f"no county {name!r} in state {state_fp!r}")
+    return found
 
 
 def _located(features: DataFrame, boundary: DataFrame | None, cell: float) -> DataFrame:
     """Adds ``inside`` (any part in the region), ``clipped`` and the measures of what is inside.
 
-    A clipped polygon keeps its source rings; its area is the exact shared area.
-    Boundary parts must not overlap each other.
+    Polygons and lines are cut to the union of the boundary parts.
     """
     if boundary is None:
         return features.withColumn("inside", F.lit(True)).withColumn("clipped", F.lit(False))
     features = checkpointed(features)
     kind = F.lower("geom_type")
-    polys = features.where(kind.contains("polygon")).select("pos", "parts")
-    shared = S.overlap_area(polys, boundary.select("poly_pos", "parts"), "pos", "poly_pos", cell).groupBy("pos").agg(
-        F.sum("shared").alias("_shared"))
-    lines = S.clip_lines(features.where(kind.contains("line")).select("pos", "parts"), boundary, cell).select(
-        "pos", "outcome", F.col("parts").alias("_cut"), "kept_length")
+    region = checkpointed(O.union_tiles(boundary.select("poly_pos", "parts"), cell))
+    polys = O.clip_polygons(features.where(kind.contains("polygon")).select("pos", "parts"), region, cell)
+    lines = S.clip_lines(features.where(kind.contains("line")).select("pos", "parts"), boundary, cell).drop("kept_length")
+    cut = polys.unionByName(lines).select("pos", "outcome", F.col("parts").alias("_cut"))
     spots = features.where(kind.contains("point")).select("pos", F.element_at(G.vertices(F.col("parts")), 1).alias("p")).select("pos", "p.x", "p.y")
     inside = S.clip_points(spots, boundary, cell).select("pos", F.col("inside").alias("_in"))
-    out = features.join(shared, "pos", "left").join(lines, "pos", "left").join(inside, "pos", "left")
-    held = F.when(kind.contains("polygon"), F.coalesce("_shared", F.lit(0.0)) > 0).when(
-        kind.contains("line"), F.col("outcome") != "dropped").otherwise(F.coalesce("_in", F.lit(False)))
-    cut = F.when(kind.contains("polygon"), F.col("_shared") < F.col("area_m2") * (1 - 1e-9)).when(
-        kind.contains("line"), F.col("outcome") == "partial").otherwise(F.lit(False))
-    out = out.withColumn("inside", held).withColumn("clipped", F.coalesce(cut, F.lit(False)) & F.col("inside"))
-    return (out.withColumn("area_m2", F.when(F.col("clipped") & kind.contains("polygon"), F.col("_shared")).otherwise(F.col("area_m2")))
-            .withColumn("parts", F.when(F.col("outcome") == "partial", F.col("_cut")).otherwise(F.col("parts")))
-            .withColumn("length_m", F.when(F.col("outcome") == "partial", F.col("kept_length")).otherwise(F.col("length_m")))
-            .drop("_shared", "outcome", "_cut", "kept_length", "_in"))
+    out = features.join(cut, "pos", "left").join(inside, "pos", "left")
+    out = out.withColumn("inside", F.coalesce(F.col("outcome") != "dropped", F.col("_in"), F.lit(False)))
+    out = out.withColumn("clipped", F.coalesce(F.col("outcome") == "partial", F.lit(False)))
+    polygon, line = F.col("clipped") & kind.contains("polygon"), F.col("clipped") & kind.contains("line")
+    return (out.withColumn("parts", F.when(F.col("clipped"), F.col("_cut")).otherwise(F.col("parts")))
+            .withColumn("area_m2", F.when(polygon, G.area(F.col("_cut"))).otherwise(F.col("area_m2")))
+            .withColumn("length_m", F.when(line, G.length(F.col("_cut"))).otherwise(F.col("length_m")))
+            .withColumn("geom_type", F.when(polygon, F.when(F.size("_cut") > 1, "MultiPolygon").otherwise("Polygon")).otherwise(F.col("geom_type")))
+            .drop("outcome", "_cut", "_in"))
 
 
 def _prepared(features: DataFrame, boundary: DataFrame | None, cell: float, target: str = INTERNAL_CRS,

@@ -284,9 +284,14 @@ def overlap_area(a: DataFrame, b: DataFrame, a_key: str, b_key: str, cell: float
     Both sides are tiled, tiles meet on their key, and a tile's share is the sum of
     trapezoids between the heights where edges begin, end or cross.
     """
-    ta = tiles(a, a_key, cell).withColumnsRenamed({"corner_inside": "ca", "edges": "ea"})
-    tb = tiles(b, b_key, cell).withColumnsRenamed({"corner_inside": "cb", "edges": "eb"})
-    met = skew_join(ta, tb, ["ci", "cj"])
+    return tiles_overlap(tiles(a, a_key, cell), tiles(b, b_key, cell), a_key, b_key, cell)
+
+
+def tiles_overlap(a: DataFrame, b: DataFrame, a_key: str, b_key: str, cell: float) -> DataFrame:
+    """``overlap_area`` of two tiled sides."""
+    ta = a.withColumnsRenamed({"corner_inside": "ca", "edges": "ea"})
+    tb = b.withColumnsRenamed({"corner_inside": "cb", "edges": "eb"})
+    met = checkpointed(skew_join(checkpointed(ta), tb, ["ci", "cj"]))
     full = met.where((F.size("ea") == 0) & (F.size("eb") == 0)).select(
         a_key, b_key, F.when(F.col("ca") & F.col("cb"), F.lit(cell * cell)).otherwise(F.lit(0.0)).alias("shared"))
     part = met.where((F.size("ea") > 0) | (F.size("eb") > 0))
@@ -366,12 +371,14 @@ def _spans(y, left, right, low, corner, e):
 def overlap_fraction(basins: DataFrame, areas: DataFrame, cell: float, min_fraction: float) -> DataFrame:
     """Basins whose share inside the areas reaches the minimum, by code.
 
-    ``basins(huc4, parts)`` is de-duplicated on the padded code; parts of the area
-    must not overlap each other.
+    ``basins(huc4, parts)`` is de-duplicated on the padded code; ground that several
+    areas hold counts once.
     """
     from rillwork.functions import geometry as G
+    from rillwork.operators import overlay
     padded = basins.withColumn("huc4", F.lpad("huc4", 4, "0")).groupBy("huc4").agg(F.min_by("parts", "pos").alias("parts"))
-    shared = overlap_area(padded, areas, "huc4", "poly_pos", cell).groupBy("huc4").agg(F.sum("shared").alias("shared"))
+    region = overlay.union_tiles(areas, cell).withColumn("region", F.lit(0))
+    shared = tiles_overlap(tiles(padded, "huc4", cell), region, "huc4", "region", cell).select("huc4", "shared")
     out = padded.select("huc4", G.area(F.col("parts")).alias("area")).join(shared, "huc4", "left")
     share = F.coalesce(F.try_divide(F.coalesce("shared", F.lit(0.0)), F.col("area")), F.lit(0.0))
     return out.select("huc4", share.alias("fraction")).where(F.col("fraction") >= min_fraction).orderBy("huc4")

@@ -5,11 +5,13 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from rillwork.functions import geometry as G
+from rillwork.operators import overlay as O
 from rillwork.operators import selection as Z
 from rillwork.operators import spatial as S
 from rillwork.plans import standins as T
 from rillwork.plans.registry import query
 from rillwork.plans.standins import R
+from rillwork.session import checkpointed
 
 # nations tile a 1000 x 1000 square, five by five
 _NATIONS = """nb AS (SELECT n_nationkey AS poly_pos, lpad(CAST(n_nationkey AS VARCHAR), 4, '0') AS code, n_name AS name, (n_nationkey % 5) * 200.0 AS x0, (n_nationkey // 5) * 200.0 AS y0 FROM nation)"""
@@ -125,9 +127,10 @@ def _(spark, sf):
     return out.select("pos", R(F.col("p.x"), 3).alias("x"), R(F.col("p.y"), 3).alias("y"))
 
 
-@query("repair_statistics", "GEO-01", sql="""SELECT count(*) AS total_in, count(*) FILTER (p_size % 11 <> 0 AND p_size % 7 <> 0) AS total_out, count(*) FILTER (p_size % 11 <> 0 AND p_size % 7 <> 0 AND p_size % 5 = 0) AS invalid_fixed,
- count(*) FILTER (p_size % 11 <> 0 AND p_size % 7 <> 0 AND p_size % 5 = 0) AS self_intersections_fixed, count(*) FILTER (p_size % 11 = 0) AS empties_dropped, count(*) FILTER (p_size % 11 <> 0 AND p_size % 7 = 0) AS collapsed_dropped,
- CAST(coalesce(sum(CASE WHEN p_size % 11 <> 0 AND p_size % 7 <> 0 AND p_size % 5 <> 0 AND p_size % 2 = 0 THEN 1 ELSE 0 END), 0) AS BIGINT) AS duplicate_vertices_removed, count(*) FILTER (p_size % 3 = 0 AND p_size % 11 <> 0) AS multipart_normalized FROM part""")
+@query("repair_statistics", "GEO-01", sql="""SELECT count(*) AS total_in, count(*) FILTER (p_size % 11 <> 0 AND p_size % 7 <> 0) AS total_out, count(*) FILTER (p_size % 11 <> 0 AND (p_size % 7 = 0 OR p_size % 5 = 0)) AS invalid_fixed,
+ count(*) FILTER (p_size % 11 <> 0 AND (p_size % 7 = 0 OR p_size % 5 = 0)) AS self_intersections_fixed, count(*) FILTER (p_size % 11 = 0) AS empties_dropped, count(*) FILTER (p_size % 11 <> 0 AND p_size % 7 = 0) AS collapsed_dropped,
+ CAST(coalesce(sum(CASE WHEN p_size % 11 <> 0 AND p_size % 7 <> 0 AND p_size % 5 <> 0 AND p_size % 2 = 0 THEN 1 ELSE 0 END), 0) AS BIGINT) AS duplicate_vertices_removed,
+ count(*) FILTER (p_size % 3 = 0 AND p_size % 11 <> 0 AND p_size % 7 <> 0 AND p_size % 5 <> 0) AS multipart_normalized FROM part""")
 def _(spark, sf):
     k, s = F.col("p_partkey"), F.col("p_size")
     x, y = k % 100 * 1.0, k % 77 * 1.0
@@ -141,11 +144,71 @@ def _(spark, sf):
     return Z.repair_stats(Z.repaired(feats))
 
 
+@query("repaired_outlines", "GEO-01", sql="""SELECT p_partkey AS pos, p_size % 4 < 3 AS invalid, CASE p_size % 4 WHEN 0 THEN 2 WHEN 1 THEN 2 WHEN 2 THEN 4 ELSE 1 END AS n_parts,
+ CASE p_size % 4 WHEN 0 THEN 8 WHEN 1 THEN 8 WHEN 2 THEN 20 ELSE 10 END AS n_points, CASE p_size % 4 WHEN 0 THEN 8.0 WHEN 1 THEN 2.0 WHEN 2 THEN 22.0 ELSE 20.0 END AS area FROM part""")
+def _(spark, sf):
+    # a bow-tie, two triangles that meet in a point, two crossing rings (four arms are left), a box with a hole
+    k, s = F.col("p_partkey"), F.col("p_size") % 4
+    x, y = k % 1000 * 1.0, k % 770 * 1.0
+    p = lambda dx, dy: G.point(x + dx, y + dy)
+    bow = G.path(p(0, 0), p(4, 4), p(4, 0), p(0, 4), p(0, 0))
+    eight = G.path(p(0, 0), p(1, 1), p(0, 2), p(2, 2), p(1, 1), p(2, 0), p(0, 0))
+    cross = F.array(F.array(F.array(p(0, 2), p(6, 2), p(6, 4), p(0, 4), p(0, 2)), F.array(p(2, 0), p(4, 0), p(4, 9), p(2, 9), p(2, 0))))
+    holed = F.array(F.array(F.array(p(0, 0), p(6, 0), p(6, 4), p(0, 4), p(0, 0)), F.array(p(1, 1), p(3, 1), p(3, 3), p(1, 3), p(1, 1))))
+    shape = F.when(s == 0, bow).when(s == 1, eight).when(s == 2, cross).otherwise(holed)
+    out = Z.repaired(T.table(spark, sf, "part").select(k.alias("pos"), F.lit("Polygon").alias("geom_type"), shape.alias("parts")))
+    return out.select("pos", F.col("invalid_fixed").alias("invalid"), F.size("parts").alias("n_parts"),
+                      F.size(G.vertices(F.col("parts"))).alias("n_points"), R(F.col("area_m2"), 5).alias("area"))
+
+
+# overlapping boxes, one per supplier, whose union is a ragged region
+_AREAS = "ar AS (SELECT s_suppkey AS poly_pos, s_suppkey * 37 % 960 AS x0, s_suppkey * 91 % 950 AS y0, s_suppkey * 37 % 960 + 40 + s_suppkey % 31 AS x1, s_suppkey * 91 % 950 + 30 + s_suppkey % 23 AS y1 FROM supplier)"
+_GROUND = f"{_AREAS}, xs AS (SELECT *, unnest(range(x0, x1)) AS x FROM ar), gr AS (SELECT DISTINCT x, y FROM (SELECT x, unnest(range(y0, y1)) AS y FROM xs))"
+
+
+def _areas(spark, sf):
+    k = F.col("s_suppkey")
+    x, y = k * 37 % 960, k * 91 % 950
+    return T.table(spark, sf, "supplier").select(k.alias("poly_pos"), G.box(x, y, x + 40 + k % 31, y + 30 + k % 23).alias("parts"))
+
+
+@query("cut_polygons", "GEO-04", sql=f"""WITH {_BOXES}, {_GROUND}, bc AS (SELECT pos, x, unnest(range(y0::BIGINT, y1::BIGINT)) AS y FROM (SELECT *, unnest(range(x0::BIGINT, x1::BIGINT)) AS x FROM bx)),
+ held AS (SELECT bc.* FROM bc JOIN gr USING (x, y)), n AS (SELECT pos, count(*) AS c FROM held GROUP BY 1),
+ r AS (SELECT a.pos, count(*) AS k FROM held a JOIN held b ON a.pos = b.pos AND a.y = b.y AND b.x = a.x + 1 GROUP BY 1), u AS (SELECT a.pos, count(*) AS k FROM held a JOIN held b ON a.pos = b.pos AND a.x = b.x AND b.y = a.y + 1 GROUP BY 1)
+SELECT bx.pos, CASE WHEN c IS NULL THEN 'dropped' WHEN c = (x1 - x0) * (y1 - y0) THEN 'covered' ELSE 'partial' END AS outcome, c::DOUBLE AS area,
+ (4 * c - 2 * coalesce(r.k, 0) - 2 * coalesce(u.k, 0))::DOUBLE AS length FROM bx LEFT JOIN n USING (pos) LEFT JOIN r USING (pos) LEFT JOIN u USING (pos)""")
+def _(spark, sf):
+    out = O.clip_polygons(_boxes(spark, sf).select("pos", "parts"), O.union_tiles(_areas(spark, sf), CELL), CELL)
+    return out.select("pos", "outcome", R(G.area(F.col("parts")), 4).alias("area"), R(G.length(F.col("parts")), 4).alias("length"))
+
+
+@query("dissolved_region", "GEO-03", sql=f"""WITH RECURSIVE {_AREAS}, e AS (SELECT a.poly_pos AS a, b.poly_pos AS b FROM ar a JOIN ar b ON a.x0 <= b.x1 AND b.x0 <= a.x1 AND a.y0 <= b.y1 AND b.y0 <= a.y1),
+ reach AS (SELECT a AS pos, b AS root FROM e UNION SELECT e.a, reach.root FROM reach JOIN e ON e.b = reach.pos), root AS (SELECT pos, min(root) AS region FROM reach GROUP BY 1),
+ xs AS (SELECT *, unnest(range(x0, x1)) AS x FROM ar JOIN root ON pos = poly_pos), g AS (SELECT DISTINCT region, x, y FROM (SELECT region, x, unnest(range(y0, y1)) AS y FROM xs)),
+ n AS (SELECT region, count(*) AS c FROM g GROUP BY 1), r AS (SELECT a.region, count(*) AS k FROM g a JOIN g b ON a.region = b.region AND a.y = b.y AND b.x = a.x + 1 GROUP BY 1),
+ u AS (SELECT a.region, count(*) AS k FROM g a JOIN g b ON a.region = b.region AND a.x = b.x AND b.y = a.y + 1 GROUP BY 1)
+SELECT region, c::DOUBLE AS area, (4 * c - 2 * r.k - 2 * u.k)::DOUBLE AS length FROM n JOIN r USING (region) JOIN u USING (region)""")
+def _(spark, sf):
+    out = O.dissolved(_areas(spark, sf), CELL)
+    return out.select("region", R(G.area(F.col("parts")), 4).alias("area"), R(G.length(F.col("parts")), 4).alias("length"))
+
+
+@query("county_scope", "GEO-03", "GEO-04", sql=f"""WITH {_BOXES}, {_AREAS}, c AS (SELECT ar.* FROM ar JOIN supplier ON s_suppkey = poly_pos ORDER BY poly_pos LIMIT 1),
+ h AS (SELECT bx.pos, greatest(0, least(bx.x1, c.x1) - greatest(bx.x0, c.x0)) * greatest(0, least(bx.y1, c.y1) - greatest(bx.y0, c.y0)) AS area, (bx.x1 - bx.x0) * (bx.y1 - bx.y0) AS own FROM bx, c)
+SELECT pos, CASE WHEN area = own THEN 'covered' ELSE 'partial' END AS outcome, area FROM h WHERE area > 0""")
+def _(spark, sf):
+    named = T.table(spark, sf, "supplier").select(F.col("s_suppkey").alias("poly_pos"), F.lpad(F.col("s_nationkey").cast("string"), 2, "0").alias("statefp"), F.col("s_name").alias("name"))
+    chosen = named.orderBy("poly_pos").first()
+    county = Z.county_boundary(_areas(spark, sf).join(named, "poly_pos"), chosen["statefp"], chosen["name"].upper())
+    out = O.clip_polygons(_boxes(spark, sf).select("pos", "parts"), O.union_tiles(county, CELL), CELL)
+    return out.where("outcome <> 'dropped'").select("pos", "outcome", R(G.area(F.col("parts")), 4).alias("area"))
+
+
 _WB = f"""{_BOXES}, w AS (SELECT b.*, CASE b.p_size % 7 WHEN 0 THEN 'excluded' WHEN 1 THEN 'lake' WHEN 2 THEN 'reservoir' WHEN 3 THEN 'bay' WHEN 4 THEN 'coastal' WHEN 5 THEN 'lake' ELSE 'inlet' END AS cls FROM bx b),
  g AS (SELECT *, greatest(0, least(x1, 800) - greatest(x0, 200)) * greatest(0, least(y1, 800) - greatest(y0, 200)) AS shared, (x1 - x0) * (y1 - y0) AS own FROM w),
  h AS (SELECT *, shared < own AND shared > 0 AS clipped, CASE WHEN cls = 'lake' AND shared > 0 AND shared < 300 THEN 'pond' ELSE cls END AS class, cls IN ('bay', 'inlet', 'coastal') AS coast FROM g),
  i AS (SELECT *, cls <> 'excluded' AND shared > 0 AND NOT (coast AND clipped) AND shared >= CASE WHEN coast THEN 200 ELSE 120 END AS ok FROM h),
- j AS (SELECT *, row_number() OVER (PARTITION BY ok, x0, y0, x1, y1 ORDER BY pos) AS k FROM i)"""
+ j AS (SELECT *, row_number() OVER (PARTITION BY ok, greatest(x0, 200), greatest(y0, 200), least(x1, 800), least(y1, 800) ORDER BY pos) AS k FROM i)"""
 
 
 def _waterbodies(spark, sf):
@@ -171,6 +234,13 @@ def _(spark, sf):
     return _selected(spark, sf).select("pos", "class", "bucket", why.alias("why"))
 
 
+@query("selected_shared_edges", "JN-08", "GEO-06", sql=f"""WITH {_WB}, c AS (SELECT pos, greatest(x0, 200) AS x0, greatest(y0, 200) AS y0, least(x1, 800) AS x1, least(y1, 800) AS y1 FROM j WHERE ok AND k = 1)
+SELECT a.pos AS a, b.pos AS b FROM c a JOIN c b ON a.pos < b.pos AND (((a.x0 IN (b.x0, b.x1) OR a.x1 IN (b.x0, b.x1)) AND least(a.y1, b.y1) > greatest(a.y0, b.y0))
+ OR ((a.y0 IN (b.y0, b.y1) OR a.y1 IN (b.y0, b.y1)) AND least(a.x1, b.x1) > greatest(a.x0, b.x0)))""")
+def _(spark, sf):
+    return Z.flag_shared_edges(checkpointed(_selected(spark, sf)))[1]
+
+
 @query("selection_counts", "AGG-36", sql=f"""WITH {_WB}, s AS (SELECT class, ok AND k = 1 AS sel FROM j) SELECT 'candidates' AS item, count(*) AS n FROM s UNION ALL SELECT CASE WHEN sel THEN 'selected' ELSE 'excluded' END, count(*) FROM s GROUP BY sel
 UNION ALL SELECT concat('class:', class), count(*) FROM s WHERE sel GROUP BY class""")
 def _(spark, sf):
@@ -193,6 +263,19 @@ def _(spark, sf):
     return Z.select_areal(feats, min_area={"wetland": 250.0}, default_min=90.0).select("pos", "class", "bucket")
 
 
+@query("areal_selection_cut", "GEO-07", "SET-02", sql=f"""WITH {_BOXES}, a AS (SELECT pos, CASE p_size % 3 WHEN 0 THEN 'wetland' WHEN 1 THEN 'playa' ELSE 'perennial_ice' END AS class,
+  greatest(x0, 200) AS x0, greatest(y0, 200) AS y0, least(x1, 800) AS x1, least(y1, 800) AS y1, x0 < 200 OR y0 < 200 OR x1 > 800 OR y1 > 800 AS cut FROM bx),
+ o AS (SELECT *, CASE WHEN x1 > x0 AND y1 > y0 THEN (x1 - x0) * (y1 - y0) ELSE 0 END AS area FROM a), q AS (SELECT *, area > 0 AND area >= CASE class WHEN 'wetland' THEN 250 ELSE 90 END AS ok FROM o),
+ k AS (SELECT *, row_number() OVER (PARTITION BY ok, x0, y0, x1, y1 ORDER BY pos) AS k FROM q)
+SELECT pos, class, CASE WHEN ok AND k = 1 THEN 'selected' ELSE 'excluded' END AS bucket, cut AND area > 0 AS clipped FROM k""")
+def _(spark, sf):
+    cls = F.expr("CASE p_size % 3 WHEN 0 THEN 'wetland' WHEN 1 THEN 'playa' ELSE 'perennial_ice' END")
+    feats = _boxes(spark, sf).select("pos", F.concat(F.lit("s"), "pos").alias("source_id"), cls.alias("class"), F.lit("Polygon").alias("geom_type"), "parts",
+                                     F.lit("EPSG:5070").alias("crs"), F.lit("").alias("inclusion_reason"))
+    out = Z.select_areal(feats, _region(spark, sf), CELL, min_area={"wetland": 250.0}, default_min=90.0)
+    return out.select("pos", "class", "bucket", "clipped")
+
+
 def _spot_features(spark, sf):
     k = F.col("c_custkey")
     cls = F.expr("CASE c_nationkey % 4 WHEN 0 THEN 'excluded' WHEN 1 THEN 'spring' WHEN 2 THEN 'waterfall' ELSE 'rapids' END")
