@@ -1,20 +1,19 @@
 """River-network jobs: topology, reachability, stream orders, accumulation, colouring.
 
 ``segments(segment_id, u, v, length, huc4)`` is a directed multigraph: water runs
-from node ``u`` to node ``v``. Work is done between *nodes*, so a junction with
-many segments never multiplies its inflows by its outflows, and by path doubling,
-so the number of rounds grows with the logarithm of the network's depth.
-Each round is checkpointed to the shared folder.
+from node ``u`` to node ``v``. Values are handed down between *nodes* (``dag.node_values``),
+so a junction with many segments never multiplies its inflows by its outflows, and no
+table outgrows the segments. Each round is checkpointed to the shared folder.
 """
 
 from __future__ import annotations
 
-import math
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from rillwork.operators.dag import Least, Strahler, Sum, node_values, strong_groups
 from rillwork.operators.scale import lookup_join, row_numbers
 from rillwork.session import checkpointed
 
@@ -87,41 +86,42 @@ def statistics(segments: DataFrame) -> DataFrame:
                        F.sum("l").alias("total_length"))
 
 
-# --- path doubling ----------------------------------------------------------------
+# --- values along the network ------------------------------------------------------
 
-def _round_limit(pairs: DataFrame) -> int:
-    count = pairs.select(F.explode(F.array("src", "dst")).alias("n")).distinct().count()
-    return max(1, math.ceil(math.log2(max(count, 2))) + 1)
+def _edges(segments: DataFrame, weight: Column) -> DataFrame:
+    # only Strahler order tells edges apart
+    uid = F.col("segment_id") if "segment_id" in segments.columns else F.lit(None)
+    return segments.select(uid.cast("bigint").alias("uid"), "u", "v", weight.cast("double").alias("w"))
 
 
-def doubled_paths(pairs: DataFrame, merge: str) -> Iterator[DataFrame]:
-    """Yields paths of length 1, 2, 4, ... as ``(src, dst, w)`` until none is left.
+def _turned(segments: DataFrame) -> DataFrame:
+    rest = [c for c in segments.columns if c not in ("u", "v")]
+    return segments.select(*rest, F.col("v").alias("u"), F.col("u").alias("v"))
+
+
+def _blank(segments: DataFrame, value: Column | float | None = None) -> DataFrame:
+    return nodes(segments).select("node", (value if isinstance(value, Column) else F.lit(value).cast("double")).alias("x"))
+
+
+def _along(segments: DataFrame, weight: Column, kind, starts) -> tuple[DataFrame, DataFrame]:
+    """The network without cycles and the value of each of its nodes; ``starts`` makes what nodes begin with."""
+    segments = checkpointed(segments)
+    values = checkpointed(node_values(_edges(segments, weight), kind, starts(segments)))
+    if nodes(segments).count() == values.count():
+        return segments, values
+    dag = without_cycles(segments)
+    return dag, checkpointed(node_values(_edges(dag, weight), kind, starts(dag)))
+
+
+def _behind_cycles(segments: DataFrame) -> DataFrame:
+    """Nodes that a cycle leads to."""
+    values = node_values(_edges(segments, F.lit(0)), Sum(), _blank(segments, 0.0))
+    return checkpointed(nodes(segments).join(values, "node", "left_anti"))
 
-    ``merge`` tells how the weights of a path and of parallel paths combine:
-    ``count`` (multiply, add), ``min`` (add, take the least) or ``any``. Where each
-    node has one outflow the table never outgrows the nodes. Stops after the
-    number of rounds that covers every acyclic path.
-    """
-    join_weight, fold = {
-        "count": (lambda a, b: a * b, F.sum),
-        "min": (lambda a, b: a + b, F.min),
-        "any": (lambda a, b: F.lit(1.0), F.max),
-    }[merge]
-    paths = checkpointed(pairs.groupBy("src", "dst").agg(fold("w").alias("w")))
-    for _ in range(_round_limit(paths)):
-        if paths.isEmpty():
-            return
-        yield paths
-        head = paths.select(F.col("src"), F.col("dst").alias("mid"), F.col("w").alias("w1"))
-        tail = paths.select(F.col("src").alias("mid"), F.col("dst"), F.col("w").alias("w2"))
-        longer = head.join(tail, "mid").groupBy("src", "dst").agg(
-            fold(join_weight(F.col("w1"), F.col("w2"))).alias("w"))
-        paths = checkpointed(longer)
-
-
-def _node_pairs(segments: DataFrame, weight: Column) -> DataFrame:
-    return segments.select(F.col("u").alias("src"), F.col("v").alias("dst"),
-                           weight.cast("double").alias("w"))
+
+def _between(segments: DataFrame, held: DataFrame) -> DataFrame:
+    return checkpointed(segments.join(held.withColumnRenamed("node", "u"), "u", "left_semi").join(
+        held.withColumnRenamed("node", "v"), "v", "left_semi").select(*segments.columns))
 
 
 def without_cycles(segments: DataFrame) -> DataFrame:
@@ -129,58 +129,51 @@ def without_cycles(segments: DataFrame) -> DataFrame:
 
     Acyclic networks come back as they are. Inside a strongly connected group the
     nodes are taken in id order and edges pointing back in that order are dropped,
-    so no cycle makes a job fail. Only the cyclic core, small in real hydrography,
-    is closed transitively.
+    so no cycle makes a job fail. Groups are looked for among nodes that lie behind a
+    cycle and before one, which are few in real hydrography.
     """
-    pairs = _node_pairs(segments, F.lit(1))
-    walk = None
-    rounds = 0
-    limit = _round_limit(pairs)
-    for walk in doubled_paths(pairs, "any"):
-        rounds += 1
-    if rounds < limit or walk is None:
+    core = _between(segments, _behind_cycles(segments))
+    if not core.isEmpty():
+        core = _between(core, _behind_cycles(_turned(core)))
+    if core.isEmpty():
         return segments
-    core = walk.select(F.col("src").alias("n")).distinct().intersect(
-        walk.select(F.col("dst").alias("n")).distinct())
-    core = checkpointed(core)
-    inner = (pairs.join(core.withColumnRenamed("n", "src"), "src", "left_semi")
-             .join(core.withColumnRenamed("n", "dst"), "dst", "left_semi"))
-    closed = checkpointed(inner.select("src", "dst").distinct())
-    size = closed.count()
-    while True:
-        hop = closed.alias("a").join(closed.alias("b"), F.col("a.dst") == F.col("b.src"))
-        wider = checkpointed(closed.union(hop.select("a.src", "b.dst")).distinct())
-        grown = wider.count()
-        closed = wider
-        if grown == size:
-            break
-        size = grown
-    both = closed.alias("a").join(closed.alias("b"), (F.col("a.src") == F.col("b.dst")) &
-                                  (F.col("a.dst") == F.col("b.src")))
-    back = both.select(F.col("a.src").alias("u"), F.col("a.dst").alias("v")).where("u >= v").distinct()
+    groups = checkpointed(strong_groups(core))
+    a = groups.select(F.col("node").alias("u"), F.col("group").alias("_a"))
+    b = groups.select(F.col("node").alias("v"), F.col("group").alias("_b"))
+    back = core.where("u >= v").select("u", "v").distinct().join(a, "u", "left").join(b, "v", "left").where(
+        "u = v OR _a = _b").select("u", "v")
     return checkpointed(segments.join(back, ["u", "v"], "left_anti").select(*segments.columns))
 
 
-def _reach(pairs: DataFrame, seed: DataFrame) -> DataFrame:
-    """Nodes with a path of any length (0 included) into ``seed(node)``."""
-    hit = checkpointed(seed.select("node").distinct())
-    for paths in doubled_paths(pairs, "any"):
-        more = paths.join(hit.withColumnRenamed("node", "dst"), "dst", "left_semi").select(
-            F.col("src").alias("node"))
-        hit = checkpointed(hit.union(more).distinct())
-    return hit
+def _reach(segments: DataFrame, seed: DataFrame) -> DataFrame:
+    """Nodes that a path of any length (0 included) leads to from ``seed(node)``."""
+    segments = checkpointed(segments)
+    found = _blank(segments).join(seed.withColumn("_s", F.lit(0.0)), "node", "left").select("node", F.col("_s").alias("x"))
+    values = checkpointed(node_values(_edges(segments, F.lit(0)), Least(), found))
+    hit = checkpointed(values.where(F.col("value") < float("inf")).select("node").unionByName(seed).distinct())
+    rest = nodes(segments).join(values, "node", "left_anti")
+    if rest.isEmpty():
+        return hit
+    # behind cycles: inside a strongly connected group all nodes are reached alike
+    groups = checkpointed(strong_groups(segments))
+    within = lambda side: groups.select(F.col("node").alias(side), F.col("group").alias(f"_{side}"))
+    joined = segments.join(within("u"), "u").join(within("v"), "v").where("_u <> _v").select(
+        F.col("_u").alias("u"), F.col("_v").alias("v"))
+    first = groups.join(seed, "node", "left_semi").select(F.col("group").alias("node")).distinct().withColumn("_s", F.lit(0.0))
+    starts = groups.select(F.col("group").alias("node")).distinct().join(first, "node", "left").select("node", F.col("_s").alias("x"))
+    values = node_values(_edges(joined, F.lit(0)), Least(), starts).where(F.col("value") < float("inf"))
+    return groups.join(values.select(F.col("node").alias("group")), "group", "left_semi").select("node").unionByName(seed).distinct()
 
 
 def upstream(segments: DataFrame, node: str) -> DataFrame:
     """All nodes draining to ``node``, itself left out even on a cycle."""
-    seed = segments.sparkSession.createDataFrame([(node,)], "node string")
-    seed = seed.select(F.col("node").cast(segments.schema["u"].dataType))
-    return _reach(_node_pairs(segments, F.lit(1)), seed).where(F.col("node") != node)
+    return downstream(_turned(segments), node)
 
 
 def downstream(segments: DataFrame, node: str) -> DataFrame:
-    turned = segments.select(F.col("v").alias("u"), F.col("u").alias("v"))
-    return upstream(turned, node)
+    seed = segments.sparkSession.createDataFrame([(node,)], "node string")
+    seed = seed.select(F.col("node").cast(segments.schema["u"].dataType))
+    return _reach(segments, seed).where(F.col("node") != node)
 
 
 def basin(segments: DataFrame, node: str) -> DataFrame:
@@ -193,112 +186,57 @@ def basin(segments: DataFrame, node: str) -> DataFrame:
             .join(inside.withColumnRenamed("node", "v"), "v", "left_semi"))
 
 
-def node_inflow(segments: DataFrame, own: Column) -> DataFrame:
-    """``(node, inflow)``: total of ``own`` over every upstream segment, per path.
-
-    A value entering a junction is handed to each outgoing segment, so water that
-    braids and rejoins counts once per path.
-    """
-    enter = segments.groupBy(F.col("v").alias("node")).agg(F.sum(own).cast("double").alias("s"))
-    state = checkpointed(nodes(segments).join(enter, "node", "left").select(
-        "node", F.coalesce("s", F.lit(0.0)).alias("s")))
-    for paths in doubled_paths(_node_pairs(segments, F.lit(1)), "count"):
-        sent = paths.join(state.withColumnRenamed("node", "src"), "src").groupBy(
-            F.col("dst").alias("node")).agg(F.sum(F.col("w") * F.col("s")).alias("add"))
-        state = checkpointed(state.join(sent, "node", "left").select(
-            "node", (F.col("s") + F.coalesce("add", F.lit(0.0))).alias("s")))
-    return state.withColumnRenamed("s", "inflow")
-
-
 # --- stream orders ------------------------------------------------------------------
 
-def _with_inflow(segments: DataFrame, own: Column) -> DataFrame:
-    inflow = node_inflow(segments, own)
-    return lookup_join(segments, inflow.withColumnRenamed("node", "u"), "u").select(
-        *segments.columns, F.coalesce("inflow", F.lit(0.0)).alias("inflow"))
+def _at_start(segments: DataFrame, values: DataFrame, name: str) -> DataFrame:
+    """Segments with the value of the node they start from."""
+    return lookup_join(checkpointed(segments), values.select(F.col("node").alias("u"), F.col("value").alias(name)), "u")
 
 
 def cumulative_length(segments: DataFrame) -> DataFrame:
-    """Own length plus everything entering the segment's start node."""
-    dag = without_cycles(segments)
-    inflow = node_inflow(dag, F.col("length"))
-    return lookup_join(segments, inflow.withColumnRenamed("node", "u"), "u").select(
-        *segments.columns, (F.col("length") + F.coalesce("inflow", F.lit(0.0))).alias("cum_length"))
+    """Own length plus everything entering the segment's start node.
+
+    A value entering a junction is handed to each outgoing segment, so water that
+    braids and rejoins counts once per path.
+    """
+    _, inflow = _along(segments, F.col("length"), Sum(), lambda s: _blank(s, 0.0))
+    return _at_start(segments, inflow, "_in").select(
+        *segments.columns, (F.col("length") + F.coalesce("_in", F.lit(0.0))).alias("cum_length"))
 
 
 def shreve_order(segments: DataFrame) -> DataFrame:
-    dag = without_cycles(segments)
-    heads = dag.select(F.col("u").alias("node")).distinct().join(
-        dag.select(F.col("v").alias("node")), "node", "left_anti").withColumn("_head", F.lit(1))
-    tagged = checkpointed(dag.join(heads.withColumnRenamed("node", "u"), "u", "left").select(
-        *dag.columns, F.coalesce("_head", F.lit(0)).alias("_head")))
-    inflow = node_inflow(tagged, F.col("_head"))
-    out = lookup_join(segments, inflow.withColumnRenamed("node", "u"), "u")
-    order = F.when(F.col("inflow") > 0, F.col("inflow")).otherwise(F.lit(1.0))
-    return out.select(*segments.columns, order.cast("bigint").alias("stream_order"))
+    """How many sources drain into a segment, once per path."""
+    heads = lambda s: nodes(s).join(sources(s).withColumn("_h", F.lit(1.0)), "node", "left").select(
+        "node", F.coalesce("_h", F.lit(0.0)).alias("x"))
+    _, values = _along(segments, F.lit(0), Sum(), heads)
+    order = F.when(F.col("_o") > 0, F.col("_o")).otherwise(F.lit(1.0))
+    return _at_start(segments, values, "_o").select(*segments.columns, order.cast("bigint").alias("stream_order"))
 
 
 def strahler_order(segments: DataFrame) -> DataFrame:
-    """Strahler order by peeling one order at a time.
-
-    What is left after removing orders below k starts with order-k headwaters; an
-    order-k channel runs on while its start node has one remaining inflow. Its
-    head is found by pointer doubling, so the rounds number (highest order) x
-    (log of the longest channel), not the length of the longest river.
-    """
-    dag = without_cycles(segments)
-    left = checkpointed(dag.select("segment_id", "u", "v"))
-    done = None
-    k = 0
-    while not left.isEmpty():
-        k += 1
-        into = left.groupBy(F.col("v").alias("node")).agg(
-            F.count("*").alias("d"), F.min("u").alias("up"))
-        # ptr: where a node's channel comes from; state: 0 head, 1 still walking, 2 junction
-        walk = left.select(F.col("u").alias("node")).distinct().join(into, "node", "left").select(
-            "node",
-            F.when(F.col("d") == 1, F.col("up")).alias("ptr"),
-            F.when(F.col("d").isNull(), 0).when(F.col("d") == 1, 1).otherwise(2).alias("st"))
-        walk = checkpointed(walk)
-        while not walk.where("st = 1").isEmpty():
-            ahead = walk.select(F.col("node").alias("ptr"), F.col("ptr").alias("ptr2"),
-                                F.col("st").alias("st2"))
-            moved = lookup_join(walk.where("st = 1").select("node", "ptr"), ahead, "ptr", "inner")
-            moved = moved.select("node", F.when(F.col("st2") == 1, F.col("ptr2")).alias("ptr"),
-                                 F.col("st2").alias("st"))
-            walk = checkpointed(walk.where("st <> 1").unionByName(moved))
-        heads = walk.where("st = 0").select(F.col("node").alias("u"))
-        found = left.join(heads, "u", "left_semi").select("segment_id", F.lit(k).alias("stream_order"))
-        done = found if done is None else done.unionByName(found)
-        left = checkpointed(left.join(heads, "u", "left_anti"))
-    if done is None:
-        return segments.withColumn("stream_order", F.lit(None).cast("int"))
-    # an edge dropped to open a cycle takes part in no order and counts as first
-    result = segments.join(done, "segment_id", "left")
-    return result.select(*[segments[c] for c in segments.columns],
-                         F.coalesce("stream_order", F.lit(1)).alias("stream_order"))
+    """Strahler order; an edge dropped to open a cycle takes part in no order and counts as first."""
+    dag, values = _along(segments, F.lit(0), Strahler(), _blank)
+    if dag.columns != segments.columns:
+        dag = dag.select(*segments.columns)
+    found = _at_start(dag, values, "_o").select("segment_id", F.col("_o").cast("int").alias("stream_order"))
+    return segments.join(found, "segment_id", "left").select(
+        *[segments[c] for c in segments.columns], F.coalesce("stream_order", F.lit(1)).alias("stream_order"))
 
 
 def hack_order(segments: DataFrame) -> DataFrame:
     """Main stem 1, each side branch one more; on braids the least downstream order counts."""
-    dag = without_cycles(segments)
-    cum = checkpointed(cumulative_length(dag))
+    dag, inflow = _along(segments, F.col("length"), Sum(), lambda s: _blank(s, 0.0))
+    cum = checkpointed(_at_start(dag, inflow, "_in").select(
+        "segment_id", "u", "v", (F.col("length") + F.coalesce("_in", F.lit(0.0))).alias("cum_length")))
     main = cum.groupBy("v").agg(F.max(F.struct("cum_length", "segment_id")).alias("_m")).select(
         "v", F.col("_m.segment_id").alias("_main"))
-    side = lookup_join(cum, main, "v").withColumn(
-        "_side", (F.col("segment_id") != F.col("_main")).cast("double"))
-    side = checkpointed(side)
+    side = checkpointed(lookup_join(cum, main, "v").withColumn(
+        "_side", (F.col("segment_id") != F.col("_main")).cast("double")).select("segment_id", "u", "v", "_side"))
     # least number of side steps from a node down to any outlet
-    ends = outlets(dag).withColumn("m", F.lit(0.0))
-    best = checkpointed(nodes(dag).join(ends, "node", "left"))
-    for paths in doubled_paths(_node_pairs(side, F.col("_side")), "min"):
-        via = paths.join(best.where("m IS NOT NULL").withColumnRenamed("node", "dst"), "dst").groupBy(
-            F.col("src").alias("node")).agg(F.min(F.col("w") + F.col("m")).alias("m2"))
-        best = checkpointed(best.join(via, "node", "left").select(
-            "node", F.least("m", "m2").alias("m")))
-    out = lookup_join(side, best.withColumnRenamed("node", "v"), "v")
-    order = (F.lit(1) + F.col("_side") + F.coalesce("m", F.lit(0.0))).cast("int")
-    ranked = out.select("segment_id", order.alias("stream_order"))
+    ends = nodes(side).join(outlets(side).withColumn("_e", F.lit(0.0)), "node", "left").select("node", F.col("_e").alias("x"))
+    best = node_values(_edges(_turned(side), F.col("_side")), Least(), ends)
+    out = lookup_join(side, best.select(F.col("node").alias("v"), "value"), "v")
+    ranked = out.select("segment_id", (F.lit(1) + F.col("_side") + F.coalesce("value", F.lit(0.0))).cast("int").alias("stream_order"))
     return segments.join(ranked, "segment_id", "left").select(
         *[segments[c] for c in segments.columns], F.coalesce("stream_order", F.lit(1)).alias("stream_order"))
 
