@@ -47,6 +47,7 @@ def fingerprint(paths: set[str] | frozenset[str]) -> str:
 LAYOUTS = (
     Layout(frozenset({"role", "text"}), "", "role", "text"),
     Layout(frozenset({"messages[].role", "messages[].content"}), "messages", "role", "content"),
+    Layout(frozenset({"messages[].role", "messages[].content[].text"}), "messages", "role", "content"),
     Layout(frozenset({"conversations[].from", "conversations[].value"}), "conversations", "from", "value"),
     Layout(frozenset({"turns[].speaker", "turns[].text"}), "turns", "speaker", "text"),
     Layout(frozenset({"prompt", "completion"}), fields=(("user", "prompt"), ("assistant", "completion"))),
@@ -57,16 +58,41 @@ LAYOUTS = (
     Layout(frozenset({"instruction", "input", "output"}), fields=(("user", "instruction", "input"), ("assistant", "output"))),
 )
 
+#: Fingerprints that a worker remembers; others are matched each time.
+REMEMBERED = 10_000
+
 #: Other names of the three roles; any other role is kept as it is.
 ROLES = {"human": "user", "gpt": "assistant", "bot": "assistant", "model": "assistant"}
 
 
-def turns_of(record: Any, layouts: dict[str, Layout], aliases: dict[str, str]) -> list[tuple[str, str]] | None:
+def layout_of(paths: set[str], mark: str, layouts: dict[str, Layout | None]) -> Layout | None:
+    """The mapping of a fingerprint; one met for the first time gets the layout that asks most of its paths.
+
+    Paths that no layout asks for, such as an id or a source, do not matter. Two layouts
+    that ask equally much leave it without one. ``layouts`` remembers the answer.
+    """
+    if mark not in layouts:
+        fitting = sorted({x for x in layouts.values() if x and x.paths <= paths}, key=lambda x: -len(x.paths))
+        clear = fitting and (len(fitting) == 1 or len(fitting[0].paths) > len(fitting[1].paths))
+        if len(layouts) >= REMEMBERED:
+            return fitting[0] if clear else None
+        layouts[mark] = fitting[0] if clear else None
+    return layouts[mark]
+
+
+def word(x: Any) -> str:
+    """A field as text; of a list of content parts their texts, a line each."""
+    if isinstance(x, list) and x and all(isinstance(p, dict) and isinstance(p.get("text"), str) for p in x):
+        return "\n".join(p["text"] for p in x)
+    return x if isinstance(x, str) else "" if x is None else json.dumps(x)
+
+
+def turns_of(record: Any, layouts: dict[str, Layout | None], aliases: dict[str, str]) -> list[tuple[str, str]] | None:
     """(role, text) of a parsed record; None if no mapping has its layout."""
-    layout = layouts.get(fingerprint(field_paths(record)))
+    paths = field_paths(record)
+    layout = layout_of(paths, fingerprint(paths), layouts)
     if layout is None:
         return None
-    word = lambda x: x if isinstance(x, str) else "" if x is None else json.dumps(x)
     if layout.fields:
         return [(role, "\n\n".join(t for t in (word(record.get(f)) for f in names) if t or len(names) == 1)) for role, *names in layout.fields]
     items = record[layout.each] if layout.each else [record]
@@ -75,11 +101,13 @@ def turns_of(record: Any, layouts: dict[str, Layout], aliases: dict[str, str]) -
 
 def canonical_turns(records: DataFrame, key: str, order: str, record: str, layouts: tuple[Layout, ...] = LAYOUTS,
                     aliases: dict[str, str] | None = None) -> DataFrame:
-    """``key, order, turn, role, text, layout`` from a column of JSON records.
+    """``key, order, turn, role, text, layout, record`` from a column of JSON records.
 
-    A record may be one turn or a whole conversation; ``turn`` counts within it. A null,
-    broken or unknown record gives one row with null role and its layout's hash (null if it
-    cannot be parsed), so nothing vanishes. Null texts and roles count as empty.
+    A record may be one turn or a whole conversation; ``turn`` counts within it. Layouts
+    match by the paths they ask for; others may stand beside them. A null, broken or
+    unknown record gives one row with null role and text, the record itself and its layout's
+    hash (null if it cannot be parsed): ``rejected`` gives these, ``format_turns`` leaves
+    them out. Null texts and roles count as empty; an empty table gives no rows.
     """
     by = {fingerprint(x.paths): x for x in layouts}
     aliases = ROLES if aliases is None else aliases
@@ -94,13 +122,18 @@ def canonical_turns(records: DataFrame, key: str, order: str, record: str, layou
                     parsed = None
                 mark = fingerprint(field_paths(parsed)) if isinstance(parsed, dict) else None
                 turns = turns_of(parsed, by, aliases) if mark else None
-                rows += [(k, o, i, role, text, mark) for i, (role, text) in enumerate(turns)] if turns is not None else [(k, o, 0, None, None, mark)]
-            cols = list(zip(*rows)) if rows else [()] * 6
-            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds)], ["key", "order", "turn", "role", "text", "layout"])
+                rows += [(k, o, i, role, text, mark, None) for i, (role, text) in enumerate(turns)] if turns is not None else [(k, o, 0, None, None, mark, raw)]
+            cols = list(zip(*rows)) if rows else [()] * 7
+            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.string()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds)], ["key", "order", "turn", "role", "text", "layout", "record"])
 
     return records.select(F.col(key).cast("long"), F.col(order).cast("long"), record).mapInArrow(
-        read, "key long, order long, turn long, role string, text string, layout string")
+        read, "key long, order long, turn long, role string, text string, layout string, record string")
+
+
+def rejected(turns: DataFrame) -> DataFrame:
+    """``key, order, record, layout`` of the records that no mapping takes; they are in no formatted text."""
+    return turns.where("role IS NULL").select("key", "order", "record", "layout")
 
 
 #: Control strings of the template.
@@ -152,7 +185,8 @@ def format_turns(turns: DataFrame) -> DataFrame:
     """``key, order, turn, formatted, mask_from, mask_to``: one marked turn per row.
 
     A conversation is its turns in order with nothing between, so it may be longer than
-    a task could hold; the mask is the trained part of the row's own text.
+    a task could hold; the mask is the trained part of the row's own text. Rows without a
+    role are records that were not understood and are left out; a null text counts as empty.
     """
     def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -161,7 +195,7 @@ def format_turns(turns: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array(cols[0], pa.string()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.int64())],
                                              ["key", "order", "turn", "formatted", "mask_from", "mask_to"])
 
-    return turns.select("key", "order", "turn", "role", "text").mapInArrow(
+    return turns.where("role IS NOT NULL").select("key", "order", "turn", "role", "text").mapInArrow(
         mark, "key long, order long, turn long, formatted string, mask_from long, mask_to long")
 
 

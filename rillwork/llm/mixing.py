@@ -46,11 +46,12 @@ def share_targets(sizes: DataFrame, weights: Sequence[float], share: float, most
 
 
 def hash_thresholds(rows: DataFrame, targets: DataFrame) -> DataFrame:
-    """Per source the repeats of all rows and the hash below which one more is taken.
+    """``source, target, source_size, repeats, at, left``: all rows are taken ``repeats`` times,
+    those with a hash below ``at`` once more, and ``left`` words are due from those at ``at``.
 
     A histogram over the top hash bits finds the bucket in which a source's budget runs
     out; only the rows of that bucket go to the next histogram, which settles the next
-    bits. It ends with a single hash, whose rows are taken if that comes nearer.
+    bits. It ends with a single hash.
     """
     base = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("int")
     state = targets.select("source", "target", "source_size", base.alias("repeats"),
@@ -76,9 +77,7 @@ def hash_thresholds(rows: DataFrame, targets: DataFrame) -> DataFrame:
             F.shiftright("hash", shift) == F.shiftright("at", shift)), "left_semi"))
         drop_stored(state, *([live] if shift < BITS - STEP else []))
         state, live = moved, inside
-    nearer = (F.col("left") > 0) & (F.col("left") * 2 >= F.col("at_size"))
-    return state.select("source", "target", "source_size", "repeats",
-                        (F.col("at") + nearer.cast("long")).alias("below"))
+    return state.select("source", "target", "source_size", "repeats", "at", "left")
 
 
 def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source",
@@ -88,20 +87,29 @@ def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     A row's size is its number of words; it is taken whole, ``copies`` times, and
     ``taken = copies * size``. A source misses its target by at most half the size of the
-    row at its threshold. Rows equal in id and text are taken alike; reruns agree, since
-    only hashes of id and text decide. Null or blank texts have size 0; their copies
+    row at its threshold. Hashes of id and text decide, so reruns agree; of rows equal in
+    both, however many, as many are taken once more as come nearest to the target. Null or blank texts have size 0; their copies
     follow the same rule. A null source is a source of its own, last in order. An empty
     table gives an empty mix. ``with_rows`` adds the whole input row as struct ``row``,
     so extra columns of any name are safe.
     """
     hashed = F.shiftrightunsigned(F.xxhash64(F.col(id_col), F.col(text_col), F.lit(seed)), 64 - BITS)
     own = [F.struct("*").alias("row")] if with_rows else []
-    rows = stored(docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"),
-                              word_count(F.col(text_col)).alias("size"), hashed.alias("hash"), *own))
+    rows = stored(docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size"),
+                              hashed.alias("hash"), F.monotonically_increasing_id().alias("place"), *own))
     sizes = rows.groupBy("source").agg(F.sum("size").alias("source_size"))
     plan = hash_thresholds(rows, share_targets(sizes, weights, share, most))
     plan = broadcast_if_small(plan.withColumnRenamed("source", "_s"))
-    copies = F.col("repeats") + (F.col("hash") < F.col("below")).cast("int")
-    return rows.join(plan, F.col("source").eqNullSafe(F.col("_s"))).select(
-        "doc_id", "source", "size", "source_size", "target", copies.alias("copies"),
-        (copies * F.col("size")).alias("taken"), *(["row"] if with_rows else []))
+    met = rows.join(plan, F.col("source").eqNullSafe(F.col("_s"))).drop("_s")
+    edge = (F.col("hash") == F.col("at")) & (F.col("size") > 0)
+    # equal rows at the threshold are numbered by where they lie, over any number of tasks
+    numbered = row_numbers(met.where(edge), ["source"], ["place"], "_rn")
+    more = F.col("_rn") * 2 * F.col("size") <= 2 * F.col("left") + F.col("size")
+    out = [F.col(c) for c in ("doc_id", "source", "size", "source_size", "target")]
+    held = ["row"] if with_rows else []
+
+    def taken(df: DataFrame, once_more: Column) -> DataFrame:
+        copies = F.col("repeats") + once_more.cast("int")
+        return df.select(*out, copies.alias("copies"), (copies * F.col("size")).alias("taken"), *held)
+
+    return taken(met.where(~edge), F.col("hash") < F.col("at")).unionByName(taken(numbered, more))

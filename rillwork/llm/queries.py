@@ -53,7 +53,13 @@ def op8_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     probe = "</s>[INST] ok [/INST]"
     rows = rows.unionByName(spark.createDataFrame([(-1, 0, "user", probe), (-1, 1, "assistant", probe)], rows.schema))
-    records = rows.select("conv_id", "turn", F.to_json(F.struct("role", "text"), {"ignoreNullFields": "false"}).alias("record"))
+    # the same rows in three layouts, one with fields that no mapping asks for
+    whole = {"ignoreNullFields": "false"}
+    plain = F.to_json(F.struct("role", "text", F.lit("x").alias("source")), whole)
+    chat_like = F.to_json(F.struct(F.array(F.struct("role", F.col("text").alias("content"))).alias("messages")), whole)
+    spoken = F.to_json(F.struct(F.array(F.struct(F.col("role").alias("speaker"), "text")).alias("turns")), whole)
+    kind = F.pmod(F.xxhash64("conv_id", "turn"), F.lit(3))
+    records = rows.select("conv_id", "turn", F.when(kind == 0, plain).when(kind == 1, chat_like).otherwise(spoken).alias("record"))
     turns = chat.canonical_turns(records, "conv_id", "turn", "record", aliases={})
     return chat.read_back(chat.format_turns(turns)).withColumnRenamed("key", "conv_id")
 

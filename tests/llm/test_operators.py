@@ -101,6 +101,31 @@ def test_mixing(spark, docs):
     assert mixing.mix_sources(none(spark)).count() == 0
 
 
+def test_mixing_of_equal_rows_meets_the_target(spark):
+    rows = [(1, "three plain words", "a")] * 1000 + [(i, "one two three four", "b") for i in range(10)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(4)
+    got = mixing.mix_sources(df).toPandas()
+    for _, own in got.groupby("source"):
+        assert len(own) in (1000, 10)
+        assert abs(own.taken.sum() - own.target.iloc[0]) <= own["size"].max() / 2
+        assert own.copies.max() - own.copies.min() <= 1
+
+
+def test_unknown_layouts_are_rejected_and_others_found_by_what_they_ask_for(spark):
+    records = ['{"role": "user", "text": "a", "id": 7, "source": "s"}', '{"messages": [{"role": "user", "content": [{"type": "text", "text": "b"}, {"type": "text", "text": "c"}]}]}',
+               '{"odd": 1}', None, "broken {", '{"prompt": "p", "response": "r", "system": "s", "meta": {"k": [1]}}', '{"prompt": "p", "completion": "c", "response": "r"}', "{}"]
+    df = spark.createDataFrame([(i, 0, r) for i, r in enumerate(records)], "conv long, n long, record string")
+    turns = chat.canonical_turns(df, "conv", "n", "record")
+    got = {}
+    for r in turns.where("role is not null").orderBy("key", "turn").collect():
+        got.setdefault(r["key"], []).append((r["role"], r["text"]))
+    assert got == {0: [("user", "a")], 1: [("user", "b\nc")], 5: [("system", "s"), ("user", "p"), ("assistant", "r")]}
+    refused = {r["key"]: r["record"] for r in chat.rejected(turns).collect()}
+    assert refused == {i: records[i] for i in (2, 3, 4, 6, 7)}
+    assert "[TURN]" not in "".join(r["formatted"] for r in chat.format_turns(turns).collect())
+    assert chat.format_turns(turns.limit(0)).count() == chat.read_back(chat.format_turns(turns.limit(0))).count() == 0
+
+
 def kept_by_brute_force(rows, window):
     first = {}
     split = [(k if k is not None else 1 << 62, (t or "").encode().split()) for k, t in rows]
