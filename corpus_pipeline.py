@@ -15,28 +15,36 @@ from rillwork.llm.queries import tokenizer_path
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that score below one half; null and empty texts are scored like others, repeated rows alike."""
     weights = toxicity.fit(docs, table(spark, sf_dir, "labels"))
     return docs.where(toxicity.toxicity(spark, weights, F.col("text")) < 0.5)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One row of every group; rows without words are one group, rows without an id are never merged by it."""
     return simhash.one_of_each(docs)
 
 
 def mask_private_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    found = private_data.find_private(docs, with_rows=True)
-    text = F.col("row.text")
+    """Texts with every span masked; null texts stay null, columns of other names are untouched."""
+    own = "_row"
+    while own in docs.columns:
+        own += "_"
+    found = private_data.find_private(docs, with_rows=True).withColumnRenamed("row", own)
+    text = F.col(own)["text"]
     clean = F.when(F.size("spans") > 0, private_data.masked(text, F.col("spans"))).otherwise(text)
-    out = found.select("row.*", clean.alias("_clean")).withColumn("text", F.col("_clean")).drop("_clean")
-    return out.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
+    new = {"text": clean, "n_chars": F.length(clean).cast("long")}
+    return found.select(*[new.get(c, F.col(own)[c]).alias(c) for c in docs.columns])
 
 
 def mix_to_weights(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each row as often as the mix takes it; rows it does not take are gone. A null source is one of its own."""
     mixed = mixing.mix_sources(docs, with_rows=True).where("copies > 0")
     return mixed.select("row", F.explode(F.array_repeat(F.lit(1), F.col("copies")))).select("row.*")
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces with their sequence and place; a null text is one end token, repeated rows are packed each."""
     return packing.pack_documents(docs, tokenizer_path())
 
 
