@@ -41,19 +41,41 @@ class CachedTokenizer:
         self.old: dict[str, bytes] = {}
         self.parts: dict[str, bytes] = {}
         self.odd = regex.compile(r"[^\t\n\r\x20-\x7e¡-įĲ-ſ]")
+        vocabulary = self.tokenizer.get_vocab()
+        self.ends = np.zeros(1 + max(vocabulary.values()), dtype=bool)
+        for token, number in vocabulary.items():
+            self.ends[number] = token.endswith("</w>")
         self.part = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+")
 
     def _ids(self, texts: list[str]) -> list[bytes]:
         found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
         return [np.asarray(x.ids, dtype="<u4").tobytes() for x in found]
 
+    def _part_ids(self, parts: list[str]) -> list[bytes]:
+        """Ids of parts of words, many in one call: the last id of each ends a word, and no other does."""
+        out: list[bytes] = []
+        for i in range(0, len(parts), 1000):
+            own = parts[i:i + 1000]
+            found = self.tokenizer.encode_batch_fast([" ".join(own)], add_special_tokens=False)[0]
+            ids = np.asarray(found.ids, dtype="<u4")
+            stops = (4 * (np.flatnonzero(self.ends[ids]) + 1)).tolist()
+            if len(stops) != len(own):
+                out += self._ids(own)
+                continue
+            raw = ids.tobytes()
+            out += [raw[a:z] for a, z in zip([0, *stops], stops)]
+        return out
+
     def _learn(self, words: list[str]) -> None:
         split = {w: [w] if "<|" in w else self.part.findall(w.lower()) for w in words}
         new = [p for p in set().union(*split.values()) if p not in self.parts]
         if len(self.parts) + len(new) > 2 * self.room:
             self.parts = {}
             new = list(set().union(*split.values()))
-        self.parts.update(zip(new, self._ids(new)))
+        special = [p for p in new if "<|" in p]
+        plain = [p for p in new if "<|" not in p]
+        self.parts.update(zip(special, self._ids(special)))
+        self.parts.update(zip(plain, self._part_ids(plain)))
         get = self.parts.__getitem__
         self.words.update((w, b"".join(map(get, p))) for w, p in split.items())
 
