@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from rillwork import fixed_values as X
 from rillwork.operators.classify import lookup
 from rillwork.operators.spatial import skew_join
+from rillwork.session import checkpointed
 
 HIGH_CONFIDENCE, REVIEW_CONFIDENCE = 0.85, 0.6
 NAME_WEIGHT, ADDRESS_WEIGHT, DISTANCE_WEIGHT = 0.5, 0.2, 0.3
@@ -142,14 +143,29 @@ def public_claims(claims: DataFrame) -> DataFrame:
     return shown.withColumn("lat", F.when(exact, F.col("lat"))).withColumn("lon", F.when(exact, F.col("lon")))
 
 
+#: Widths of the bins that alert periods are entered in, in days: a period touches two bins of its width at most.
+BIN_DAYS = tuple(4 ** n for n in range(10))
+
+
 def attach_alerts(results: DataFrame, alerts: DataFrame, key: str) -> DataFrame:
-    """Results with each active alert whose authority and period cover them; none gives one empty row."""
-    a = alerts.where("active").select("alert_id", "authority", F.col("valid_from").alias("_f"), F.col("valid_to").alias("_t"))
-    # periods meet on calendar months, then exactly
-    months = F.sequence(F.trunc(F.col("_f").cast("date"), "MM"), F.trunc(F.col("_t").cast("date"), "MM"), F.expr("INTERVAL 1 MONTH"))
-    a = a.withColumn("_m", F.explode(months))
-    r = results.select(key, "authority", "as_of").withColumn("_m", F.trunc(F.col("as_of").cast("date"), "MM"))
-    hits = r.join(a, ["authority", "_m"]).where(F.col("as_of").between(F.col("_f"), F.col("_t"))).select(key, "alert_id").distinct()
+    """Results with each active alert whose authority and period cover them; none gives one empty row.
+
+    A period is entered in bins as wide as itself or up to four times as wide; a result
+    looks into one bin of every width in use. Hot bins are salted.
+    """
+    a = alerts.where("active").select("alert_id", "authority", F.col("valid_from").cast("timestamp").alias("_f"), F.col("valid_to").cast("timestamp").alias("_t"))
+    a = a.where("_f <= _t")
+    day = 86_400_000_000
+    days = (F.unix_micros("_t") - F.unix_micros("_f")) / day
+    width = F.coalesce(*[F.when(days <= w, F.lit(w)) for w in BIN_DAYS], F.lit(BIN_DAYS[-1])).cast("bigint")
+    at = lambda c: F.floor(F.unix_micros(c) / (F.col("_w") * day))
+    a = checkpointed(a.withColumn("_w", width))
+    used = sorted(r[0] for r in a.select("_w").distinct().collect())  # of the ten widths
+    a = a.withColumn("_bin", F.explode(F.sequence(at(F.col("_f")), at(F.col("_t")))))
+    r = results.select(key, "authority", F.col("as_of").cast("timestamp").alias("_at"), F.explode(
+        F.array(*[F.lit(w).cast("bigint") for w in used]) if used else F.array().cast("array<bigint>")).alias("_w"))
+    r = r.withColumn("_bin", at(F.col("_at")))
+    hits = skew_join(r, a, ["authority", "_w", "_bin"]).where(F.col("_at").between(F.col("_f"), F.col("_t"))).select(key, "alert_id").distinct()
     return results.join(hits, key, "left")
 
 

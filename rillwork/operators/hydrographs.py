@@ -8,12 +8,15 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from rillwork.functions import series as S
 from rillwork.functions import vectors as V
-from rillwork.session import broadcast_if_small
+from rillwork.operators.scale import row_numbers
+from rillwork.session import broadcast_if_small, checkpointed
 
 
 def complete_years(hydro: DataFrame, q: str = "q") -> DataFrame:
@@ -284,21 +287,38 @@ def month_boxes(hydro: DataFrame, keys: Sequence[str] = ("site",)) -> DataFrame:
         F.count_if(~inside).alias("outliers"))
 
 
-def gauge_correlation(metric: DataFrame, gauges: int) -> DataFrame:
+def gauge_correlation(metric: DataFrame, gauges: int | Column, block: int = 512) -> DataFrame:
     """Pearson r between every two gauges over the years all ``gauges`` gauges share.
 
-    The answer is a gauge-by-gauge matrix; rows meet on the year and shrink to
-    one aggregate per pair on the map side.
+    A gauge's years are one array, bounded by the calendar; ``block`` gauges make a matrix,
+    and every two blocks meet in one task, which gives their part of the answer.
     """
-    shared = metric.groupBy("year").agg(F.count("*").alias("_n")).where(F.col("_n") == gauges)
-    kept = metric.join(shared, "year", "left_semi")
-    left = kept.select("year", F.col("site").alias("a"), F.col("value").alias("va"))
-    right = kept.select("year", F.col("site").alias("b"), F.col("value").alias("vb"))
-    out = left.join(right, "year").groupBy("a", "b").agg(
-        pearson(F.col("va"), F.col("vb")).alias("_r"), F.stddev_pop("va").alias("_sa"),
-        F.stddev_pop("vb").alias("_sb"), F.count("*").alias("_n"))
-    defined = (F.col("_n") >= 2) & (F.col("_sa") != 0) & (F.col("_sb") != 0)
-    return out.select("a", "b", F.when(defined, F.col("_r")).alias("r"))
+    # years of a calendar: a few hundred at most
+    years = [r["year"] for r in metric.groupBy("year").agg(F.count("*").alias("_n")).where(F.col("_n") == gauges).collect()]
+    series = metric.where(F.col("year").isin(years)).groupBy("site").agg(
+        F.transform(F.array_sort(F.collect_list(F.struct("year", "value"))), lambda s: s["value"].cast("double")).alias("values"))
+    laid = checkpointed(row_numbers(series, [], ["site"], "_rn").withColumn("_block", F.floor((F.col("_rn") - 1) / block)))
+    blocks = F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(max(0, -(-laid.count() // block) - 1)).cast("bigint")))
+    own = lambda side: [F.col("site").alias(f"site_{side}"), F.col("values").alias(f"values_{side}")]
+    left = laid.select(*own("a"), F.col("_block").alias("i"), blocks.alias("j"))
+    right = laid.select(*own("b"), blocks.alias("i"), F.col("_block").alias("j"))
+
+    def correlate(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        def standard(values: pd.Series) -> np.ndarray:
+            x = np.array(values.tolist(), dtype=float)
+            flat = x.max(axis=1) == x.min(axis=1)
+            x = x - x.mean(axis=1, keepdims=True)
+            size = np.sqrt((x * x).sum(axis=1, keepdims=True))
+            return x / np.where(flat[:, None] | (size == 0), np.nan, size)
+
+        if not len(a) or not len(b):
+            return pd.DataFrame({"a": a["site_a"][:0], "b": b["site_b"][:0], "r": np.empty(0)})
+        r = standard(a["values_a"]) @ standard(b["values_b"]).T
+        return pd.DataFrame({"a": np.repeat(a["site_a"].to_numpy(), len(b)), "b": np.tile(b["site_b"].to_numpy(), len(a)), "r": r.ravel()})
+
+    kind = dict(metric.dtypes)["site"]
+    out = left.groupBy("i", "j").cogroup(right.groupBy("i", "j")).applyInPandas(correlate, f"a {kind}, b {kind}, r double")
+    return out.select("a", "b", F.when(~F.isnan("r"), F.col("r")).alias("r"))
 
 
 def linear_trend(metric: DataFrame, ahead: int = 5, keys: Sequence[str] = ("site",)) -> DataFrame:

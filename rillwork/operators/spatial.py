@@ -423,12 +423,14 @@ def coincidences(structures: DataFrame, naturals: DataFrame, cell: float, min_ov
     return every.select("pos", "poly_pos", F.try_divide("shared", "own").alias("fraction")).where(F.col("fraction") >= min_overlap)
 
 
-def shared_edges(polygons: DataFrame, key: str = "pos", reach: float = 100.0, tolerance: float = 5e-5) -> DataFrame:
+def shared_edges(polygons: DataFrame, key: str = "pos", tolerance: float = 5e-5) -> DataFrame:
     """Pairs of polygons whose boundaries share a stretch of positive length.
 
     Edges are keyed by the line they lie on (direction and offset, each in two
-    staggered roundings so that nearly equal lines always share a key) and by the
-    stretches of ``reach`` along it, so only edges that lie together are compared.
+    staggered roundings so that nearly equal lines always share a key). Along the line
+    an edge is entered in bins as wide as itself, of which it touches two at most, and
+    looks for others in the bins of its own and every greater width in use. So edges of
+    any length meet only where they lie together, however many lie on one line.
     """
     e = segments_of(polygons, key).where("x0 <> x1 OR y0 <> y1")
     flip = (F.col("x1") < F.col("x0")) | ((F.col("x1") == F.col("x0")) & (F.col("y1") < F.col("y0")))
@@ -440,14 +442,22 @@ def shared_edges(polygons: DataFrame, key: str = "pos", reach: float = 100.0, to
                        "s0": F.col("ax") * F.col("ux") + F.col("ay") * F.col("uy"), "s1": F.col("bx") * F.col("ux") + F.col("by") * F.col("uy")})
     keys = F.array(*[F.struct(F.lit(2 * i + j).alias("tag"), F.floor(F.col("theta") * 1e6 + i / 2).alias("kt"),
                               F.floor(F.col("off") * 5e3 + j / 2).alias("ko")) for i in (0, 1) for j in (0, 1)])
-    on = e.select(key, "theta", "off", "s0", "s1", F.explode(keys).alias("k"))
-    on = on.withColumn("ks", F.explode(F.sequence(F.floor(F.col("s0") / reach), F.floor(F.col("s1") / reach))))
-    side = lambda n: on.select("k.*", "ks", *[F.col(c).alias(f"{c}_{n}") for c in (key, "theta", "off", "s0", "s1")])
-    met = skew_join(side("a"), side("b"), ["tag", "kt", "ko", "ks"])
+    width = F.ceil(F.log2(F.greatest(F.col("s1") - F.col("s0"), F.lit(1e-12)))).cast("int")
+    e = checkpointed(e.select(key, "theta", "off", "s0", "s1", keys.alias("k"), width.alias("own")))
+    widths = sorted(r[0] for r in e.select("own").distinct().collect())  # powers of two: a few dozen
+
+    def binned(level: Column, n: str) -> DataFrame:
+        on = e.select("*", level.alias("level")).select(
+            "*", F.explode("k").alias("_k"), F.pow(F.lit(2.0), F.col("level")).alias("_w"))
+        on = on.withColumn("bin", F.explode(F.sequence(F.floor(F.col("s0") / F.col("_w")), F.floor(F.col("s1") / F.col("_w")))))
+        return on.select("_k.*", "level", "bin", *[F.col(c).alias(f"{c}_{n}") for c in (key, "theta", "off", "s0", "s1")])
+
+    probes = binned(F.explode(F.filter(F.array(*[F.lit(w) for w in widths]) if widths else F.array().cast("array<int>"), lambda w: w >= F.col("own"))), "a")
+    met = skew_join(probes, binned(F.col("own"), "b"), ["tag", "kt", "ko", "level", "bin"])
     common = F.least("s1_a", "s1_b") - F.greatest("s0_a", "s0_b")
     same = (F.abs(F.col("theta_a") - F.col("theta_b")) <= 5e-7) & (F.abs(F.col("off_a") - F.col("off_b")) <= tolerance)
-    return met.where((F.col(f"{key}_a") < F.col(f"{key}_b")) & same & (common > 1e-9)).select(
-        F.col(f"{key}_a").alias("a"), F.col(f"{key}_b").alias("b")).distinct()
+    return met.where((F.col(f"{key}_a") != F.col(f"{key}_b")) & same & (common > 1e-9)).select(
+        F.least(f"{key}_a", f"{key}_b").alias("a"), F.greatest(f"{key}_a", f"{key}_b").alias("b")).distinct()
 
 
 # --- nearest line ------------------------------------------------------------------------------------

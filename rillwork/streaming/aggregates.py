@@ -18,8 +18,40 @@ def gauge_daily(readings: DataFrame, delay: str = "2 days") -> DataFrame:
             .select("site", F.col("window.start").alias("day"), "total", "n"))
 
 
-def gauge_monthly(readings: DataFrame) -> DataFrame:
-    """Running monthly mean per gauge (update mode)."""
+_MONTH_DAYS = 31
+
+
+def _month_clock(ts):
+    """An event time in which every month takes 31 days, so that months are windows of one width.
+
+    It runs with the calendar and leaps over the days that a month has not got, three at most.
+    """
+    months = (F.year(ts) - 1970) * 12 + F.month(ts) - 1
+    seconds = F.unix_seconds(ts) - F.unix_seconds(F.date_trunc("day", ts))
+    return F.timestamp_seconds((months * _MONTH_DAYS + F.dayofmonth(ts) - 1).cast("bigint") * 86_400 + seconds)
+
+
+def _calendar_month(clock):
+    months = F.floor(F.unix_seconds(clock) / (_MONTH_DAYS * 86_400)).cast("int")
+    return F.make_date(1970 + F.floor(months / 12).cast("int"), (F.pmod(months, F.lit(12)) + 1).cast("int"), F.lit(1))
+
+
+def gauge_monthly(readings: DataFrame, delay_days: int = 2) -> DataFrame:
+    """Mean of the daily means per gauge and month, put out once the month is closed (append mode).
+
+    Two windows in one query: readings to days, days to months. State holds the open days
+    and months only. A reading may come ``delay_days`` late (and up to three days less at
+    the end of a month, which is why three are added to the watermark); later ones are left out.
+    """
+    timed = readings.where("ts IS NOT NULL").withColumn("clock", _month_clock(F.col("ts"))).withWatermark("clock", f"{delay_days + 3} days")
+    days = timed.groupBy("site", F.window("clock", "1 day").alias("day")).agg(F.avg("value").alias("mean"), F.count("*").alias("n"))
+    months = days.groupBy("site", F.window(F.window_time("day"), f"{_MONTH_DAYS} days").alias("month")).agg(
+        F.avg("mean").alias("mean"), F.count("*").alias("days"), F.sum("n").alias("readings"))
+    return months.select("site", _calendar_month(F.col("month.start")).alias("month"), "mean", "days", "readings")
+
+
+def gauge_running(readings: DataFrame) -> DataFrame:
+    """Running mean of all readings per gauge and month (update mode); months are never closed."""
     month = F.date_trunc("month", "ts")
     return readings.groupBy("site", month.alias("month")).agg((F.sum("value") / F.count("*")).alias("mean"), F.count("*").alias("n"))
 

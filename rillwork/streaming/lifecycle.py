@@ -135,8 +135,16 @@ def run_machine(events: DataFrame, states: Sequence[str], allowed: dict[str, fro
 
 def run_payments(notices: DataFrame, states: Sequence[str], allowed: dict[str, frozenset[str]], delay: str,
                  start: str = "payment_pending") -> DataFrame:
-    """Payment notices: repeats are no-ops and only a pending request becomes paid."""
-    return run_machine(notices, states, allowed, start, delay)
+    """Payment notices: repeats are no-ops and only a pending request becomes paid.
+
+    Spark drops a notice whose id it has seen within ``delay``, in this trigger or an earlier one.
+    """
+    return run_machine(once_each(notices, delay), states, allowed, start, delay)
+
+
+def once_each(notices: DataFrame, delay: str) -> DataFrame:
+    """A stream without the repeats of an ``event_id`` that come within ``delay`` of the first."""
+    return notices.withWatermark("ts", delay).dropDuplicatesWithinWatermark(["event_id"])
 
 
 def expiry_step(ready: DataFrame, state: DataFrame | None, upto: int) -> tuple[DataFrame, DataFrame]:

@@ -99,3 +99,39 @@ def test_expiry_across_batches(spark, tmp_path):
     run.close()
     got = sorted((r.key, r.access or "", r.at.day if r.at else 0, r.outcome) for r in run.output().collect())
     assert got == [("a", "expired", 9, "applied"), ("b", "revoked", 5, "applied"), ("c", "expired", 4, "applied"), ("f", "", 0, "late")]
+
+
+def _rows(spark, values, schema):
+    return spark.createDataFrame(values, schema)
+
+
+def test_daily_means_become_monthly_ones_and_late_readings_are_left_out(spark, tmp_path):
+    import datetime as dt
+    day = lambda m, d, h=0: dt.datetime(2023, m, d, h)
+    files = [[(1, day(1, 30), 2.0), (1, day(1, 30, 6), 4.0), (1, day(1, 31), 9.0), (2, day(2, 27), 5.0)],
+             [(1, day(2, 3), 8.0), (1, day(1, 31, 12), 11.0)],  # within the delay: both are counted
+             [(1, day(3, 20), 1.0)],  # passes the end of both months
+             [(1, day(3, 21), 3.0)],  # Spark drops what is late from the trigger after that on
+             [(1, day(1, 15), 1000.0), (1, day(3, 22), 3.0), (1, None, 7.0)]]  # too late, on time, without a time
+    for i, rows in enumerate(files):
+        _rows(spark, rows, "site long, ts timestamp, value double").coalesce(1).write.parquet(f"{tmp_path}/readings.parquet/{i}")
+        for name in os.listdir(f"{tmp_path}/readings.parquet/{i}"):
+            if name.startswith("part-"):
+                os.rename(f"{tmp_path}/readings.parquet/{i}/{name}", f"{tmp_path}/readings.parquet/part-{i}.parquet")
+                os.utime(f"{tmp_path}/readings.parquet/part-{i}.parquet", (1_700_000_000 + 1000 * i,) * 2)
+    stream = table_stream(spark, str(tmp_path), "readings", 1)
+    got = sorted((r["site"], r["month"].month, r["mean"], r["days"], r["readings"]) for r in drained(aggregates.gauge_monthly(stream, 40)).collect())
+    assert got == [(1, 1, (3.0 + 10.0) / 2, 2, 4)]
+    got = sorted((r["site"], r["month"].month, r["mean"]) for r in drained(aggregates.gauge_monthly(stream, 2)).collect())
+    assert (1, 2, 8.0) in got and (2, 2, 5.0) in got and all(m < 400 for _, _, m in got) and all(month != 3 for _, month, _ in got)
+
+
+def test_spark_drops_repeated_notices_across_triggers(spark, tmp_path):
+    import datetime as dt
+    at = dt.datetime(2023, 5, 1)
+    for i in range(3):
+        _rows(spark, [("k", 7, at, "paid"), ("k", 8 + i, at, "paid")], "key string, event_id long, ts timestamp, target string").coalesce(1).write.mode(
+            "append").parquet(f"{tmp_path}/notices.parquet")
+    stream = table_stream(spark, str(tmp_path), "notices", 1)
+    got = sorted(r["event_id"] for r in drained(lifecycle.once_each(stream, "10 days")).collect())
+    assert got == [7, 8, 9, 10]
