@@ -13,7 +13,7 @@ blocks that have the word or pair. A count that only one block has is known ther
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -42,14 +42,26 @@ class Models:
     mix: float = 0.5
     vocabulary: int | None = None  # as many as ``words`` if not given
 
-    def losses(self, one: np.ndarray, two: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Nats of each word under both models, pairs interpolated with words."""
+    def losses(self, one: np.ndarray, two: np.ndarray, own: tuple[int, float] | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """Nats of each word under both models, pairs interpolated with words.
+
+        ``own`` is the model that has counted the text itself and the weight it counted it
+        with; what the text gave is then taken out before it is scored.
+        """
         size = len(self.words) if self.vocabulary is None else self.vocabulary
-        alone = (self.words[one] + 0.5) / (self.totals + 0.5 * size)
+        words, pairs, totals = self.words[one], self.pairs[two], self.totals
+        if own is not None:
+            side, weight = own
+            totals = totals.copy()
+            totals[side] -= weight * len(one)
+            for counts, places in ((words, one), (pairs, two)):
+                _, at, n = np.unique(places, return_inverse=True, return_counts=True)
+                counts[:, side] = np.maximum(counts[:, side] - weight * n[at], 0)
+        alone = (words + 0.5) / (totals + 0.5 * size)
         out = alone.copy()
         if len(one) > 1:
-            before = self.words[one[:-1]]
-            joint = np.minimum(self.pairs[two], before)
+            before = words[:-1]
+            joint = np.minimum(pairs, before)
             out[1:] = np.where(before > 0, self.mix * joint / np.maximum(before, 1e-9) + (1 - self.mix) * alone[1:], alone[1:])
         loss = -np.log(out)
         return loss[:, 0], loss[:, 1]
@@ -89,7 +101,7 @@ class Block:
     texts: list[tuple[np.ndarray, np.ndarray]]
 
     @classmethod
-    def of(cls, number: Numbering, texts: list[str], chosen: list[int]) -> Block:
+    def of(cls, number: Numbering, texts: Iterable[str], chosen: list[int]) -> Block:
         found = [number.hashes(t) for t in texts]
         keys, counts, places = [], [], []
         for kind in (0, 1):
@@ -98,7 +110,7 @@ class Block:
             side = np.repeat(np.array(chosen, dtype=bool), lengths)
             keys.append(own)
             counts.append(np.stack([np.bincount(at[side], minlength=len(own)), np.bincount(at[~side], minlength=len(own))], axis=1))
-            places.append(np.split(at, np.cumsum(lengths)[:-1]))
+            places.append(np.split(at.astype(np.int32), np.cumsum(lengths)[:-1]))
         return cls(keys, counts, list(zip(*places)))
 
 
@@ -131,7 +143,7 @@ def _packed(numbers: np.ndarray) -> bytes:
     return np.ascontiguousarray(numbers.astype("<u8")).view(np.uint8).reshape(-1, 8).T.tobytes()
 
 
-def _unpacked(data: bytes) -> np.ndarray:
+def _unpacked(data: bytes | pa.Buffer) -> np.ndarray:
     return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(8, -1).T).view("<u8").ravel()
 
 
@@ -140,7 +152,7 @@ def _sent(kind: int, share: int, block: int, keys: np.ndarray, counts: np.ndarra
     return kind, share, block, _packed(np.diff(keys, prepend=np.uint64(0))), *(_packed(counts[:, k]) for k in (0, 1))
 
 
-def _keys(data: bytes) -> np.ndarray:
+def _keys(data: bytes | pa.Buffer) -> np.ndarray:
     return np.cumsum(_unpacked(data), dtype=np.uint64)
 
 
@@ -210,10 +222,13 @@ def _totals(counted: DataFrame) -> DataFrame:
     return stored(counted.groupBy("kind", "share").applyInArrow(add, _SENT))
 
 
-def score_documents(docs: DataFrame, target: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def score_documents(docs: DataFrame, target: DataFrame, id_col: str = "doc_id", text_col: str = "text",
+                    leave_own_out: bool = False) -> DataFrame:
     """``doc_id, n_words, target_loss, background_loss, score`` of every row.
 
-    ``target`` has the ids of the target documents; all others are the background. Losses
+    ``target`` has the ids of the target documents; all others are the background. With
+    ``leave_own_out`` a row is scored by models that have not counted it, so documents of the
+    target and others like them are judged alike; equal rows count for each other. Losses
     are means in nats a word; texts without words (null, empty, blank) have 0 words and
     score 0. Ids may repeat; a null id is background. Empty tables give no rows.
     """
@@ -227,14 +242,20 @@ def score_documents(docs: DataFrame, target: DataFrame, id_col: str = "doc_id",
     matched = np.where(sums > 0, sums.max(initial=1.0) / np.maximum(sums, 1), 1.0)
 
     def judge(own: pa.Table, sent: pa.Table) -> pa.Table:
-        block = Block.of(Numbering(), own["text"].to_pylist(), own["t"].to_pylist())
-        for kind, *row in zip(*(sent[c].to_pylist() for c in ("kind", "keys", "target", "background"))):
-            at = np.searchsorted(block.keys[kind], _keys(row[0]))
-            block.counts[kind][at] = np.stack([_unpacked(x).astype(np.int64) for x in row[1:]], axis=1)
-        models = Models(block.counts[0] * matched, block.counts[1] * matched, sums * matched, vocabulary=vocabulary)
+        chosen = own["t"].to_pylist()
+        # one text and one share's totals at a time; the rest stays in Arrow's buffers
+        block = Block.of(Numbering(), (t.as_py() for t in own["text"]), chosen)
+        for kind, keys, *row in zip(sent["kind"].to_pylist(), sent["keys"], sent["target"], sent["background"]):
+            at = np.searchsorted(block.keys[kind], _keys(keys.as_buffer()))
+            for side, x in enumerate(row):
+                block.counts[kind][at, side] = _unpacked(x.as_buffer())
+        block.keys.clear()
+        counts = [block.counts.pop(0) * matched for _ in (0, 1)]
+        models = Models(*counts, sums * matched, vocabulary=vocabulary)
         rows = []
-        for one, two in block.texts:
-            a, b = models.losses(one, two) if len(one) else (np.zeros(1), np.zeros(1))
+        for (one, two), t in zip(block.texts, chosen):
+            without = (1 - t, matched[1 - t]) if leave_own_out else None
+            a, b = models.losses(one, two, without) if len(one) else (np.zeros(1), np.zeros(1))
             rows.append((len(one), float(a.mean()), float(b.mean())))
         lengths, a, b = zip(*rows)
         return pa.Table.from_arrays([own["id"], pa.array(lengths, pa.int64()), pa.array(a), pa.array(b)], ["doc_id", "n_words", "target_loss", "background_loss"])

@@ -35,9 +35,9 @@ def op4_projection_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_cross_entropy_difference(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Target: documents labelled as of good quality; background: all others."""
+    """Target: documents labelled as of good quality; background: all others. No document is judged by its own counts."""
     target = table(spark, sf_dir, "labels").where("quality = 1").select("doc_id")
-    return lm_scoring.score_documents(table(spark, sf_dir, "documents"), target)
+    return lm_scoring.score_documents(table(spark, sf_dir, "documents"), target, leave_own_out=True)
 
 
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

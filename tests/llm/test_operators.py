@@ -196,6 +196,57 @@ def test_cross_entropy_difference(spark):
     assert lm_scoring.score_documents(none(spark), target).count() == 0
 
 
+def plain_scores(rows, target):
+    """Losses under counts of all other rows, word by word."""
+    texts = [(t or "").lower().split() for _, t in rows]
+    sides = [0 if i in target and i is not None else 1 for i, _ in rows]
+    out, sums = [], [0, 0]
+    for words_, s in zip(texts, sides):
+        sums[s] += len(words_)
+    matched = [max(sums) / x if x else 1.0 for x in sums]
+    vocabulary = len({w for t in texts for w in t})
+    for k, own in enumerate(texts):
+        counts, pairs, total = [defaultdict(float), defaultdict(float)], [defaultdict(float), defaultdict(float)], [0.0, 0.0]
+        for j, (t, s) in enumerate(zip(texts, sides)):
+            if j != k:
+                total[s] += matched[s] * len(t)
+                for w in t:
+                    counts[s][w] += matched[s]
+                for p in zip(t, t[1:]):
+                    pairs[s][p] += matched[s]
+        loss = [[], []]
+        for s in (0, 1):
+            for n, w in enumerate(own):
+                p = (counts[s][w] + 0.5) / (total[s] + 0.5 * vocabulary)
+                before = counts[s][own[n - 1]] if n else 0
+                if before > 0:
+                    p = 0.5 * min(pairs[s][own[n - 1], w], before) / before + 0.5 * p
+                loss[s].append(-np.log(p))
+        out.append((len(own), *[float(np.mean(x)) if own else 0.0 for x in loss]))
+    return out
+
+
+def test_a_document_is_scored_by_what_others_count(spark, monkeypatch):
+    monkeypatch.setattr(lm_scoring, "BLOCK", 300)
+    monkeypatch.setattr(lm_scoring, "SHARE", 900)
+    rng = random.Random(6)
+    rows = [(i, " ".join(rng.choice("red blue green cat dog".split()[i % 2:]) for _ in range(rng.randint(1, 25))) + f" only{i}") for i in range(40)]
+    rows += [(40, rows[2][1]), (41, None), (42, "solo"), (None, "red cat"), (3, "blue " * 3000)]
+    target = [i for i in range(0, 40, 4)]
+    got = lm_scoring.score_documents(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame([(i,) for i in target], "doc_id long"), leave_own_out=True).collect()
+    have = sorted((str(r["doc_id"]), r["n_words"], round(r["target_loss"], 6), round(r["background_loss"], 6)) for r in got)
+    assert have == sorted((str(i), n, round(a, 6), round(b, 6)) for (i, _), (n, a, b) in zip(rows, plain_scores(rows, set(target))))
+
+
+def test_held_out_halves_of_one_style_score_alike(spark):
+    rng = random.Random(12)
+    rows = [(i, words(rng, 20) + " " + " ".join(rng.choice(["red", "blue", "green"]) for _ in range(30))) for i in range(120)]
+    target = spark.createDataFrame([(i,) for i in range(0, 120, 2)], "doc_id long")
+    got = lm_scoring.score_documents(spark.createDataFrame(rows, "doc_id long, text string"), target, leave_own_out=True).toPandas()
+    halves = got.groupby(got.doc_id % 2).score.mean()
+    assert abs(halves[0] - halves[1]) < 0.1
+
+
 def test_losses_against_plain_counting():
     counts = np.zeros((1 << lm_scoring.WORDS, 2))
     pairs = np.zeros((1 << lm_scoring.PAIRS, 2))
