@@ -284,12 +284,32 @@ def _spot_features(spark, sf):
         G.path(G.point(k * 37 % 1000, k * 91 % 500)).alias("parts"), F.lit("EPSG:5070").alias("crs"), F.lit("excluded: by code").alias("inclusion_reason"))
 
 
-@query("point_selection", "GEO-08")
+# spots taken one by one in source order: a spot is skipped if one was taken there, or one of its class within its spacing
+_THIN = """ f AS (SELECT *, row_number() OVER (ORDER BY pos) AS k FROM open),
+ r AS (SELECT CAST(0 AS BIGINT) AS k, CAST([] AS STRUCT(pos BIGINT, cls VARCHAR, x BIGINT, y BIGINT)[]) AS kept UNION ALL
+  SELECT f.k, CASE WHEN len(list_filter(kept, lambda a: (a.x = f.x AND a.y = f.y) OR (f.spacing > 0 AND a.cls = f.cls AND sqrt((a.x - f.x) ** 2 + (a.y - f.y) ** 2) < f.spacing))) > 0
+   THEN kept ELSE list_append(kept, {'pos': f.pos, 'cls': f.cls, 'x': f.x, 'y': f.y}) END FROM r JOIN f ON f.k = r.k + 1),
+ won AS (SELECT w.* FROM (SELECT unnest(kept) AS w FROM (SELECT kept FROM r ORDER BY k DESC LIMIT 1))),
+ thin AS (SELECT f.*, w.pos IS NOT NULL AS taken, o.pos AS owner FROM f LEFT JOIN won w ON w.pos = f.pos LEFT JOIN won o ON o.x = f.x AND o.y = f.y AND o.pos < f.pos)"""
+_SPOTS = "sp AS (SELECT c_custkey AS pos, CASE c_nationkey % 4 WHEN 0 THEN 'excluded' WHEN 1 THEN 'spring' WHEN 2 THEN 'waterfall' ELSE 'rapids' END AS cls, c_custkey * 37 % 1000 AS x, c_custkey * 91 % 500 AS y FROM customer)"
+
+
+@query("point_selection", "GEO-08", sql=f"""WITH RECURSIVE {_SPOTS}, open AS (SELECT *, CASE cls WHEN 'spring' THEN 30 WHEN 'waterfall' THEN 18 ELSE 0 END AS spacing FROM sp WHERE cls <> 'excluded'),
+{_THIN}
+SELECT pos, cls AS class, CASE WHEN taken THEN 'selected' ELSE 'excluded' END AS bucket, CASE WHEN taken THEN concat('selected as ', cls) WHEN owner IS NOT NULL THEN concat('excluded: duplicate point of ''s', owner, '''')
+ ELSE printf('excluded: within %.1f m of a denser-priority %s point (density cap)', spacing::DOUBLE, cls) END AS reason FROM thin
+UNION ALL SELECT pos, cls, 'excluded', 'excluded: by code' FROM sp WHERE cls = 'excluded'""")
 def _(spark, sf):
     return Z.select_points(_spot_features(spark, sf), min_spacing={"spring": 30.0, "waterfall": 18.0}, default_spacing=0.0).select("pos", "class", "bucket", "reason")
 
 
-@query("structure_selection", "GEO-09")
+@query("structure_selection", "GEO-09", sql=f"""WITH RECURSIVE {_SPOTS}, {_BOXES}, open AS (SELECT pos, 'gate' AS cls, x, y, 25 AS spacing FROM sp WHERE cls <> 'excluded'),
+{_THIN},
+ own AS (SELECT *, (x1 - x0) * (y1 - y0) AS area FROM bx), g AS (SELECT *, row_number() OVER w AS n, first_value(pos) OVER w AS first FROM own WINDOW w AS (PARTITION BY area >= 100, x0, y0, x1, y1 ORDER BY pos))
+SELECT pos, cls AS class, 'point' AS kind, CASE WHEN taken THEN 'selected' ELSE 'excluded' END AS bucket, CASE WHEN taken THEN 'selected as gate (point)' WHEN owner IS NOT NULL THEN concat('excluded: duplicate geometry of ''s', owner, '''')
+ ELSE 'excluded: within 25.0 m of a denser-priority gate structure (density cap)' END AS reason FROM thin
+UNION ALL SELECT pos + 1000000000, 'canal_ditch', 'polygon', CASE WHEN area >= 100 AND n = 1 THEN 'selected' ELSE 'excluded' END, CASE WHEN area < 100 THEN printf('excluded: area %.1f m² below min 100.0 m²', area::DOUBLE)
+ WHEN n > 1 THEN concat('excluded: duplicate geometry of ''b', first, '''') ELSE 'selected as canal_ditch (polygon)' END FROM g""")
 def _(spark, sf):
     dots = _spot_features(spark, sf).where("class <> 'excluded'").withColumn("class", F.lit("gate"))
     boxes = _boxes(spark, sf).select((F.col("pos") + 1_000_000_000).alias("pos"), F.concat(F.lit("b"), "pos").alias("source_id"), F.lit("canal_ditch").alias("class"),
