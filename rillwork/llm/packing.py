@@ -67,7 +67,8 @@ class CachedTokenizer:
         return out
 
     def _learn(self, words: list[str]) -> None:
-        split = {w: [w] if "<|" in w else self.part.findall(w.lower()) for w in words}
+        # a word of letters is one part
+        split = {w: [w.lower()] if w.isalpha() else [w] if "<|" in w else self.part.findall(w.lower()) for w in words}
         new = [p for p in set().union(*split.values()) if p not in self.parts]
         if len(self.parts) + len(new) > 2 * self.room:
             self.parts = {}
