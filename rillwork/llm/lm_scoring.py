@@ -7,8 +7,8 @@ more it reads like the target.
 
 Words and pairs are told apart by full 64-bit hashes, and no table of theirs is held whole.
 Documents lie in blocks of bounded size. A block sends its counts to shares of the hash
-space, whose number grows with the corpus; a share adds up and sends the totals back to the
-blocks that have the word or pair. A count that only one block has is known there already.
+space, whose number grows with the corpus; a share adds up and sends each block the totals of
+its keys in the order in which the block sent them, so keys travel one way only.
 """
 
 from __future__ import annotations
@@ -29,7 +29,7 @@ from rillwork.llm.common import partitions_for, stored
 WORDS, PAIRS = 19, 21
 
 #: Bytes of text in a block, a longer document having one of its own, and bytes of text for each share of the hash space.
-BLOCK, SHARE = 16 << 20, 8 << 20
+BLOCK, SHARE = 8 << 20, 8 << 20
 
 
 @dataclass(frozen=True)
@@ -136,6 +136,7 @@ def _in_blocks(docs: DataFrame, target: DataFrame, id_col: str, text_col: str) -
 
 
 _SENT = "kind int, share long, block long, keys binary, target binary, background binary"
+_TOTAL = "kind int, share long, block long, target binary, background binary"
 
 
 def _packed(numbers: np.ndarray) -> bytes:
@@ -156,17 +157,26 @@ def _keys(data: bytes | pa.Buffer) -> np.ndarray:
     return np.cumsum(_unpacked(data), dtype=np.uint64)
 
 
-def _rows(rows: list[tuple], names: list[str]) -> pa.Table:
-    kinds = [pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary()]
+def _rows(rows: list[tuple]) -> pa.Table:
+    """Rows of ``_SENT``, or of ``_TOTAL``, which has no keys."""
+    kinds = [pa.int32(), pa.int64(), pa.int64(), *[pa.binary()] * (len(rows[0]) - 3)]
+    names = [c.split()[0] for c in (_SENT if len(kinds) == 6 else _TOTAL).split(", ")]
     return pa.Table.from_arrays([pa.array([r[i] for r in rows], kind) for i, kind in enumerate(kinds)], names)
 
 
-_NAMES = ["kind", "share", "block", "keys", "target", "background"]
+def _edges(shares: int) -> np.ndarray:
+    """First hash of every share but the first."""
+    return np.array([-(-(k << 64) // shares) for k in range(1, shares)], dtype=np.uint64)
+
+
+def _cuts(keys: np.ndarray, edges: np.ndarray) -> list[int]:
+    """Where each share begins and ends in ordered keys."""
+    return [0, *np.searchsorted(keys, edges).tolist(), len(keys)]
 
 
 def _counted(placed: DataFrame, shares: int) -> DataFrame:
     """Counts of each block's words (kind 0) and pairs (kind 1), a row for each share of the hash space."""
-    edges = np.array([-(-(k << 64) // shares) for k in range(1, shares)], dtype=np.uint64)
+    edges = _edges(shares)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number = Numbering()
@@ -174,9 +184,10 @@ def _counted(placed: DataFrame, shares: int) -> DataFrame:
         def finish(block: int, texts: list[str], chosen: list[int]) -> Iterator[pa.RecordBatch]:
             own = Block.of(number, texts, chosen)
             for kind in (0, 1):
-                cuts = [0, *np.searchsorted(own.keys[kind], edges).tolist(), len(own.keys[kind])]
+                cuts = _cuts(own.keys[kind], edges)
                 rows = [_sent(kind, k, block, own.keys[kind][a:z], own.counts[kind][a:z]) for k, (a, z) in enumerate(zip(cuts, cuts[1:])) if a < z]
-                yield from _rows(rows, _NAMES).to_batches(max_chunksize=1000)
+                if rows:
+                    yield from _rows(rows).to_batches(max_chunksize=1000)
 
         last, texts, chosen = None, [], []
         for b in batches:
@@ -194,32 +205,28 @@ def _counted(placed: DataFrame, shares: int) -> DataFrame:
 
 
 def _totals(counted: DataFrame) -> DataFrame:
-    """For each block the totals of those keys that other blocks have too.
+    """For each block the totals of its keys, a row for each share, in the order of the keys.
 
-    A row of block -1 tells how many keys a share has and their sums. A key has at most
-    one row a block and task, so common words make no large group.
+    A row of block -1 tells how many keys a share has (in both columns), one of block -2
+    their sums. A key has at most one row a block and task, so common words make no large group.
     """
     def add(group: pa.Table) -> pa.Table:
         kind, share = group["kind"][0].as_py(), group["share"][0].as_py()
-        parts = [_keys(x) for x in group["keys"].to_pylist()]
+        parts = [_keys(x.as_buffer()) for x in group["keys"]]
+        cuts = np.cumsum([0, *map(len, parts)]).tolist()
         keys, at = np.unique(np.concatenate(parts), return_inverse=True)
+        parts.clear()
         sums = np.zeros((len(keys), 2), dtype=np.int64)
         for k, side in enumerate(("target", "background")):
-            np.add.at(sums[:, k], at, np.concatenate([_unpacked(x).astype(np.int64) for x in group[side].to_pylist()]))
-        blocks = group["block"].to_numpy()
-        first, last = np.full(len(keys), np.iinfo(np.int64).max), np.full(len(keys), -1)
-        places = np.split(at, np.cumsum([len(p) for p in parts])[:-1])
-        for block, own in zip(blocks, places):
-            first[own], last[own] = np.minimum(first[own], block), np.maximum(last[own], block)
-        shared = first < last
-        rows = [_sent(kind, share, -1, np.array([len(keys)], "<u8"), sums.sum(axis=0, keepdims=True))]
-        for block, own in zip(blocks.tolist(), places):
-            own = own[shared[own]]
-            if len(own):
-                rows.append(_sent(kind, share, block, keys[own], sums[own]))
-        return _rows(rows, _NAMES)
-
-    return stored(counted.groupBy("kind", "share").applyInArrow(add, _SENT))
+            for x, a, z in zip(group[side], cuts, cuts[1:]):
+                sums[at[a:z], k] += _unpacked(x.as_buffer()).astype(np.int64)  # a block names a key once
+        both = [_packed(sums[:, k].sum(keepdims=True)) for k in (0, 1)]
+        rows = [(kind, share, -1, *[_packed(np.array([len(keys)]))] * 2), (kind, share, -2, *both)]
+        for block, a, z in zip(group["block"].to_pylist(), cuts, cuts[1:]):
+            rows.append((kind, share, block, *(_packed(sums[at[a:z], k]) for k in (0, 1))))
+        return _rows(rows)
+
+    return stored(counted.groupBy("kind", "share").applyInArrow(add, _TOTAL))
 
 
 def score_documents(docs: DataFrame, target: DataFrame, id_col: str = "doc_id", text_col: str = "text",
@@ -234,21 +241,26 @@ def score_documents(docs: DataFrame, target: DataFrame, id_col: str = "doc_id",
     """
     placed = _in_blocks(docs, target, id_col, text_col)
     size = placed.agg(F.sum("size")).first()[0] or 0
-    totals = _totals(_counted(placed, partitions_for(size, SHARE)))
+    shares = partitions_for(size, SHARE)
+    totals = _totals(_counted(placed, shares))
     vocabulary, sums = 0, np.zeros(2)
-    for row in totals.where("block = -1 and kind = 0").select("keys", "target", "background").toLocalIterator():
-        vocabulary += int(_keys(row["keys"])[0])
-        sums += [int(_unpacked(row[side])[0]) for side in ("target", "background")]
+    for row in totals.where("block < 0 and kind = 0").select("block", "target", "background").toLocalIterator():
+        found = [int(_unpacked(row[side])[0]) for side in ("target", "background")]
+        if row["block"] == -1:
+            vocabulary += found[0]
+        else:
+            sums += found
     matched = np.where(sums > 0, sums.max(initial=1.0) / np.maximum(sums, 1), 1.0)
 
     def judge(own: pa.Table, sent: pa.Table) -> pa.Table:
         chosen = own["t"].to_pylist()
         # one text and one share's totals at a time; the rest stays in Arrow's buffers
         block = Block.of(Numbering(), (t.as_py() for t in own["text"]), chosen)
-        for kind, keys, *row in zip(sent["kind"].to_pylist(), sent["keys"], sent["target"], sent["background"]):
-            at = np.searchsorted(block.keys[kind], _keys(keys.as_buffer()))
+        edges = _edges(shares)
+        cuts = [_cuts(keys, edges) for keys in block.keys]
+        for kind, share, *row in zip(sent["kind"].to_pylist(), sent["share"].to_pylist(), sent["target"], sent["background"]):
             for side, x in enumerate(row):
-                block.counts[kind][at, side] = _unpacked(x.as_buffer())
+                block.counts[kind][cuts[kind][share]:cuts[kind][share + 1], side] = _unpacked(x.as_buffer())
         block.keys.clear()
         counts = [block.counts.pop(0) * matched for _ in (0, 1)]
         models = Models(*counts, sums * matched, vocabulary=vocabulary)
