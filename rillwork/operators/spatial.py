@@ -21,6 +21,9 @@ from rillwork.session import checkpointed
 
 _SHIFT = 0.381966011250105
 
+#: Edges of one polygon that a leaf tile may hold; a tile with more is quartered, at most DEEPEST times.
+CROWDED, DEEPEST = 256, 24
+
 
 def cell_of(v: Column, cell: float) -> Column:
     return F.floor(v / cell + _SHIFT)
@@ -89,11 +92,8 @@ def cells_along(cell: float) -> Column:
     return F.flatten(F.transform(F.sequence(cell_of(lo - pad, cell), cell_of(hi + pad, cell)), row))
 
 
-def tiles(polygons: DataFrame, key: str, cell: float, geom: str = "parts") -> DataFrame:
-    """``(key, ci, cj, corner_inside, edges)`` for every tile a polygon touches or fills.
-
-    Even-odd rule over all rings, so holes and multiparts need no special case.
-    """
+def _tile_rows(polygons: DataFrame, key: str, cell: float, geom: str) -> tuple[DataFrame, DataFrame]:
+    """``(key, ci, cj, e)`` of every edge and tile it touches, and ``(key, ci, cj)`` of tiles whose corner lies inside."""
     edges = segments_of(polygons, key, geom).select(key, "x0", "y0", "x1", "y1")
     x0, y0, x1, y1 = (F.col(c) for c in ("x0", "y0", "x1", "y1"))
     placed = edges.select("*", F.explode(cells_along(cell)).alias("_c")).select(
@@ -107,31 +107,151 @@ def tiles(polygons: DataFrame, key: str, cell: float, geom: str = "parts") -> Da
     runs = paired.where((F.col("_k") % 2 == 1) & F.col("_to").isNotNull())
     a, b = cell_of(F.col("_x"), cell) + 1, cell_of(F.col("_to"), cell)
     corners = runs.where(b >= a).select(key, F.explode(F.sequence(a, b)).alias("ci"), "cj")
+    return placed, corners
+
+
+def _gathered(placed: DataFrame, corners: DataFrame, key: str) -> DataFrame:
     both = placed.unionByName(corners.withColumn("e", F.lit(None).cast("struct<x0:double,y0:double,x1:double,y1:double>")))
     return both.groupBy(key, "ci", "cj").agg(
         F.coalesce(F.bool_or(F.col("e").isNull()), F.lit(False)).alias("corner_inside"), F.collect_list("e").alias("edges"))
 
 
-def inside_tile(x: Column, y: Column, ci: Column, cj: Column, corner: Column, edges: Column, cell: float) -> Column:
-    """Even-odd test inside one tile: from the corner up its left border, then right."""
-    left, low = cell_edge(ci, cell), cell_edge(cj, cell)
-    def flips(e: Column) -> Column:
-        x0, y0, x1, y1 = e["x0"], e["y0"], e["x1"], e["y1"]
-        yc = y0 + F.try_divide((y1 - y0) * (left - x0), x1 - x0)
-        up = ((x0 >= left) != (x1 >= left)) & (yc >= low) & (yc < y)
-        xc = x0 + F.try_divide((x1 - x0) * (y - y0), y1 - y0)
-        across = ((y0 > y) != (y1 > y)) & (xc >= left) & (xc < x)
-        return F.coalesce(up, F.lit(False)).cast("int") + F.coalesce(across, F.lit(False)).cast("int")
-    n = F.aggregate(edges, F.lit(0), lambda a, e: a + flips(e))
+def tiles(polygons: DataFrame, key: str, cell: float, geom: str = "parts") -> DataFrame:
+    """``(key, ci, cj, corner_inside, edges)`` for every tile a polygon touches or fills.
+
+    Even-odd rule over all rings, so holes and multiparts need no special case.
+    """
+    return _gathered(*_tile_rows(polygons, key, cell, geom), key)
+
+
+# --- quartered tiles ------------------------------------------------------------------------
+
+def _flips(x: Column, y: Column, left: Column, low: Column, e: Column) -> Column:
+    """How often an edge changes sides on the way from a tile's corner up its left border, then right to a point."""
+    x0, y0, x1, y1 = e["x0"], e["y0"], e["x1"], e["y1"]
+    yc = y0 + F.try_divide((y1 - y0) * (left - x0), x1 - x0)
+    up = ((x0 >= left) != (x1 >= left)) & (yc >= low) & (yc < y)
+    xc = x0 + F.try_divide((x1 - x0) * (y - y0), y1 - y0)
+    across = ((y0 > y) != (y1 > y)) & (xc >= left) & (xc < x)
+    return F.coalesce(up, F.lit(False)).cast("int") + F.coalesce(across, F.lit(False)).cast("int")
+
+
+def inside_tile(x: Column, y: Column, left: Column, low: Column, corner: Column, edges: Column) -> Column:
+    """Even-odd test inside the tile whose corner is at ``left, low``."""
+    n = F.aggregate(edges, F.lit(0), lambda a, e: a + _flips(x, y, left, low, e))
     return corner != (n % 2 == 1)
 
 
+def leaf_edge(i: Column, level: Column | int, cell: float) -> Column:
+    """Lower border of a tile whose side is ``cell`` halved ``level`` times; tiles of all levels nest."""
+    return (i / F.pow(F.lit(2.0), F.lit(level) if isinstance(level, int) else level) - _SHIFT) * cell
+
+
+def _touches(e: Column, left: Column, low: Column, size: float) -> Column:
+    """Whether an edge comes into a square or close to its border."""
+    pad = 1e-9 * size
+    x0, y0, x1, y1 = e["x0"], e["y0"], e["x1"], e["y1"]
+    xs, ys = (left - pad, left + (size + pad)), (low - pad, low + (size + pad))
+    near = (F.least(x0, x1) <= xs[1]) & (F.greatest(x0, x1) >= xs[0]) & (F.least(y0, y1) <= ys[1]) & (F.greatest(y0, y1) >= ys[0])
+    sides = [(x1 - x0) * (y - y0) - (y1 - y0) * (x - x0) for x in xs for y in ys]
+    return near & (F.least(*sides) <= 0) & (F.greatest(*sides) >= 0)
+
+
+def _quarters(level: int, cell: float) -> list[tuple[Column, Column, Column, Column]]:
+    """``(ci, cj, left, low)`` of the four tiles of ``level`` inside tile ``ci, cj`` of the level above."""
+    out = []
+    for i in (0, 1):
+        for j in (0, 1):
+            ci, cj = F.col("ci") * 2 + i, F.col("cj") * 2 + j
+            out.append((ci, cj, leaf_edge(ci, level, cell), leaf_edge(cj, level, cell)))
+    return out
+
+
+def _into_quarters(rows: DataFrame, level: int, cell: float) -> DataFrame:
+    """Rows with an edge ``e``, once for every quarter of their tile that the edge touches."""
+    size = cell / 2 ** level
+    found = [F.when(_touches(F.col("e"), left, low, size), F.struct(ci.alias("ci"), cj.alias("cj")))
+             for ci, cj, left, low in _quarters(level, cell)]
+    rest = [c for c in rows.columns if c not in ("ci", "cj")]
+    return rows.select(*rest, F.explode(F.array_compact(F.array(*found))).alias("_q")).select(*rest, "_q.ci", "_q.cj")
+
+
+def leaf_tiles(polygons: DataFrame, key: str, cell: float, geom: str = "parts") -> tuple[DataFrame, DataFrame | None, int]:
+    """Quadtree of ``tiles``: leaves with at most CROWDED edges of a polygon, whatever lies in one place.
+
+    Gives ``(key, level, ci, cj, corner_inside, edges)``; ``(ci, cj, depth)`` of the undivided
+    tiles that some polygon divides (None if there are none); and the greatest depth. Edges that a
+    polygon repeats cancel by the even-odd rule where a tile is divided. Only edges that meet in
+    one point stay together in a leaf of the last level.
+    """
+    at, level = [key, "ci", "cj"], 0
+    rows, corners = _tile_rows(polygons, key, cell, geom)
+    leaves, split = [], []
+    while True:
+        crowded = None if level == DEEPEST else checkpointed(
+            rows.groupBy(*at).agg(F.count("*").alias("_n")).where(F.col("_n") > CROWDED).select(*at))
+        if crowded is None or crowded.isEmpty():
+            leaves.append(_gathered(rows, corners, key).withColumn("level", F.lit(level)))
+            break
+        leaves.append(_gathered(rows.join(crowded, at, "left_anti"), corners.join(crowded, at, "left_anti"), key).withColumn("level", F.lit(level)))
+        split.append(crowded.select(F.shiftright("ci", level).alias("ci"), F.shiftright("cj", level).alias("cj"), F.lit(level + 1).alias("depth")))
+        x0, y0, x1, y1 = (F.col(f"e.{c}") for c in ("x0", "y0", "x1", "y1"))
+        turned = F.when((x0 > x1) | ((x0 == x1) & (y0 > y1)), F.struct(
+            x1.alias("x0"), y1.alias("y0"), x0.alias("x1"), y0.alias("y1"))).otherwise(F.col("e"))
+        opened = checkpointed(rows.join(crowded, at, "left_semi").select(*at, turned.alias("e")).groupBy(*at, "e").agg(
+            F.count("*").alias("_n")).where("_n % 2 = 1").drop("_n"))
+        # sides of the quarters' corners follow from that of the tile's own corner
+        left, low = leaf_edge(F.col("ci"), level, cell), leaf_edge(F.col("cj"), level, cell)
+        level += 1
+        quarters = _quarters(level, cell)
+        turns = opened.groupBy(*at).agg(*[F.sum(_flips(x, y, left, low, F.col("e"))).alias(f"_f{k}") for k, (_, _, x, y) in enumerate(quarters)])
+        own = crowded.join(turns, at, "left").join(corners.distinct().withColumn("_in", F.lit(True)), at, "left")
+        inside = [F.when(F.coalesce("_in", F.lit(False)) != (F.coalesce(f"_f{k}", F.lit(0)) % 2 == 1), F.struct(ci.alias("ci"), cj.alias("cj")))
+                  for k, (ci, cj, _, _) in enumerate(quarters)]
+        corners = checkpointed(own.select(key, F.explode(F.array_compact(F.array(*inside))).alias("_q")).select(key, "_q.ci", "_q.cj"))
+        rows = checkpointed(_into_quarters(opened, level, cell))
+    every = leaves[0]
+    for more in leaves[1:]:
+        every = every.unionByName(more)
+    if not split:
+        return every, None, 0
+    depths = split[0]
+    for more in split[1:]:
+        depths = depths.unionByName(more)
+    return every, checkpointed(depths.groupBy("ci", "cj").agg(F.max("depth").alias("depth"))), level
+
+
+def _points_to_leaves(points: DataFrame, depths: DataFrame | None, cell: float) -> DataFrame:
+    """Points with ``level, ci, cj`` of the tile around them on every level that their place has."""
+    keyed = points.withColumn("ci", cell_of(F.col("x"), cell)).withColumn("cj", cell_of(F.col("y"), cell))
+    if depths is None:
+        return keyed.withColumn("level", F.lit(0))
+    deep = skew_join(keyed, depths, ["ci", "cj"], "left")
+    down = deep.withColumn("level", F.explode(F.sequence(F.lit(0), F.coalesce("depth", F.lit(0))))).drop("depth")
+    at = lambda c: F.floor((F.col(c) / cell + _SHIFT) * F.pow(F.lit(2.0), F.col("level")))
+    return down.withColumn("ci", at("x")).withColumn("cj", at("y"))
+
+
+def _segments_to_leaves(segs: DataFrame, depths: DataFrame | None, deepest: int, cell: float) -> DataFrame:
+    """Segments ``(.., x0, y0, x1, y1)`` with ``level, ci, cj`` of every tile they pass on every level their place has."""
+    rest = [c for c in segs.columns if c not in ("x0", "y0", "x1", "y1")]
+    keyed = segs.select(*rest, F.struct("x0", "y0", "x1", "y1").alias("e"), F.explode(cells_along(cell)).alias("_c")).select(*rest, "e", "_c.ci", "_c.cj")
+    out = keyed.withColumn("level", F.lit(0))
+    if depths is not None:
+        below = skew_join(keyed, depths, ["ci", "cj"])
+        for level in range(1, deepest + 1):
+            below = checkpointed(_into_quarters(below.where(F.col("depth") >= level), level, cell))
+            out = out.unionByName(below.drop("depth").withColumn("level", F.lit(level)))
+    return out.select(*rest, "e.*", "level", "ci", "cj")
+
+
 def points_in_polygons(points: DataFrame, polygons: DataFrame, key: str, cell: float) -> DataFrame:
     """Pairs of a point row and every polygon it lies in. ``points`` carries x and y."""
-    keyed = points.withColumn("ci", cell_of(F.col("x"), cell)).withColumn("cj", cell_of(F.col("y"), cell))
-    met = skew_join(keyed, tiles(polygons, key, cell), ["ci", "cj"])
-    hit = inside_tile(F.col("x"), F.col("y"), F.col("ci"), F.col("cj"), F.col("corner_inside"), F.col("edges"), cell)
-    return met.where(hit).drop("ci", "cj", "corner_inside", "edges")
+    leaves, depths, _ = leaf_tiles(polygons, key, cell)
+    met = skew_join(_points_to_leaves(points, depths, cell), leaves, ["level", "ci", "cj"])
+    left, low = (leaf_edge(F.col(c), F.col("level"), cell) for c in ("ci", "cj"))
+    hit = inside_tile(F.col("x"), F.col("y"), left, low, F.col("corner_inside"), F.col("edges"))
+    return met.where(hit).drop("level", "ci", "cj", "corner_inside", "edges")
 
 
 def assign_watersheds(points: DataFrame, polygons: DataFrame, digits: int, cell: float) -> DataFrame:
@@ -161,15 +281,15 @@ def clip_lines(lines: DataFrame, boundary: DataFrame, cell: float) -> DataFrame:
     together. Outcome is covered (left as it was), partial or dropped.
     """
     segs = segments_of(lines, "pos")
-    keyed = segs.select(F.struct("pos", "part", "ring", "seg").alias("seg_row"), "x0", "y0", "x1", "y1",
-                        F.explode(cells_along(cell)).alias("_c")).select("seg_row", "x0", "y0", "x1", "y1", "_c.ci", "_c.cj")
-    met = skew_join(keyed, tiles(boundary, "poly_pos", cell).drop("poly_pos"), ["ci", "cj"])
+    leaves, depths, deepest = leaf_tiles(boundary, "poly_pos", cell)
+    keyed = _segments_to_leaves(segs.select(F.struct("pos", "part", "ring", "seg").alias("seg_row"), "x0", "y0", "x1", "y1"), depths, deepest, cell)
+    met = skew_join(keyed, leaves.drop("poly_pos"), ["level", "ci", "cj"])
 
     def cut(batches):
         for pdf in batches:
             out = {"seg_row": [], "t0": [], "t1": []}
             for r in pdf.itertuples(index=False):
-                for a, b in kept_stretches(r.x0, r.y0, r.x1, r.y1, r.ci, r.cj, r.corner_inside, r.edges, cell):
+                for a, b in kept_stretches(r.x0, r.y0, r.x1, r.y1, r.ci, r.cj, r.corner_inside, r.edges, cell, r.level):
                     out["seg_row"].append(r.seg_row)
                     out["t0"].append(a)
                     out["t1"].append(b)
@@ -219,9 +339,10 @@ def join_paths(parts: Column) -> Column:
     return F.aggregate(parts, start, absorb)
 
 
-def kept_stretches(x0, y0, x1, y1, ci, cj, corner, edges, cell):
+def kept_stretches(x0, y0, x1, y1, ci, cj, corner, edges, cell, level=0):
     """Parameter ranges of a segment that lie in one tile and inside its polygon."""
-    left, low = (ci - _SHIFT) * cell, (cj - _SHIFT) * cell
+    scale = 2.0 ** level
+    left, low, cell = (ci / scale - _SHIFT) * cell, (cj / scale - _SHIFT) * cell, cell / scale
     t0, t1 = 0.0, 1.0
     for a, d, lo in ((x0, x1 - x0, left), (y0, y1 - y0, low)):
         if d == 0:
@@ -386,13 +507,13 @@ def overlap_fraction(basins: DataFrame, areas: DataFrame, cell: float, min_fract
 
 def line_overlap(lines: DataFrame, areas: DataFrame, cell: float) -> DataFrame:
     """``(pos, poly_pos, shared)``: length of each line inside each single polygon."""
-    segs = segments_of(lines, "pos").select("pos", "x0", "y0", "x1", "y1", F.explode(cells_along(cell)).alias("_c")).select(
-        "pos", "x0", "y0", "x1", "y1", "_c.ci", "_c.cj")
-    met = skew_join(segs, tiles(areas, "poly_pos", cell), ["ci", "cj"])
+    leaves, depths, deepest = leaf_tiles(areas, "poly_pos", cell)
+    segs = _segments_to_leaves(segments_of(lines, "pos").select("pos", "x0", "y0", "x1", "y1"), depths, deepest, cell)
+    met = skew_join(segs, leaves, ["level", "ci", "cj"])
 
     def measure(batches):
         for pdf in batches:
-            got = [sum(b - a for a, b in kept_stretches(r.x0, r.y0, r.x1, r.y1, r.ci, r.cj, r.corner_inside, r.edges, cell))
+            got = [sum(b - a for a, b in kept_stretches(r.x0, r.y0, r.x1, r.y1, r.ci, r.cj, r.corner_inside, r.edges, cell, r.level))
                    * float(np.hypot(r.x1 - r.x0, r.y1 - r.y0)) for r in pdf.itertuples(index=False)]
             yield pd.DataFrame({"pos": pdf["pos"], "poly_pos": pdf["poly_pos"], "shared": got})
 
